@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op6_substring_dedup": op6_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
