@@ -42,6 +42,8 @@ def with_views(sql: str) -> str:
         return sql
     head = ", ".join(f"{v} as ({VIEWS[v]})" for v in need)
     body = sql.strip()
+    if body.lower().startswith("with recursive"):
+        return f"with recursive {head}, {body[14:]}"
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"
 
 
