@@ -7,11 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riverlens.operators.series import lag1_autocorr, prewhiten, risk_rank
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal tail of result rows; SQL has no erfc."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else None)

@@ -20,7 +20,6 @@ VIEWS["days_px"] = """select pixel, sum(wet::int + case when wet and before and
 VIEWS["duration_px"] = "select *, ((days >= 1)::int + (days >= 3)::int + (days >= 7)::int + (days >= 14)::int) as class from days_px join px_area using (pixel)"
 VIEWS["victims"] = """select zone, count(*) filter (where fraction > 0.01) as seasons_1pct, count(*) filter (where fraction > 0.02) as seasons_2pct, max(fraction) as max_fraction, avg(flooded_ha) as mean_ha from season_zone group by 1"""
 
-SEASON = (F.dayofmonth("day") - 1).cast("bigint")
 
 
 def union_px(spark, sf):
