@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, html, langid, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, embedding, html, langid, minhash, packing, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_chat_snapshots": op2_chat_snapshots,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -59,4 +64,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {"op4_adaptive_quality": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_snapshots": chat.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL}
