@@ -36,7 +36,7 @@ def check(rows, pieces, length):
 
 def some_rows(n=300):
     rng = np.random.default_rng(1)
-    words = ["The", "idea", "été", "a b", "don't", "<|endoftext|>", "ΑΣ", "12,5", "\x1c", "x" * 50]
+    words = ["The", "idea", "été", "a b", "don't", "<|endoftext|>", "ΑΣ", "12,5", "\x1c", "x" * 50, "End.", "END!!", "été,", "É%%%", "e\u0301.", "a\u0338,", "don't!", "~", "a~b", "...", "3.", "»,", "<|endoftext|>."]
     rows = []
     for i in range(n):
         text = "".join(str(rng.choice(words)) + str(rng.choice([" ", "\n", "  ", "\t"])) for _ in range(int(rng.integers(0, 120))))
