@@ -126,8 +126,8 @@ def average_rank(df: DataFrame, c: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """E10. Over rows with both; NULL when one is constant. Also the mean absolute difference."""
     d = average_rank(average_rank(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "_ra"), b, "_rb")
-    flat = (F.min("_ra") == F.max("_ra")) | (F.min("_rb") == F.max("_rb"))
-    return d.agg(F.when(~flat, F.corr("_ra", "_rb")).alias("rho"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))  # corr() raises on a constant
+    return d.agg(rho.alias("rho"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.count("*").alias("n"))
 
 
 def official_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
