@@ -19,12 +19,20 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
-#: A bucket with more members than this is split by further bands before its pairs are formed.
-SMALL_BUCKET = 64
+#: A bucket with more members than this is split by further bands before its pairs are looked at.
+SMALL_BUCKET = 4096
+#: Most of the 128 minima whose low three bits may differ for a pair to go on. At the threshold 28 do
+#: on average; this is over five standard deviations above.
+MOST_APART = 53
+#: Rounds in which each document that is not yet with its bucket is compared with one more member.
+ROUNDS = 2
 #: Least share of equal minima for a pair to be confirmed on full sets: five standard deviations
 #: below the threshold for 128 minima.
 LEAST_SHARE = 0.55
 
+#: Columns of the low bits: bit j of the first and of the last 64 minima.
+LOW = ["k0", "k1", "k2", "k3", "k4", "k5"]
+
 _COEFF = odd_constants(64, 11)
 _A, _B = odd_constants(ROWS * BANDS, 12)[:, None], odd_constants(ROWS * BANDS, 13)[:, None]
 _CACHE = WordHashes()
@@ -54,15 +62,17 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _features(batches, k):
     for b in batches:
-        n, fp, hi, sig = [], [], [], []
+        n, fp, hi, sig, bits = [], [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, k)
             n.append(len(s))
             both = np.array([mix(s).sum(dtype=np.uint64), (s * _COEFF[40] + s * s).sum(dtype=np.uint64)]).astype(np.int64)
             fp.append(both[0])
             hi.append(both[1])
-            sig.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "fp2", "sig"])
+            own = signature(s)
+            sig.append(own.tobytes() if len(s) else b"")
+            bits.append(np.concatenate([np.packbits((own >> j & 1).astype(np.uint8)).view("<i8") for j in range(3)]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), *(pa.array([x[j] for x in bits], pa.int64()) for j in range(6))], ["doc_id", "n_shingles", "fp", "fp2", "sig", *LOW])
 
 
 def _alike(batches):
@@ -99,6 +109,18 @@ def _bands(reps: DataFrame, first: int, count: int, key: str = "0L") -> DataFram
     return reps.withColumn("band", F.explode(bands))
 
 
+def _near(percent: int):
+    """Of two classes (suffix _a, _b): sizes and low bits do not rule a link out."""
+    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    apart = " + ".join("bit_count(" + " | ".join(f"(k{j}_a ^ k{j}_b)" for j in range(h, 6, 2)) + ")" for h in (0, 1))
+    return F.expr(f"{sizes} and {apart} <= {MOST_APART}")
+
+
+def _brief(reps: DataFrame, side: str) -> DataFrame:
+    """What _near() needs of each class."""
+    return reps.select(F.col("rep").alias(side), *(F.col(x).alias(f"{y}_{side}") for x, y in [("n_shingles", "n"), *zip(LOW, LOW, strict=True)]))
+
+
 def _check(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that are links: signatures first, then full sets. What a pair carries through
     the shuffles is two signatures, then (for those that agree) two texts."""
@@ -114,12 +136,32 @@ def _check(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent:
     return cut(full.mapInArrow(_confirmed(k, percent), "a long, b long"), f"{name}-links")
 
 
-def _rest(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs in one bucket that the links found so far leave in different components. A bucket with
-    many members is split by the other bands of the signatures, twice at most, before its pairs are
-    formed, so that only documents alike in 8 and then 12 minima meet; a pair at the threshold meets
-    in some part of a bucket with a probability above 0.99999."""
-    m = members.join(found, members.doc == found.node, "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+def _with_component(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.withColumn("comp", F.col("doc"))
+    return members.join(found, members.doc == found.node, "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+
+
+def _one_each(members: DataFrame, reps: DataFrame, found: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """At most one pair for each document: with the chosen member of a bucket that is in another
+    component, the one that it shares most buckets with. Which member a bucket chooses changes with
+    the turn (in the first it is the least)."""
+    m = _with_component(members, found)
+    order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+    chosen = m.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    chosen = chosen.where("lo < hi").select("band", F.col("c.doc").alias("b"), F.col("c.comp").alias("cb"))
+    met = m.join(chosen, "band").where("comp <> cb").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("n"))
+    best = met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return best.join(_brief(reps, "a"), "a").join(_brief(reps, "b"), "b").where(_near(percent)).select("a", "b")
+
+
+def _rest(members: DataFrame, reps: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs in one bucket that the links found so far leave in different components. Buckets of one
+    component go. In the others each pair is looked at inside the join, where sizes and low bits rule
+    out nearly all that are no links, so that only likely links become rows. A bucket of very many
+    members is first split by the other bands of the signatures, twice at most: a pair at the
+    threshold meets in some part of it with a probability above 0.9999."""
+    m = _with_component(members, found)
 
     def mixed(x: DataFrame) -> DataFrame:
         per = x.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "n")
@@ -128,18 +170,24 @@ def _rest(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     out = None
     for level in range(3):
         m = cut(mixed(m), "mixed")
-        if m.isEmpty():
-            break
         here = m if level == 2 else m.where(F.col("n") <= SMALL_BUCKET)
-        a = here.select("band", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-        b = here.select("band", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-        pairs = a.join(b, "band").where("ca <> cb and a < b").select("a", "b")
+        a = here.join(_brief(reps, "a"), here.doc == F.col("a")).drop("doc", "n").withColumnRenamed("comp", "comp_a")
+        b = here.join(_brief(reps, "b"), here.doc == F.col("b")).drop("doc", "n").withColumnRenamed("comp", "comp_b")
+        pairs = a.join(b, "band").where(F.expr("comp_a <> comp_b and a < b") & _near(percent)).select("a", "b")
         out = pairs if out is None else out.union(pairs)
-        if level == 2:
+        big = m.where(F.col("n") > SMALL_BUCKET)
+        if level == 2 or big.isEmpty():
             break
-        big = m.where(F.col("n") > SMALL_BUCKET).join(reps.select(F.col("rep").alias("doc"), "sig"), "doc").select(F.col("band").alias("up"), "doc", "comp", "sig")
+        big = big.join(reps.select(F.col("rep").alias("doc"), "sig"), "doc").select(F.col("band").alias("up"), "doc", "comp", "sig")
         m = _bands(big, 0, BANDS, f"up, {level}").select("band", "doc", "comp")
-    return None if out is None else out.distinct()
+    return out.distinct()
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links and of those found before."""
+    if found is not None:
+        links = links.union(found.where("node <> component"))
+    return cut(components(links), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -147,33 +195,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One scan makes each document's shingle set, its 128 minima and a fingerprint of the set.
     2. Documents with one set are one class; its least id stands for it from here on.
-    3. Bands of the minima put classes into buckets. Each member of a bucket is compared with the
-       least member: first the signatures, then the full sets.
+    3. Bands of the minima put classes into buckets. In a few turns each document is compared with at
+       most one member of its buckets: sizes and low bits, then the signatures, then the full sets.
+       That joins most of a large group of near copies at one pair a member and turn.
     4. Only buckets that these links leave in several components are looked at again, all pairs of
-       different components in them; so a large group of near copies costs as many pairs as it has
-       members, and no link between different texts is lost.
+       different components in them, so that no link between different texts is lost.
     5. Components of all links by alternating stars.
     """
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    f = cut(d.mapInArrow(lambda it: _features(it, k), "doc_id long, n_shingles long, fp long, fp2 long, sig binary"), "features")
-    reps = cut(f.where("n_shingles > 0 and doc_id is not null").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    f = cut(d.mapInArrow(lambda it: _features(it, k), "doc_id long, n_shingles long, fp long, fp2 long, sig binary, " + ", ".join(f"{x} long" for x in LOW)), "features")
+    reps = cut(f.where("n_shingles > 0 and doc_id is not null").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("sig", *LOW))), "classes")
 
     banded = _bands(reps.select(F.col("rep").alias("doc"), "sig"), 0, BANDS).select("band", "doc")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1")
-    members = cut(banded.join(shared, "band").select("band", "doc", "least"), "members")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(banded.join(shared, "band").select("band", "doc"), "members")
 
     ids = members.select("doc").distinct()
     texts = cut(d.join(ids, d.doc_id == ids.doc, "left_semi").dropDuplicates(["doc_id"]), "texts")
-    first = members.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct()
-    links = _check(first, reps, texts, k, percent, "first")
-    found = cut(components(links), "components")
-    more = _rest(members.select("band", "doc"), reps, found)
-    if more is not None:
-        again = _check(more, reps, texts, k, percent, "rest")
-        if not again.isEmpty():
-            found = cut(components(links.union(again)), "components")
+    found = None
+    for turn in range(ROUNDS):
+        links = _check(_one_each(members, reps, found, percent, turn), reps, texts, k, percent, f"turn{turn}")
+        if turn and links.isEmpty():
+            break
+        found = _joined(found, links)
+    links = _check(_rest(members, reps, found, percent), reps, texts, k, percent, "rest")
+    if not links.isEmpty():
+        found = _joined(found, links)
 
     classes = reps.join(found, reps.rep == found.node, "left").select("fp", "fp2", F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component"))
     same = (f.fp == classes.fp) & (f.fp2 == classes.fp2) & (f.n_shingles == classes["size"])
