@@ -23,6 +23,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every node has one larger end or is a centre, never both: then the centres are the least nodes."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up > 1 or up = 1 and centre = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge table of longs; component is the least node reachable.
 
@@ -33,12 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(e.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state:
-            break
-        state = tuple(mark)
+    while not _is_stars(e):
         large = _large_star(e).distinct()
         e = cut(_small_star(large).distinct(), "edges")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
