@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import CACHE_WORDS, scratch, ship
+from .common import cut, scratch, ship
 
 LENGTH, END_ID = 4096, 2
 #: Tokens over which the targets hold: four sequences.
@@ -36,6 +37,11 @@ WINDOW = 4 * LENGTH
 QUEUES = 1000
 
 
+_TAIL = b".,!?;:%$&*#|"
+#: Words that a Python worker keeps the ids of.
+KNOWN_WORDS = 1_000_000
+
+
 class Ids:
     """Token ids of whole texts. A tokenizer that never lets a token cross ASCII white space gives
     for a text what it gives for its words one by one, so words are looked up, and only unknown ones
@@ -49,24 +55,62 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        mark = self.tokenizer.encode("~", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.lower = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [x.encode().split() if x else [] for x in texts]
         out = []
         for i in range(0, len(split), 256):
             part = split[i : i + 256]
-            new = list({w for words in part for w in words} - self.of.keys())
-            if len(self.of) + len(new) > CACHE_WORDS:
+            new = set(chain.from_iterable(part)).difference(self.of)
+            if len(self.of) + len(new) > KNOWN_WORDS:
                 self.of.clear()
-                new = list({w for words in part for w in words})
-            for j in range(0, len(new), 4096):
-                some = new[j : j + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                self.of.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found, strict=True))
+                new = set(chain.from_iterable(part))
+            self._learn(list(new))
             get = self.of.__getitem__
             out += [b"".join(map(get, words)) for words in part]
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        """ASCII letters are lower-cased by the tokenizer anyway, and punctuation after a letter is a
+        token run of its own: a word is its lower-case stem and its tail, which other words share."""
+        of, split = self.of, []
+        for w in words:
+            low = w.lower() if self.lower else w
+            stem = low.rstrip(_TAIL)
+            if stem is not low and (not stem or not stem.decode()[-1].isalpha()):
+                stem = low
+            split.append((w, stem, low[len(stem) :]))
+        self._encode([x for x in {x for _, *parts in split for x in parts} if x and x not in of])
+        for w, stem, tail in split:
+            if w is not stem or tail:
+                of[w] = of[stem] + of[tail] if tail else of[stem]
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Many words a call, with a mark between them whose one id no other word can have; words
+        that hold a part of the mark or of an added token go alone."""
+        mark, of = self.mark, self.of
+        plain = [w for w in words if mark is not None and b"~" not in w and b"<|" not in w]
+        for j in range(0, len(plain), 8192):
+            groups = [plain[k : k + 64] for k in range(j, min(j + 8192, len(plain)), 64)]
+            found = self.tokenizer.encode_batch_fast([" ~ ".join(w.decode() for w in g) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, self.kind)
+                ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+                if len(ends) != len(g):
+                    raise ValueError("the tokenizer does not keep words apart")
+                start, data, size = 0, ids.tobytes(), ids.itemsize
+                for w, end in zip(g, ends, strict=True):
+                    of[w] = data[start * size : end * size]
+                    start = end + 1
+        alone = [w for w in words if w not in of]
+        for j in range(0, len(alone), 4096):
+            some = alone[j : j + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            of.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found, strict=True))
+
 
 _IDS: dict[int, Ids] = {}
 
@@ -210,5 +254,6 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float]
         per = per.withColumn("queue", queue)
     before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = cut(base, "starts")  # so that Spark knows its size before it plans the join
     placed = t.join(base, t.source.eqNullSafe(base.s) & (t.part == base.p)).select("doc_id", "queue", "base", "at", "n", "ids")
     return placed.mapInArrow(_pieces(Shares(totals, weights, window), kind, length), PIECES)
