@@ -157,7 +157,7 @@ class Bpe:
                         own += self._chunks(x)
             parts.append(own)
             new.update(x for x in own if x.__class__ is str)
-        new -= self.ids.keys()
+        new = new.difference(self.ids)
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
             new = {x for own in parts for x in own if x.__class__ is str}
