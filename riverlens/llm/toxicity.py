@@ -14,6 +14,7 @@ empty result. Columns other than id and text are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
-#: Labelled documents learned from, at most, and characters of each that teach.
-SAMPLE, SAMPLE_BYTES = 5000, 10_000
+#: Labelled documents learned from, at most.
+SAMPLE = 5000
 WINDOW, STEP, LEVEL = 6, 2, 9
 #: Bytes of ordinary text in both dictionaries, and of what is added to the toxic one at most.
 SHARED, ADDED = 8192, 2048
@@ -75,9 +76,9 @@ class Scorer:
         past = [int((d >= k).sum()) for k in DISTANCES]
         return np.array([d[0], d[:3].sum() / 3, d[:10].sum() / 10, d.mean(), *map(math.log1p, past), *(x / n for x in past[:4])])
 
-    def calibrate(self, texts: list[str], labels: list[int], rounds: int = 25, ridge: float = 1e-3) -> None:
+    def calibrate(self, features: list[list[float]], labels: list[int], rounds: int = 25, ridge: float = 1e-3) -> None:
         """Logistic regression on the features, by Newton steps."""
-        x, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
+        x, y = np.array(features), np.array(labels, float)
         mean, spread = x.mean(0), x.std(0) + 1e-9
         z = np.c_[(x - mean) / spread, np.ones(len(x))]
         w = np.zeros(z.shape[1])
@@ -103,51 +104,71 @@ def _pieces(words: list[bytes]) -> set[bytes]:
     return out
 
 
-def train(rows: list[tuple[int, str, int]]) -> Scorer:
-    """rows: (id, text, label) in the order of a hash. Both dictionaries begin with ordinary text;
-    the toxic one goes on with the words and beginnings of words that toxic documents have
-    significantly more often, the most telling last, where references are cheapest."""
-    labels = [y for _, _, y in rows]
-    if len(set(labels)) < 2:
-        return Scorer(b"", b"", constant=float(labels[0]) if labels else 0.0)
-    words = [words_of(t) for _, t, _ in rows]
-    docs = (labels.count(0), labels.count(1))
-    found = (Counter(), Counter())
-    for w, y in zip(words, labels, strict=True):
-        found[y].update(_pieces(w))
-    scored = []
-    for piece, a in found[1].items():
-        if a >= LEAST_DOCS:
-            b = found[0][piece]
-            p = (a + b) / sum(docs)
-            z = (a / docs[1] - b / docs[0]) / math.sqrt(p * (1 - p) * (1 / docs[0] + 1 / docs[1]) + 1e-12)
-            if z > SALIENT:
-                scored.append((z, piece))
-    telling: list[bytes] = []
-    for _, piece in sorted(scored, reverse=True):
-        if sum(map(len, telling)) < ADDED and not any(piece.startswith(x) or x.startswith(piece) for x in telling):
-            telling.append(piece)
-    ordinary, size = [], 0
-    for w, y in zip(words, labels, strict=True):
-        if not y and size < SHARED:
-            some = b" " + b" ".join(w[:60])
-            ordinary.append(some)
-            size += len(some)
-    shared = b"".join(ordinary)[:SHARED]
-    scorer = Scorer(shared + b"".join(b" " + x.strip() for x in reversed(telling)) + b" ", shared)
-    scorer.calibrate([t for _, t, _ in rows], labels)
-    return scorer
+def _counted(batches):
+    """piece, toxic documents and other documents of the batch that hold it."""
+    for b in batches:
+        found = (Counter(), Counter())
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found[y].update(_pieces(words_of(t)))
+        pieces = list(found[0] | found[1])
+        cols = [pa.array(pieces, pa.binary()), *(pa.array([found[y][x] for x in pieces], pa.int64()) for y in (1, 0))]
+        yield pa.RecordBatch.from_arrays(cols, ["piece", "a", "b"])
+
+
+def _passages(batches):
+    """id and 60 words in a row of its text, from a place that depends on the id."""
+    for b in batches:
+        out = []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = words_of(t)
+            at = zlib.crc32(str(i).encode()) % max(1, len(w) - 59)
+            out.append((b" " + b" ".join(w[at : at + 60]))[:SHARED])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "some"])
+
+
+def salient(some: DataFrame, docs: tuple[int, int]) -> list[bytes]:
+    """Words and beginnings of words that toxic documents have significantly more often, the most
+    telling first; counted in tasks, only these reach the driver. docs: ordinary and toxic documents."""
+    n = some.select("text", "y").mapInArrow(_counted, "piece binary, a long, b long").groupBy("piece").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p = (F.col("a") + F.col("b")) / float(sum(docs))
+    z = (F.col("a") / float(docs[1]) - F.col("b") / float(docs[0])) / F.sqrt(p * (1 - p) * (1 / docs[0] + 1 / docs[1]) + 1e-12)
+    found = n.where(F.col("a") >= LEAST_DOCS).select("piece", z.alias("z")).where(F.col("z") > SALIENT).collect()
+    return [bytes(r.piece) for r in sorted(found, key=lambda r: (r.z, bytes(r.piece)), reverse=True)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """A scorer from at most about `sample` labelled documents, the first by a hash of their id; of a
-    very long document the first SAMPLE_BYTES characters teach (it is scored whole)."""
+    """A scorer from at most about `sample` labelled documents, the first by a hash of their id, each
+    read whole in tasks. Both dictionaries begin with ordinary text; the toxic one goes on with the
+    salient pieces, the most telling last, where references are cheapest. The driver receives
+    passages of ordinary text, the salient pieces and a row of features for each document."""
+    spark = docs.sparkSession
+    ship(spark)
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.col("id"), F.lit("toxicity"))
     chosen = y.orderBy(order, "id").limit(sample)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("text"))
-    rows = d.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy(order, "id").collect()
-    return train([(r.id, r.text, r.y) for r in rows])
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    some = cut(d.join(F.broadcast(chosen), "id").repartition(4 * spark.sparkContext.defaultParallelism, "id").dropDuplicates(["id"]), "toxicity-sample")
+    count = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    if len(count) < 2:
+        return Scorer(b"", b"", constant=float(max(count, default=0)))
+    telling: list[bytes] = []
+    for piece in salient(some, (count[0], count[1])):
+        if sum(map(len, telling)) < ADDED and not any(piece.startswith(x) or x.startswith(piece) for x in telling):
+            telling.append(piece)
+    ordinary = some.where("y = 0").select("id", "text").mapInArrow(_passages, "id long, some binary").where("length(some) > 1").orderBy(order, "id").limit(SHARED // 2)
+    shared = b"".join(bytes(r.some) for r in ordinary.collect())[:SHARED]
+    scorer = Scorer(shared + b"".join(b" " + x.strip() for x in reversed(telling)) + b" ", shared)
+    raw = spark.sparkContext.broadcast(scorer)
+
+    def measured(batches):
+        s = raw.value
+        for b in batches:
+            x = [s.features(t).tolist() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    rows = sorted(some.select("id", "y", "text").mapInArrow(measured, "id long, y int, x array<double>").collect(), key=lambda r: r.id)
+    scorer.calibrate([r.x for r in rows], [r.y for r in rows])
+    return scorer
 
 
 def predict(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:

@@ -88,3 +88,20 @@ def test_toxicity_with_one_label_or_none(spark):
         lab = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         assert [r.score for r in toxicity.classify(d, lab).collect()] == [want, want]
     assert toxicity.classify(spark.createDataFrame([], SCHEMA), lab).count() == 0
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(240):
+        words = ["".join(rng.choices(SYLLABLES["en"], k=3)) for _ in range(1700)]
+        toxic = rng.random() < 0.4
+        if toxic:
+            for w in ("worthless", "pathetic", "disgusting", "stupid") * 3:
+                words.insert(rng.randrange(1600, len(words)), w)
+        docs.append((i, " ".join(words), "en", "s", "x"))
+        labels.append((i, 1, int(toxic)))
+        assert not toxic or min(map(docs[-1][1].find, ("worthless", "pathetic", "disgusting", "stupid"))) > 10_000
+    got = toxicity.classify(spark.createDataFrame(docs, SCHEMA).repartition(8), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == labels[r.doc_id][2] for r in held) >= 0.95 * len(held)
