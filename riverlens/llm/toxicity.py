@@ -1,5 +1,6 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window
-lengths under both, calibrated thresholds.
+"""Toxicity by compression distance: a zstandard dictionary of ordinary text and one with toxic terms
+added, window lengths under both, calibrated thresholds. Terms stand in for toxic windows, which told
+less (README).
 
 A window of words is compressed once with each dictionary. By how many bytes the toxic dictionary
 does better is the window's distance; how many windows of a text pass each distance is calibrated on
@@ -28,8 +29,10 @@ from .common import cut, ship
 #: Labelled documents learned from, at most.
 SAMPLE = 5000
 WINDOW, STEP, LEVEL = 6, 2, 9
-#: Bytes of ordinary text in both dictionaries, and of what is added to the toxic one at most.
-SHARED, ADDED = 8192, 2048
+#: Bytes of ordinary text in both dictionaries; the toxic one adds all salient pieces.
+SHARED = 8192
+#: One sampled document in so many calibrates; the others make the dictionaries.
+CALIBRATES = 3
 #: Standard errors by which a word's or prefix's share of toxic documents exceeds the others'.
 SALIENT, LEAST_DOCS = 5.0, 5
 DISTANCES = (2, 3, 4, 5, 6, 8)
@@ -138,9 +141,10 @@ def salient(some: DataFrame, docs: tuple[int, int]) -> list[bytes]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """A scorer from at most about `sample` labelled documents, the first by a hash of their id, each
-    read whole in tasks. Both dictionaries begin with ordinary text; the toxic one goes on with the
-    salient pieces, the most telling last, where references are cheapest. The driver receives
-    passages of ordinary text, the salient pieces and a row of features for each document."""
+    read whole in tasks. Both dictionaries begin with ordinary text; the toxic one goes on with all
+    salient pieces, the most telling last, where references are cheapest. Documents that made the
+    dictionaries look more toxic than new ones, so others calibrate (the same where those lack a
+    label). The driver receives passages of ordinary text, the salient pieces and rows of features."""
     spark = docs.sparkSession
     ship(spark)
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -151,11 +155,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     count = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
     if len(count) < 2:
         return Scorer(b"", b"", constant=float(max(count, default=0)))
+    calibrates = F.pmod(F.xxhash64(F.col("id"), F.lit("calibrates")), F.lit(CALIBRATES)) == 0
+    own = {r.y: r["count"] for r in some.where(calibrates).groupBy("y").count().collect()}
+    apart = all(0 < own.get(k, 0) < count[k] for k in (0, 1))
+    taught, rest = (some.where(~calibrates), some.where(calibrates)) if apart else (some, some)
+    docs_of = tuple(count[k] - own[k] if apart else count[k] for k in (0, 1))
     telling: list[bytes] = []
-    for piece in salient(some, (count[0], count[1])):
-        if sum(map(len, telling)) < ADDED and not any(piece.startswith(x) or x.startswith(piece) for x in telling):
+    taken: set[bytes] = set()
+    begun: set[bytes] = set()  # beginnings of the pieces taken
+    for piece in salient(taught, docs_of):
+        starts = {piece[:n] for n in range(1, len(piece) + 1)}
+        if piece not in begun and starts.isdisjoint(taken):
             telling.append(piece)
-    ordinary = some.where("y = 0").select("id", "text").mapInArrow(_passages, "id long, some binary").where("length(some) > 1").orderBy(order, "id").limit(SHARED // 2)
+            taken.add(piece)
+            begun |= starts
+    ordinary = taught.where("y = 0").select("id", "text").mapInArrow(_passages, "id long, some binary").where("length(some) > 1").orderBy(order, "id").limit(SHARED // 2)
     shared = b"".join(bytes(r.some) for r in ordinary.collect())[:SHARED]
     scorer = Scorer(shared + b"".join(b" " + x.strip() for x in reversed(telling)) + b" ", shared)
     raw = spark.sparkContext.broadcast(scorer)
@@ -166,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [s.features(t).tolist() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    rows = sorted(some.select("id", "y", "text").mapInArrow(measured, "id long, y int, x array<double>").collect(), key=lambda r: r.id)
+    rows = sorted(rest.select("id", "y", "text").mapInArrow(measured, "id long, y int, x array<double>").collect(), key=lambda r: r.id)
     scorer.calibrate([r.x for r in rows], [r.y for r in rows])
     return scorer
 

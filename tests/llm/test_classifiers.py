@@ -105,3 +105,21 @@ def test_toxicity_learns_from_whole_texts(spark):
     got = toxicity.classify(spark.createDataFrame(docs, SCHEMA).repartition(8), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     held = [r for r in got if r.held_out]
     assert sum(r.predicted == labels[r.doc_id][2] for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_knows_all_salient_terms(spark):
+    rng = random.Random(6)
+    terms = ["".join(rng.choices("bcdfgjkmpqvwxz", k=11)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(3000):
+        words = ["".join(rng.choices(SYLLABLES["en"], k=3)) for _ in range(20)]
+        toxic = i % 6 == 0
+        if toxic:
+            kind = i // 6 % 30
+            words += rng.sample(terms[10 * kind : 10 * kind + 10], 8)
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), "en", "s", "x"))
+        labels.append((i, 1, int(toxic)))
+    got = toxicity.classify(spark.createDataFrame(docs, SCHEMA).repartition(8), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    found = [r.predicted for r in got if r.held_out and labels[r.doc_id][2]]
+    assert sum(found) >= 0.95 * len(found)
