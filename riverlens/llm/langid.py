@@ -25,8 +25,8 @@ from .common import mix, odd_constants, ship
 
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
 #: The filters are learned from about SAMPLE documents of each language, chosen by a hash of the id,
-#: and hold each language's GRAMS most frequent n-grams; at most LANGUAGES languages.
-SAMPLE, GRAMS, LANGUAGES = 1500, 20_000, 256
+#: and hold each language's GRAMS most frequent n-grams, of all languages.
+SAMPLE, GRAMS = 1500, 20_000
 _COEFF = odd_constants(GRAM, 31)
 
 
@@ -110,15 +110,15 @@ def _counted(batches):
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Filters:
-    """Filters from docs. The driver receives at most GRAMS n-grams for each of LANGUAGES languages."""
+    """Filters from docs. The driver receives at most GRAMS n-grams for each language."""
     ship(docs.sparkSession)
     d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
     d = d.where("lang is not null and text is not null and id is not null")
-    docs_of = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    docs_of = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not docs_of:
         return Filters({}, {})
-    rate = F.create_map(*(F.lit(x) for k, n in docs_of.items() for x in (k, min(1.0, SAMPLE / n))))
-    some = d.where(F.expr("pmod(xxhash64(id, 'language'), 1000000) / 1000000d") < rate[F.col("lang")])
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE / n)) for k, n in docs_of.items()], "lang string, rate double")
+    some = d.join(F.broadcast(rates), "lang").where("pmod(xxhash64(id, 'language'), 1000000) / 1000000d < rate")
     per = some.select("lang", "text").mapInArrow(_counted, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     top = per.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= GRAMS)
     rows = top.select("lang", "g").toPandas()
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The columns `keep`, lang_pred and score of every row, in one scan; the filters are broadcast,
-    at most 2**SLOT_BITS slots of LANGUAGES bits."""
+    2**SLOT_BITS slots of a bit for each language."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(filters)

@@ -123,3 +123,13 @@ def test_toxicity_knows_all_salient_terms(spark):
     got = toxicity.classify(spark.createDataFrame(docs, SCHEMA).repartition(8), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     found = [r.predicted for r in got if r.held_out and labels[r.doc_id][2]]
     assert sum(found) >= 0.95 * len(found)
+
+
+def test_languages_of_any_number_are_learned(spark):
+    rng = random.Random(8)
+    own = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for _ in range(300)]
+    data = [(9 * i + j, " ".join(rng.choices(w, k=8)), f"l{i:03}", "s", "x") for i, w in enumerate(own) for j in range(9)]
+    got = langid.identify(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    lang = {i: x for i, _, x, *_ in data}
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
