@@ -10,7 +10,8 @@ sequences of `length` tokens, so that only the last sequence has room left.
 
 Defined cases: a null or empty text is the end id alone; a null source is a queue of its own; repeated
 rows are documents of their own; an empty table gives no pieces; a null id stays null. Sources beyond
-the `queues` largest share one queue. Columns other than id, text and source are ignored.
+the `queues` largest that no target names share a queue, which is dealt among them by the same round-robin.
+Columns other than id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import cut, scratch, ship
 LENGTH, END_ID = 4096, 2
 #: Tokens over which the targets hold: four sequences.
 WINDOW = 4 * LENGTH
-#: Most queues; the sources of the smallest token counts beyond it share one.
+#: Queues of one round-robin; the sources of the smallest token counts beyond it are dealt by further ones.
 QUEUES = 1000
 
 
@@ -194,9 +195,55 @@ class Shares:
             low += 1
 
 
-def _pieces(shares, kind, length):
+class Nested:
+    """Shares of any number of queues: each round-robin has about `most` queues, and a queue can be
+    what a further round-robin deals out, with its part of a window as window."""
+
+    def __init__(self, totals: list[int], targets: list[float] | None, window: int, most: int):
+        self.totals, self.most = totals, max(2, most)
+        self.routes: list[tuple] = [()] * len(totals)  # (Shares, queue) from each source's own to the outermost
+        named = {i for i, x in enumerate(targets or ()) if x > 0}
+        largest = sorted(range(len(totals)), key=lambda i: (i not in named, -totals[i], i))
+        own = sorted(largest[: max(most, len(named))])
+        rest = sorted(set(largest).difference(own))
+        part = sum(totals[i] for i in rest)
+        outer = Shares([totals[i] for i in own] + [part] * bool(rest), [targets[i] for i in own] + [0.0] * bool(rest) if targets else None, window)
+        for k, i in enumerate(own):
+            self.routes[i] = ((outer, k),)
+        if rest:
+            beside = sum(t for i, t in enumerate(totals) if i not in named)
+            self._deal(rest, max(1, window * part // beside), ((outer, len(own)),))
+
+    def _deal(self, ids: list[int], window: int, above: tuple) -> None:
+        size = 1
+        while size * self.most < len(ids):
+            size *= self.most
+        groups = [ids[k : k + size] for k in range(0, len(ids), size)]
+        sums = [sum(self.totals[i] for i in g) for g in groups]
+        shares = Shares(sums, None, window)
+        for k, g in enumerate(groups):
+            route = ((shares, k), *above)
+            if size == 1:
+                self.routes[g[0]] = route
+            else:
+                self._deal(g, max(1, window * sums[k] // sum(sums)), route)
+
+    def places(self, source: int, first: int, n: int):
+        """As in Shares, in the outermost order."""
+        yield from self._out(self.routes[source], first, n)
+
+    def _out(self, route: tuple, first: int, n: int):
+        shares, queue = route[0]
+        for k, place in shares.places(queue, first, n):
+            if len(route) == 1:
+                yield k, place
+            else:
+                yield from self._out(route[1:], place, k)
+
+
+def _pieces(shared, kind, length):
     def run(batches):
-        size = np.dtype(kind).itemsize
+        size, shares = np.dtype(kind).itemsize, shared.value
         for b in batches:
             rows = []
             for doc, queue, base, at, n, ids in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
@@ -222,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float]
     One scan tokenizes and writes ids, with each document's place in its source's tokens of its own
     partition. Totals by source and partition (small: a row for each) give every partition its start
     in each queue; Spark joins them back, by broadcast only if their size allows. Texts and ids are
-    never shuffled then. The driver holds the totals of the queues, at most `queues` + 1 numbers.
+    never shuffled then. The driver holds the totals of the sources, a number for each.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -238,22 +285,15 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float]
 
     per = t.groupBy("source", "part").agg(F.sum("n").alias("n"))
     by_source = per.groupBy("source").agg(F.sum("n").alias("n"))
-    top = by_source.orderBy(F.desc("n"), "source").limit(queues).collect()
-    whole = per.agg(F.sum("n")).first()[0] or 0
-    names = sorted((r.source for r in top), key=lambda x: (x is not None, x or ""))
-    sizes = {r.source: r.n for r in top}
+    sizes = {r.source: r.n for r in by_source.collect()}
+    names = sorted(sizes, key=lambda x: (x is not None, x or ""))
     totals = [sizes[x] for x in names]
-    if whole > sum(totals):
-        totals.append(whole - sum(totals))
-    weights = [float(targets.get(x, 0)) for x in names] + [0.0] * (len(totals) - len(names)) if targets is not None else None
-    queue = F.lit(len(names)).cast("int")
-    if names:
-        known = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "source string, queue int")
-        per = per.join(known, per.source.eqNullSafe(known.source), "left").select(per.source, "part", "n", F.coalesce("queue", queue).alias("queue"))
-    else:
-        per = per.withColumn("queue", queue)
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    weights = [float(targets.get(x, 0)) for x in names] if targets is not None else None
+    known = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "source string, queue int")
+    per = per.join(known, per.source.eqNullSafe(known.source)).select(per.source, "part", "n", "queue")
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     base = cut(base, "starts")  # so that Spark knows its size before it plans the join
     placed = t.join(base, t.source.eqNullSafe(base.s) & (t.part == base.p)).select("doc_id", "queue", "base", "at", "n", "ids")
-    return placed.mapInArrow(_pieces(Shares(totals, weights, window), kind, length), PIECES)
+    shares = spark.sparkContext.broadcast(Nested(totals, weights, window, queues))
+    return placed.mapInArrow(_pieces(shares, kind, length), PIECES)

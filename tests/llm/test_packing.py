@@ -78,3 +78,23 @@ def test_shares_are_monotone_and_whole():
         assert all(a <= b for a, b in zip(last, now, strict=True))
         last = now
     assert last == [1000, 37, 1, 12345]
+
+
+def test_sources_beyond_the_queues_hold_their_shares(spark):
+    rows = [(i, "one two three four five six seven " * 20, f"s{i % 12:02}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, PATH, length=480, window=480, queues=3).collect()
+    check(rows, pieces, 480)
+    share = defaultdict(int)
+    for p in pieces:
+        share[p.sequence_id, p.doc_id % 12] += p.length
+    assert all(abs(share[s, k] - 40) <= 20 for s in range(max(p.sequence_id for p in pieces) - 1) for k in range(12))
+
+
+def test_named_source_beyond_the_queues_keeps_its_target(spark):
+    rows = [(i, "one two three four five six seven " * 20, "abc"[min(2, i // 10)]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, PATH, targets={"a": 1.0, "c": 3.0}, length=256, window=256, queues=1).collect()
+    check(rows, pieces, 256)
+    share = [sum(p.length for p in pieces if p.sequence_id == s and p.doc_id < 10) for s in range(15)]
+    assert all(abs(x - 64) <= 4 for x in share)
