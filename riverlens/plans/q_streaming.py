@@ -50,7 +50,7 @@ def passes(stream):
 def r4_(spark, sf):
     static, path = px_area(spark, sf), scratch(spark, "r4")
     texts = inline(spark, [("en", "{zone}: {km2} km2")], "lang string, template string")
-    R.drain(R.read_scenes(spark, sf), scratch(spark, "r4-check"), lambda df, _: R.run_monitor(passes(df).where("day >= date '2024-01-29'"), static, texts, 0.02).write.mode("append").text(path))
+    R.drain(R.read_scenes(spark, sf), scratch(spark, "r4-check"), lambda df, _: R.run_monitor(passes(df), static, texts, 0.02).write.mode("append").text(path))
     return spark.read.text(path)
 
 
