@@ -1,21 +1,22 @@
-"""Toxicity by compression distance: a zstandard dictionary of ordinary text and one with toxic terms
-added, window lengths under both, calibrated thresholds. Terms stand in for toxic windows, which told
-less (README).
-
-A window of words is compressed once with each dictionary. By how many bytes the toxic dictionary
-does better is the window's distance; how many windows of a text pass each distance is calibrated on
-labelled documents to a probability.
-
-Defined cases: a null or empty text has one empty window and gets the score of that; while only one
-label (or none) is known, every score is that label (or 0); rows with a null id or label are not
-learned from; a null id is not held out; repeated rows are scored alike; an empty table gives an
-empty result. Columns other than id and text are ignored.
+"""Toxicity by compression distance: a zstandard dictionary of toxic windows and one of ordinary
+windows, window lengths under both, calibrated thresholds.
+
+The toxic dictionary holds windows of toxic documents only, those that toxic documents have far more
+often; the ordinary one holds the most frequent windows of the other documents. Each window of a text
+is compressed once with either; by how many bytes the toxic dictionary does better is the window's
+distance. How many windows of a text pass each distance is calibrated, on labelled documents that
+made neither dictionary, to a probability.
+
+Defined cases: a null or empty text has one empty window and gets the score of that; a very long text
+is read whole, window by window; while only one label (or none) is known, every score is that label
+(or 0); rows with a null id or label are not learned from; an id with two labels counts as toxic, one
+with several texts lends its label to the first in order; a null id is not held out; repeated rows are scored alike; an empty table gives an empty result. Columns
+other than id and text are ignored by classify() and kept by drop_toxic(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,18 +25,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import CACHE_WORDS, cut, ship
 
 #: Labelled documents learned from, at most.
 SAMPLE = 5000
-WINDOW, STEP, LEVEL = 6, 2, 9
-#: Bytes of ordinary text in both dictionaries; the toxic one adds all salient pieces.
-SHARED = 8192
+#: Words of a scored window; windows overlap by all but one. Dictionaries are made of one-word windows.
+WINDOW, LEVEL = 2, 9
+#: Bytes of each dictionary: the size of the model.
+ORDINARY_SIZE, TOXIC_SIZE = 32_768, 16_384
+#: A toxic window is in at least so many toxic documents, and in a share of them that is at least so
+#: many times its share of the others.
+LEAST_DOCS, TIMES = 3, 16
 #: One sampled document in so many calibrates; the others make the dictionaries.
 CALIBRATES = 3
-#: Standard errors by which a word's or prefix's share of toxic documents exceeds the others'.
-SALIENT, LEAST_DOCS = 5.0, 5
-DISTANCES = (2, 3, 4, 5, 6, 8)
+DISTANCES = (1, 2, 3, 4, 5, 6, 8)
+#: False alarms that a missed toxic document counts as when the score is calibrated.
+MISS = 3
+#: Both dictionaries and every window end with this: the compressor looks for no match that begins in
+#: the last bytes of its input, and stores very short inputs as they are.
+TAIL = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _TRIM = b".,!?:;|#$%&*\"'()"
 
 
@@ -43,9 +51,10 @@ def words_of(text: str | None) -> list[bytes]:
     return [w.strip(_TRIM) for w in text.encode("utf-8", "surrogatepass").lower().split()] if text else []
 
 
-def windows(words: list[bytes], step: int = STEP) -> list[bytes]:
-    last = max(1, len(words) - WINDOW + step)
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, last, step)]
+def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
+    if size == 2 and len(words) > 1:
+        return [b" " + a + b" " + b + b" " for a, b in zip(words, words[1:], strict=False)]
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
 class Scorer:
@@ -53,7 +62,7 @@ class Scorer:
 
     def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None = None, constant: float = 0.0):
         self.toxic, self.ordinary, self.weights, self.constant = toxic, ordinary, weights, constant
-        self._made = None
+        self._made, self._known = None, {}
 
     def __getstate__(self):
         return self.toxic, self.ordinary, self.weights, self.constant
@@ -65,30 +74,43 @@ class Scorer:
         if self._made is None:
             made = []
             for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
             self._made = made
         return self._made
 
-    def features(self, text: str | None) -> np.ndarray:
+    def distances(self, text: str | None) -> np.ndarray:
+        """For each window, the bytes by which the toxic dictionary does better. A worker keeps those
+        of the windows it has seen, up to a bound."""
         ordinary, toxic = self._compressors()
-        d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(words_of(text))])
-        d = -np.sort(-d)
-        n = len(d)
+        own, known = windows(words_of(text)), self._known
+        new = set(own).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(own)
+        for w in new:
+            x = w + TAIL
+            known[w] = len(ordinary(x)) - len(toxic(x))
+        return np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+
+    def features(self, text: str | None) -> np.ndarray:
+        d = self.distances(text)
+        top = -np.sort(-(np.partition(d, len(d) - 10)[-10:] if len(d) > 10 else d))
         past = [int((d >= k).sum()) for k in DISTANCES]
-        return np.array([d[0], d[:3].sum() / 3, d[:10].sum() / 10, d.mean(), *map(math.log1p, past), *(x / n for x in past[:4])])
+        return np.array([top[0], top[:3].sum() / 3, top.sum() / 10, d.mean(), *map(math.log1p, past), *(x / len(d) for x in past)])
 
     def calibrate(self, features: list[list[float]], labels: list[int], rounds: int = 25, ridge: float = 1e-3) -> None:
-        """Logistic regression on the features, by Newton steps."""
+        """Logistic regression on the features, by Newton steps; a toxic document counts MISS times."""
         x, y = np.array(features), np.array(labels, float)
+        weight = np.where(y > 0, float(MISS), 1.0)
         mean, spread = x.mean(0), x.std(0) + 1e-9
         z = np.c_[(x - mean) / spread, np.ones(len(x))]
         w = np.zeros(z.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(w))
-            w -= np.linalg.solve(h, z.T @ (p - y) + ridge * len(y) * w)
+            h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(w))
+            w -= np.linalg.solve(h, z.T @ (weight * (p - y)) + ridge * len(y) * w)
         self.weights = np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
 
     def score(self, text: str | None) -> float:
@@ -97,81 +119,62 @@ class Scorer:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, float(self.features(text) @ self.weights[:-1] + self.weights[-1]))))))
 
 
-def _pieces(words: list[bytes]) -> set[bytes]:
-    """The words of a text, and their beginnings of 4 to 12 bytes."""
-    out = set()
-    for w in set(words):
-        out.update(w[:n] for n in range(4, min(12, len(w)) + 1))
-        if w:
-            out.add(w + b" ")
-    return out
-
-
 def _counted(batches):
-    """piece, toxic documents and other documents of the batch that hold it."""
+    """window, toxic documents and other documents of the batch that hold it."""
     for b in batches:
         found = (Counter(), Counter())
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found[y].update(_pieces(words_of(t)))
-        pieces = list(found[0] | found[1])
-        cols = [pa.array(pieces, pa.binary()), *(pa.array([found[y][x] for x in pieces], pa.int64()) for y in (1, 0))]
-        yield pa.RecordBatch.from_arrays(cols, ["piece", "a", "b"])
-
-
-def _passages(batches):
-    """id and 60 words in a row of its text, from a place that depends on the id."""
-    for b in batches:
-        out = []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = words_of(t)
-            at = zlib.crc32(str(i).encode()) % max(1, len(w) - 59)
-            out.append((b" " + b" ".join(w[at : at + 60]))[:SHARED])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "some"])
-
-
-def salient(some: DataFrame, docs: tuple[int, int]) -> list[bytes]:
-    """Words and beginnings of words that toxic documents have significantly more often, the most
-    telling first; counted in tasks, only these reach the driver. docs: ordinary and toxic documents."""
-    n = some.select("text", "y").mapInArrow(_counted, "piece binary, a long, b long").groupBy("piece").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    p = (F.col("a") + F.col("b")) / float(sum(docs))
-    z = (F.col("a") / float(docs[1]) - F.col("b") / float(docs[0])) / F.sqrt(p * (1 - p) * (1 / docs[0] + 1 / docs[1]) + 1e-12)
-    found = n.where(F.col("a") >= LEAST_DOCS).select("piece", z.alias("z")).where(F.col("z") > SALIENT).collect()
-    return [bytes(r.piece) for r in sorted(found, key=lambda r: (r.z, bytes(r.piece)), reverse=True)]
+            found[y].update(set(windows(words_of(t), 1)))
+        all_ = list(found[0] | found[1])
+        cols = [pa.array(all_, pa.binary()), *(pa.array([found[y][x] for x in all_], pa.int64()) for y in (1, 0))]
+        yield pa.RecordBatch.from_arrays(cols, ["win", "a", "b"])
+
+
+def _content(rows: list, size: int) -> bytes:
+    """The first windows up to a size, the first of them last, where references are cheapest."""
+    out, n = [], 0
+    for r in rows:
+        n += len(r.win)
+        if n > size:
+            break
+        out.append(bytes(r.win))
+    return b"".join(reversed(out))
+
+
+def dictionaries(some: DataFrame, docs: tuple[int, int]) -> tuple[bytes, bytes]:
+    """Contents of the toxic and of the ordinary dictionary, from texts with labels y. docs: ordinary
+    and toxic documents. Windows are counted in tasks; the driver receives what fits a dictionary."""
+    n = some.select("text", "y").mapInArrow(_counted, "win binary, a long, b long").groupBy("win").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = cut(n, "toxicity-windows")
+    telling = n.where(F.col("a") >= LEAST_DOCS).where(F.col("a") * docs[0] > TIMES * F.col("b") * docs[1])
+    toxic = telling.orderBy(F.desc("a"), "win").limit(TOXIC_SIZE // 2).collect()
+    usual = n.where("b > 1").orderBy(F.desc("b"), "win").limit(ORDINARY_SIZE // 2).collect()
+    return _content(toxic, TOXIC_SIZE), _content(usual, ORDINARY_SIZE)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """A scorer from at most about `sample` labelled documents, the first by a hash of their id, each
-    read whole in tasks. Both dictionaries begin with ordinary text; the toxic one goes on with all
-    salient pieces, the most telling last, where references are cheapest. Documents that made the
-    dictionaries look more toxic than new ones, so others calibrate (the same where those lack a
-    label). The driver receives passages of ordinary text, the salient pieces and rows of features."""
+    read whole in tasks. Documents that made the dictionaries look more toxic (or ordinary) than new
+    ones, so others calibrate (the same where those lack a label). The driver receives dictionary
+    windows and rows of features."""
     spark = docs.sparkSession
     ship(spark)
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    order = F.xxhash64(F.col("id"), F.lit("toxicity"))
-    chosen = y.orderBy(order, "id").limit(sample)
+    chosen = y.orderBy(F.xxhash64(F.col("id"), F.lit("toxicity")), "id").limit(sample)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    some = cut(d.join(F.broadcast(chosen), "id").repartition(4 * spark.sparkContext.defaultParallelism, "id").dropDuplicates(["id"]), "toxicity-sample")
-    count = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    some = d.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    some = cut(some.repartition(4 * spark.sparkContext.defaultParallelism, "id"), "toxicity-sample")
+    calibrates = F.pmod(F.xxhash64(F.col("id"), F.lit("calibrates")), F.lit(CALIBRATES)) == 0
+    count: Counter = Counter()
+    own: Counter = Counter()
+    for r in some.groupBy("y", calibrates.alias("c")).count().collect():
+        count[r.y] += r["count"]
+        own[r.y] += r["count"] * r.c
     if len(count) < 2:
         return Scorer(b"", b"", constant=float(max(count, default=0)))
-    calibrates = F.pmod(F.xxhash64(F.col("id"), F.lit("calibrates")), F.lit(CALIBRATES)) == 0
-    own = {r.y: r["count"] for r in some.where(calibrates).groupBy("y").count().collect()}
-    apart = all(0 < own.get(k, 0) < count[k] for k in (0, 1))
+    apart = all(0 < own[k] < count[k] for k in (0, 1))
     taught, rest = (some.where(~calibrates), some.where(calibrates)) if apart else (some, some)
-    docs_of = tuple(count[k] - own[k] if apart else count[k] for k in (0, 1))
-    telling: list[bytes] = []
-    taken: set[bytes] = set()
-    begun: set[bytes] = set()  # beginnings of the pieces taken
-    for piece in salient(taught, docs_of):
-        starts = {piece[:n] for n in range(1, len(piece) + 1)}
-        if piece not in begun and starts.isdisjoint(taken):
-            telling.append(piece)
-            taken.add(piece)
-            begun |= starts
-    ordinary = taught.where("y = 0").select("id", "text").mapInArrow(_passages, "id long, some binary").where("length(some) > 1").orderBy(order, "id").limit(SHARED // 2)
-    shared = b"".join(bytes(r.some) for r in ordinary.collect())[:SHARED]
-    scorer = Scorer(shared + b"".join(b" " + x.strip() for x in reversed(telling)) + b" ", shared)
+    scorer = Scorer(*dictionaries(taught, tuple(count[k] - own[k] if apart else count[k] for k in (0, 1))))
     raw = spark.sparkContext.broadcast(scorer)
 
     def measured(batches):

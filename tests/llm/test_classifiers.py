@@ -1,8 +1,11 @@
 """Language and toxicity: held-out accuracy, fixed cases, odd rows."""
 
+import math
 import random
 import zlib
 
+import zstandard
+
 from riverlens.llm import langid, toxicity
 
 SYLLABLES = {"en": ["th", "er", "ing", "on", "the"], "de": ["sch", "ung", "ein", "ö", "der"], "fr": ["é", "eau", "oui", "tre", "le"]}
@@ -82,6 +85,38 @@ def test_toxicity_held_out(spark):
     assert kept.columns == d.columns and 0 < kept.count() < len(docs)
 
 
+def test_dictionaries_and_scores_as_brute_force(spark):
+    """Windows counted by hand, lengths compressed one by one, the logistic curve by hand."""
+    docs, labels = toxic_rows(300, 5)
+    texts_of, y = {d[0]: d[1] for d in docs}, {i: t for i, _, t in labels}
+    n = [sum(t == k for t in y.values()) for k in (0, 1)]
+    held = ({}, {})
+    for i, t in texts_of.items():
+        for w in {b" " + w + b" " for w in toxicity.words_of(t)}:
+            held[y[i]][w] = held[y[i]].get(w, 0) + 1
+    telling = {w: a for w, a in held[1].items() if a >= 3 and a * n[0] > 16 * held[0].get(w, 0) * n[1]}
+    first = lambda d: b"".join(w for w, _ in sorted(d.items(), key=lambda x: (-x[1], x[0]))[::-1])
+    usual = {w: b for w, b in held[0].items() if b > 1}
+    some = spark.createDataFrame([(i, y[i], t) for i, t in texts_of.items()], "id long, y int, text string").repartition(3)
+    toxic, ordinary = toxicity.dictionaries(some, (n[0], n[1]))
+    assert toxic == first(telling) and b" stupid " in toxic and b" stupid " not in ordinary
+    assert ordinary == first(usual)
+    s = toxicity.Scorer(toxic, ordinary)
+    s.calibrate([s.features(t) for t in texts_of.values()], [y[i] for i in texts_of])
+    length = []
+    for content in (ordinary, toxic):
+        d = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        length.append(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    for text in [*list(texts_of.values())[:40], "", None, "one", "a b " * 3000]:
+        w = toxicity.words_of(text)
+        pairs = [b" " + b" ".join(w[i : i + 2]) + b" " for i in range(max(1, len(w) - 1))]
+        x = sorted((len(length[0].compress(p + toxicity.TAIL)) - len(length[1].compress(p + toxicity.TAIL)) for p in pairs), reverse=True)
+        past = [sum(v >= k for v in x) for k in toxicity.DISTANCES]
+        f = [x[0], sum(x[:3]) / 3, sum(x[:10]) / 10, sum(x) / len(x), *(math.log(1 + p) for p in past), *(p / len(x) for p in past)]
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(f, s.weights, strict=False)) + s.weights[-1]))))
+        assert abs(s.score(text) - want) < 1e-9
+
+
 def test_toxicity_with_one_label_or_none(spark):
     d = spark.createDataFrame([(1, "a b", "en", "s", "x"), (2, None, "en", "s", "x")], SCHEMA)
     for rows, want in (([], 0.0), ([(1, 1, 1)], 1.0)):
