@@ -8,8 +8,9 @@ no window is worked out on the driver and deficits carry across partitions. When
 the others share its part (a new phase). Windows follow each other without a gap and are cut into
 sequences of `length` tokens, so that only the last sequence has room left.
 
-Defined cases: a null or empty text is the end id alone; a null source is a queue of its own; repeated
-rows are documents of their own; an empty table gives no pieces; a null id stays null. Sources beyond
+Defined cases: a null or empty text is the end id alone; a very long text is tokenized whole and cut
+wherever windows and sequences end; a null source is a queue of its own; repeated rows are documents
+of their own; an empty table gives no pieces; a null id stays null. Sources beyond
 the `queues` largest that no target names share a queue, which is dealt among them by the same round-robin.
 Columns other than id, text and source are ignored.
 """
@@ -43,6 +44,13 @@ _TAIL = b".,!?;:%$&*#|"
 KNOWN_WORDS = 1_000_000
 
 
+def _ends_in_letter(stem: bytes) -> bool:
+    """The last character stays one letter in any normal form and in lower case, so that punctuation
+    after it begins a token run of its own. Other words go to the tokenizer whole."""
+    c = stem.decode()[-1:]
+    return c.isalpha() and c < "\u0180" and len(c.lower()) == 1 and c.lower().isalpha()
+
+
 class Ids:
     """Token ids of whole texts. A tokenizer that never lets a token cross ASCII white space gives
     for a text what it gives for its words one by one, so words are looked up, and only unknown ones
@@ -75,13 +83,13 @@ class Ids:
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        """ASCII letters are lower-cased by the tokenizer anyway, and punctuation after a letter is a
+        """ASCII words are lower-cased by the tokenizer anyway, and punctuation after a letter is a
         token run of its own: a word is its lower-case stem and its tail, which other words share."""
         of, split = self.of, []
         for w in words:
-            low = w.lower() if self.lower else w
+            low = w.lower() if self.lower and w.isascii() else w
             stem = low.rstrip(_TAIL)
-            if stem is not low and (not stem or not stem.decode()[-1].isalpha()):
+            if stem is not low and not _ends_in_letter(stem):
                 stem = low
             split.append((w, stem, low[len(stem) :]))
         self._encode([x for x in {x for _, *parts in split for x in parts} if x and x not in of])
@@ -101,7 +109,7 @@ class Ids:
                 ids = np.array(e.ids, self.kind)
                 ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
                 if len(ends) != len(g):
-                    raise ValueError("the tokenizer does not keep words apart")
+                    continue  # a word that makes a mark: all of them go alone
                 start, data, size = 0, ids.tobytes(), ids.itemsize
                 for w, end in zip(g, ends, strict=True):
                     of[w] = data[start * size : end * size]
@@ -199,15 +207,17 @@ class Nested:
     """Shares of any number of queues: each round-robin has about `most` queues, and a queue can be
     what a further round-robin deals out, with its part of a window as window."""
 
-    def __init__(self, totals: list[int], targets: list[float] | None, window: int, most: int):
+    def __init__(self, totals: list[int], targets: list[float] | None, window: int, most: int, named: set[int] | None = None):
+        """named: sources that get a queue of the outermost round-robin whatever their size; those
+        with a target unless given."""
         self.totals, self.most = totals, max(2, most)
         self.routes: list[tuple] = [()] * len(totals)  # (Shares, queue) from each source's own to the outermost
-        named = {i for i, x in enumerate(targets or ()) if x > 0}
+        named = {i for i, x in enumerate(targets or ()) if x > 0} if named is None else named
         largest = sorted(range(len(totals)), key=lambda i: (i not in named, -totals[i], i))
         own = sorted(largest[: max(most, len(named))])
         rest = sorted(set(largest).difference(own))
         part = sum(totals[i] for i in rest)
-        outer = Shares([totals[i] for i in own] + [part] * bool(rest), [targets[i] for i in own] + [0.0] * bool(rest) if targets else None, window)
+        outer = Shares([totals[i] for i in own] + [part] * bool(rest), [targets[i] for i in own] + [sum(targets[i] for i in rest)] * bool(rest) if targets else None, window)
         for k, i in enumerate(own):
             self.routes[i] = ((outer, k),)
         if rest:
@@ -262,9 +272,10 @@ def _pieces(shared, kind, length):
 PIECES = T.StructType([T.StructField(x, T.LongType()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, end_id: int = END_ID, window: int = WINDOW, queues: int = QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float] | None = None, temper: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, end_id: int = END_ID, window: int = WINDOW, queues: int = QUEUES) -> DataFrame:
     """The pieces of all documents. targets: token weight of each source (those not named weigh 0
-    and come last); None keeps the proportions of the corpus in every window.
+    and come last). Without targets a source's weight is its tokens to the power `temper`: 1 keeps the
+    proportions of the corpus in every window, less than 1 gives small sources more.
 
     One scan tokenizes and writes ids, with each document's place in its source's tokens of its own
     partition. Totals by source and partition (small: a row for each) give every partition its start
@@ -288,12 +299,12 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float]
     sizes = {r.source: r.n for r in by_source.collect()}
     names = sorted(sizes, key=lambda x: (x is not None, x or ""))
     totals = [sizes[x] for x in names]
-    weights = [float(targets.get(x, 0)) for x in names] if targets is not None else None
+    weights = [float(targets.get(x, 0)) for x in names] if targets is not None else [t**temper for t in totals] if temper != 1 else None
     known = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "source string, queue int")
     per = per.join(known, per.source.eqNullSafe(known.source)).select(per.source, "part", "n", "queue")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     base = cut(base, "starts")  # so that Spark knows its size before it plans the join
     placed = t.join(base, t.source.eqNullSafe(base.s) & (t.part == base.p)).select("doc_id", "queue", "base", "at", "n", "ids")
-    shares = spark.sparkContext.broadcast(Nested(totals, weights, window, queues))
+    shares = spark.sparkContext.broadcast(Nested(totals, weights, window, queues, None if targets is not None else set()))
     return placed.mapInArrow(_pieces(shares, kind, length), PIECES)

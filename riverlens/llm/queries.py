@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, embedding, html, langid, minhash, packing, quality, substring, toxicity
 
+#: Power of a source's tokens that its share of each packed window goes with.
+MIXTURE = 0.7
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +36,8 @@ def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """Target mixture: a source's share of each window goes with its tokens to the power MIXTURE."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), temper=MIXTURE)
 
 
 def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

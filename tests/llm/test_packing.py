@@ -98,3 +98,40 @@ def test_named_source_beyond_the_queues_keeps_its_target(spark):
     check(rows, pieces, 256)
     share = [sum(p.length for p in pieces if p.sequence_id == s and p.doc_id < 10) for s in range(15)]
     assert all(abs(x - 64) <= 4 for x in share)
+
+
+def test_ids_of_random_strings_as_the_library():
+    """Combining marks, letters that change their number in lower case, the mark between words."""
+    rng = np.random.default_rng(7)
+    parts = ["İ", "i\u0307", "I\u0307", "BELEDİYESİ", "ß", "ẞ", "ŉ", "ǰ", "K", "Å", "A\u030a", "e\u0301", "가", "\u1100\u1161", "ﬁ", "ſ", "ά", "ΑΣ", "\u0338", "\u0345", "ⅷ", "²", "x", "Qu", "'s", "don't", "~", "~~", "<|", "<|endoftext|>", ".", ",", "!?", "#", "|", "%", "$", "\u200d", "😀", "́", "7", "\u1e9e", "\u00b7", "\u02b0", "\u0e33", "\u2167"]
+    texts = ["".join(rng.choice(parts) + (str(rng.choice([" ", "\n", "\u00a0", "\u2003"])) if rng.random() < 0.3 else "") for _ in range(int(rng.integers(1, 14)))) for _ in range(6000)]
+    texts += ["BELEDİYESİ. son", "İ.", "aİ,", None, ""]
+    lib = Tokenizer.from_file(PATH)
+    with open(PATH) as f:
+        got = packing.Ids(f.read(), "<u4")(texts)
+    for t, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 977}" for i in range(1_000_000))
+    rows = [(1, "one two", "a"), (1, "one two", "a"), (None, "three", "a"), (2, None, None), (3, long, "b")]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, source string, length string, start int, offset int, queue int")
+    got = packing.pack(docs, PATH).collect()
+    assert sum(p.length for p in got if p.doc_id == 1) == 2 * 3 and sum(p.length for p in got if p.doc_id is None) == 2
+    check([r for r in rows if r[0] in (2, 3)], [p for p in packing.pack(docs.where("doc_id > 1"), PATH).collect()], 4096)
+    assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_tempered_mixture(spark):
+    """Each window holds the sources in the proportion of their tokens to a power, until one runs dry."""
+    rows = [(i, "one two three four five six seven " * 20, "aaaaaaaab"[i % 9]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(docs, PATH, temper=0.5, length=256, window=1024).collect()
+    check(rows, pieces, 256)
+    source, share = {i: s for i, _, s in rows}, defaultdict(int)
+    for p in pieces:
+        if p.sequence_id < 40:
+            share[p.sequence_id // 4, source[p.doc_id]] += p.length
+    want = 1024 / (1 + 8**0.5)
+    assert all(abs(share[w, "b"] - want) <= 1 for w in range(10))
