@@ -1,171 +1,147 @@
 """Quality rules with adaptive thresholds, in SQL functions only.
 
 Measures of every document go into a quantile sketch per language and source: counts in buckets of
-bounded relative width (a histogram whose buckets keep a value's leading five bits). Such sketches
+bounded relative width (a histogram whose buckets keep a value's leading six bits). Such sketches
 merge by adding counts, which is what Spark's partial aggregation does, and are the same however the
-rows are dealt. Each group's limits come from its own quantiles; a group too small for that takes the
-merged sketch of its language, and then that of the corpus.
-
-Defined cases: a null or empty text has no words and fails the base rules; a null language or source is
-a group of its own; an empty table gives an empty result; repeated rows are judged alike. The measures
-stand in one column, `_quality`, so that other columns may have any name.
+rows are dealt. To each group's sketch that of its language is added with the weight of a few
+documents, and to a language's that of the corpus, so that small groups lean on larger ones; there is
+no other limit than the quantiles of these sketches.
+
+Defined cases: a null or empty text has no words and fails the base rules; a very long text is measured
+whole; a null language or source is a group of its own; an empty table gives an empty result; repeated
+rows are judged alike and each counts. Other columns are ignored by verdicts() and kept by keep_good(),
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SPACE = r"[\\x20\\x09-\\x0D]"
-#: Words up to which a window's place is packed beside its hash; longer texts sort structs.
-PACKED = 2_000_000
-#: Documents that a group needs for limits of its own.
-LEAST_DOCS = 50
-#: Spreads (median less lower quartile) that a value may lie from the median, and what every group
-#: grants besides, by measure: per 1000 words, words, lines and characters; 1/100 character.
-SPREADS = 6
-GRANTS = {"symbols": 100, "repeats": 200, "dup_lines": 200, "capitals": 200, "length": 150}
-
-_SORTED = """
-case when size(w) <= {packed} then sort_array(transform(sequence(0, size(w) - 3), i ->
-    (xxhash64(w[i], w[i + 1], w[i + 2]) & -2097152L) | cast(i as bigint))) end"""
-_SAME = "(get(w, {p}) <=> get(w, {q}) and get(w, {p} + 1) <=> get(w, {q} + 1) and get(w, {p} + 2) <=> get(w, {q} + 2))"
-_PLACE = "cast({} & 2097151L as int)"
-_TWICE = """
-transform(filter(s, (x, i) ->
-    (shiftright(x, 21) <=> shiftright(get(s, i - 1), 21) and {before})
-    or (shiftright(x, 21) <=> shiftright(get(s, i + 1), 21) and {after})), x -> {place})""".format(
-    before=_SAME.format(p=_PLACE.format("x"), q=_PLACE.format("get(s, i - 1)")),
-    after=_SAME.format(p=_PLACE.format("x"), q=_PLACE.format("get(s, i + 1)")),
-    place=_PLACE.format("x"),
-)
-_LONG = """
-transform(array(sort_array(transform(sequence(0, size(w) - 3), i -> struct(w[i] as a, w[i + 1] as b, w[i + 2] as c, i as i)))), t ->
-    transform(filter(t, (x, i) ->
-        (x.a <=> get(t, i - 1).a and x.b <=> get(t, i - 1).b and x.c <=> get(t, i - 1).c)
-        or (x.a <=> get(t, i + 1).a and x.b <=> get(t, i + 1).b and x.c <=> get(t, i + 1).c)), x -> x.i))[0]"""
-#: Words in 3-word windows found twice or more, of a word array w: sort the windows, keep those equal
-#: to a neighbour, add up what each covers before the next one starts. Arrays used more than once are
-#: bound as lambda variables, so that each is made once a row.
+#: Documents that the wider sketch counts as in a narrower one, and parts that a document is counted in.
+PRIOR, PARTS = 50, 1000
+#: A value may lie so many distances between the quartiles past the nearer quartile, by their ratio.
+FENCE = 3
+#: Words and lines that every document is given besides its own, with one find, so that documents
+#: without any finds differ by their length and quantiles do not collapse at zero.
+SMOOTH, SMOOTH_LINES = 100, 10
+MEASURES = ("symbols", "repeats", "dup_lines", "capitals", "length")
+
+#: Words in 3-word windows found twice or more, of a word array w: sort the windows by a hash and their
+#: words, keep those equal to a neighbour, add up what each covers before the next one starts. Arrays
+#: used more than once are bound as lambda variables, so that each is made once a row.
 _REPEATS = """
 case when size(w) < 4 then 0L else
-    transform(array(sort_array(case when size(w) <= {packed} then
-        transform(array({sorted}), s -> {twice})[0] else {long} end)), p ->
+    transform(array(sort_array(transform(sequence(0, size(w) - 3), i ->
+        struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, w[i] as a, w[i + 1] as b, w[i + 2] as c, i as i)))), s ->
+    transform(array(sort_array(transform(filter(s, (x, i) ->
+        (x.h <=> get(s, i - 1).h and x.a <=> get(s, i - 1).a and x.b <=> get(s, i - 1).b and x.c <=> get(s, i - 1).c)
+        or (x.h <=> get(s, i + 1).h and x.a <=> get(s, i + 1).a and x.b <=> get(s, i + 1).b and x.c <=> get(s, i + 1).c)), x -> x.i))), p ->
         cast(aggregate(sequence(0, greatest(size(p) - 1, 0)), 0L, (n, i) ->
-            n + case when size(p) = 0 then 0L else cast(least(3, coalesce(get(p, i + 1) - get(p, i), 3)) as bigint) end) as bigint))[0]
+            n + case when size(p) = 0 then 0L else cast(least(3, coalesce(get(p, i + 1) - get(p, i), 3)) as bigint) end) as bigint))[0])[0]
 end"""
 
+#: Values that limits are set for, in millionths: finds (and one) for words, lines or characters.
+_VALUES = {
+    "symbols": f"(n_symbols + 1) * 1000000 div (n_words + {SMOOTH})",
+    "repeats": f"(n_repeat_words + 1) * 1000000 div (n_words + {SMOOTH})",
+    "dup_lines": f"(n_dup_lines + 1) * 1000000 div (n_lines + {SMOOTH_LINES})",
+    "capitals": f"(n_capitals + 1) * 1000000 div (word_chars + {SMOOTH})",
+    "length": "(word_chars + 1) * 1000000 div (n_words + 1)",
+}
+
 
-def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", packed: int = PACKED) -> DataFrame:
-    """docs with the column `_quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, lang, source and the values that limits are set for."""
-    text = f"coalesce(cast(`{text_col}` as string), '')"
-    repeats = _REPEATS.format(packed=packed, sorted=_SORTED.format(packed=packed), twice=_TWICE, long=_LONG)
+def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Two columns for each row: doc, a struct of all columns of docs, and q, a struct of n_words,
+    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lang, source and MEASURES."""
     counted = f"""
-    transform(array({text}), t -> transform(array(filter(split(t, '{SPACE}+'), x -> x <> '')), w ->
+    transform(array(coalesce(text, '')), t -> transform(array(filter(split(t, '{SPACE}+'), x -> x <> '')), w ->
         transform(array(filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')), l -> named_struct(
             'n_words', cast(size(w) as bigint),
             'word_chars', cast(length(array_join(w, '')) as bigint),
             'n_symbols', cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '')) as bigint),
             'n_lines', cast(size(l) as bigint),
             'n_dup_lines', cast(size(l) - size(array_distinct(l)) as bigint),
-            'n_repeat_words', {repeats},
+            'n_repeat_words', {_REPEATS},
             'n_capitals', cast(length(t) - length(regexp_replace(t, '[A-Z]', '')) as bigint)))[0])[0])[0]"""
-    q = docs.withColumn("_quality", F.expr(counted))
-    c = "_quality."
-    values = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    words = f"greatest({c}n_words, 1L)"
-    return q.withColumn(
-        "_quality",
-        F.struct(
-            *(F.col(c + v).alias(v) for v in values),
-            F.expr(f"{c}n_words < 50 or 100 * {c}n_repeat_words > 50 * {c}n_words").alias("base_failed"),
-            F.col(lang_col).cast("string").alias("lang"),
-            F.col(source_col).cast("string").alias("source"),
-            F.expr(f"{c}n_symbols * 1000 div {words}").alias("symbols"),
-            F.expr(f"{c}n_repeat_words * 1000 div {words}").alias("repeats"),
-            F.expr(f"{c}n_dup_lines * 1000 div greatest({c}n_lines, 1L)").alias("dup_lines"),
-            F.expr(f"{c}n_capitals * 1000 div greatest({c}word_chars, 1L)").alias("capitals"),
-            F.expr(f"{c}word_chars * 100 div {words}").alias("length"),
-        ),
-    )
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
+    d = docs.select(whole, *(docs[c].cast("string").alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
+    d = d.select("doc", "lang", "source", F.expr(counted).alias("c")).select("doc", "lang", "source", "c.*")
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return d.select("doc", F.struct(*counts, failed, "lang", "source", *(F.expr(e).alias(m) for m, e in _VALUES.items())).alias("q"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Mergeable sketches: lang, source, measure, bucket, n over documents that pass the base rules;
-    also merged by language (level 1) and over all (level 2)."""
-    m = measured.where("not _quality.base_failed").select("_quality.*")
-    names = list(GRANTS)
-    tall = m.select("lang", "source", F.expr(f"stack({len(names)}, {', '.join(f"'{x}', {x}" for x in names)}) as (measure, v)"))
-    shift = "greatest(length(bin(v)) - 5, 0)"
+    """lang, source, measure, bucket, n over documents that pass the base rules: mergeable sketches."""
+    m = measured.where("not q.base_failed").select("q.*")
+    tall = m.select("lang", "source", F.expr(f"stack({len(MEASURES)}, {', '.join(f"'{x}', {x}" for x in MEASURES)}) as (measure, v)"))
+    shift = "greatest(length(bin(v)) - 6, 0)"
     tall = tall.withColumn("bucket", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})"))
-    base = tall.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
-    by_lang = base.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    whole = base.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
-    return (
-        base.select(F.lit(0).alias("level"), "lang", "source", "measure", "bucket", "n")
-        .union(by_lang.select(F.lit(1), "lang", none, "measure", "bucket", "n"))
-        .union(whole.select(F.lit(2), none, none, "measure", "bucket", "n"))
-    )
+    return tall.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, docs and lo_/hi_ of each measure: the median plus or minus a few spreads
-    of its lower half, which up to half of a group's documents cannot move, plus the grant."""
-    from pyspark.sql import Window
+def _leaning(own: DataFrame, wider: DataFrame, keys: list[str], up: list[str]) -> DataFrame:
+    """keys, measure, bucket, n: each group's own counts in parts, and PRIOR documents dealt like the
+    wider sketch (up, measure, bucket, n)."""
+    both = ["measure", "bucket"]
+    total = F.sum("n").over(Window.partitionBy(*up, "measure"))
+    shares = wider.select(*(F.col(c).alias(f"k_{c}") for c in [*up, "measure"]), "bucket", F.col("n"), total.alias("total"))
+    shares = shares.select(*(f"k_{c}" for c in [*up, "measure"]), "bucket", F.expr(f"{PRIOR * PARTS} * n div total").alias("lent"))
+    on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in [*up, "measure"]]
+    lent = own.select(*keys, "measure").distinct().join(shares, on).select(*keys, *both, "lent")
+    mine = own.select(*keys, *both, (F.col("n") * PARTS).alias("lent"))
+    return lent.union(mine).groupBy(*keys, *both).agg(F.sum("lent").alias("n"))
 
-    group = Window.partitionBy("level", "lang", "source", "measure")
-    run = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    quantile = {p: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * p, F.col("bucket"))) for p in (1, 2)}
-    q = run.groupBy("level", "lang", "source", "measure").agg(F.max("docs").alias("docs"), quantile[1].alias("q1"), quantile[2].alias("q2"))
-    grant = F.create_map(*(F.lit(x) for kv in GRANTS.items() for x in kv))[F.col("measure")]
-    room = SPREADS * (F.col("q2") - F.col("q1")) + grant
-    q = q.select("level", "lang", "source", "docs", "measure", (F.col("q2") - room).alias("lo"), (F.col("q2") + room).alias("hi"))
-    pick = [F.max(F.when(F.col("measure") == x, F.col(side))).alias(f"{side}_{x}") for x in GRANTS for side in ("lo", "hi")]
-    return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *pick)
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """lang, source and lo_/hi_ of each measure: FENCE ratios of the quartiles beyond the quartiles,
+    which are the outer ends of the buckets that hold them."""
+    by_lang = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    keys = ["lang", "source"]
+    leaning = _leaning(sketch, _leaning(by_lang, whole, ["lang"], []), keys, ["lang"])
+    group = Window.partitionBy(*keys, "measure")
+    run = leaning.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    ends = {1: F.col("bucket"), 3: F.expr("bucket + shiftleft(1L, greatest(length(bin(bucket)) - 6, 0))")}
+    q = {p: F.min(F.when(F.col("upto") * 4 >= F.col("total") * p, end)).cast("double") for p, end in ends.items()}
+    q = run.groupBy(*keys, "measure").agg(q[1].alias("q1"), q[3].alias("q3"))
+    room = "q3 / q1" + " * q3 / q1" * (FENCE - 1)
+    q = q.select(*keys, "measure", F.expr(f"q1 / ({room})").alias("lo"), F.expr(f"q3 * ({room})").alias("hi"))
+    pick = [F.max(F.when(F.col("measure") == x, F.col(side))).alias(f"{side}_{x}") for x in MEASURES for side in ("lo", "hi")]
+    return q.groupBy(*keys).agg(*pick)
 
 
 def judge(measured: DataFrame, lim: DataFrame) -> DataFrame:
-    """measured with the boolean column `_kept`. The limits are a row for each language and source;
-    they are joined like any table, and broadcast only where Spark finds them small."""
-    cols = [f"{side}_{x}" for x in GRANTS for side in ("lo", "hi")]
-    out = measured
-    for level, keys in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
-        own = lim.where((F.col("level") == level) & (F.col("docs") >= (LEAST_DOCS if level < 2 else 0)))
-        own = own.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.struct(*cols).alias(f"_l{level}"))
-        if level == 2:  # one row, as it is an aggregate over all
-            out = out.join(F.broadcast(own.agg(F.first("_l2").alias("_l2"))))
-        else:
-            on = [out["_quality"][k].eqNullSafe(own[f"_k_{k}"]) for k in keys]
-            out = out.join(own, on, "left").drop(*(f"_k_{k}" for k in keys))
-    fits = "not _quality.base_failed"
-    lims = F.coalesce("_l0", "_l1", "_l2")
-    out = out.withColumn("_l", lims)
-    for x in GRANTS:
-        fits += f" and _quality.{x} <= _l.hi_{x}" + (f" and _quality.{x} >= _l.lo_{x}" if x == "length" else "")
-    return out.withColumn("_kept", F.coalesce(F.expr(fits), F.lit(False))).drop("_l0", "_l1", "_l2", "_l")
+    """measured with the boolean column kept. The limits are a row for each language and source; they
+    are joined like any table, and broadcast only where Spark finds them small."""
+    lim = lim.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), *(f"{side}_{x}" for x in MEASURES for side in ("lo", "hi")))
+    out = measured.join(lim, measured["q.lang"].eqNullSafe(lim["k_lang"]) & measured["q.source"].eqNullSafe(lim["k_source"]), "left")
+    fits = "not q.base_failed"
+    for x in MEASURES:
+        fits += f" and q.{x} <= hi_{x}" + (f" and q.{x} >= lo_{x}" if x == "length" else "")
+    return out.select(*measured.columns, F.coalesce(F.expr(fits), F.lit(False)).alias("kept"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", **cols) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    m = cut(measure(docs.withColumn("_id", F.col(id_col).cast("long")), **cols).select("_id", "_quality"), "measures")
-    lim = cut(limits(sketches(m)), "limits")
-    j = judge(m, lim)
+    m = cut(measure(docs, **cols).select(F.col("doc")[id_col].cast("long").alias("doc_id"), "q"), "measures")
+    j = judge(m, cut(limits(sketches(m)), "limits"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return j.select(F.col("_id").alias("doc_id"), *(F.col(f"_quality.{x}").alias(x) for x in names), F.col("_kept").alias("kept"))
+    return j.select("doc_id", *(F.col(f"q.{x}").alias(x) for x in names), "kept")
 
 
 def keep_good(docs: DataFrame, **cols) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Documents are measured twice, once
     for the limits; that is cheaper than to shuffle texts, and needs no key."""
-    lim = cut(limits(sketches(cut(measure(docs, **cols).select("_quality"), "measures"))), "limits")
-    return judge(measure(docs, **cols), lim).where("_kept").select(docs.columns)
+    lim = cut(limits(sketches(cut(measure(docs, **cols).select("q"), "measures"))), "limits")
+    return judge(measure(docs, **cols), lim).where("kept").select("doc.*")
 
 
-ORACLE_SQL = r"""
+_SQL = r"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t, row_number() over () as r from documents),
 w as (select r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
 x as (select r, unnest(ws) as a, generate_subscripts(ws, 1) as i from w),
@@ -181,37 +157,49 @@ m as (
   from d join w using (r) join l using (r) left join c using (r)),
 q as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    n_symbols * 1000 // greatest(n_words, 1) as symbols, n_repeat_words * 1000 // greatest(n_words, 1) as repeats,
-    n_dup_lines * 1000 // greatest(n_lines, 1) as dup_lines, n_capitals * 1000 // greatest(word_chars, 1) as capitals,
-    word_chars * 100 // greatest(n_words, 1) as length from m),
+    VALUES from m),
 s as (
-  select lang, source, measure, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as bucket
+  select lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bucket, count(*) as n
   from (select lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'capitals', 'length']) as measure,
-    unnest([symbols, repeats, dup_lines, capitals, length]) as v from q where not base_failed)),
-k as (
-  select 0 as level, lang, source, measure, bucket, count(*) as n from s group by all
-  union all select 1, lang, null, measure, bucket, count(*) from s group by all
-  union all select 2, null, null, measure, bucket, count(*) from s group by all),
+    unnest([symbols, repeats, dup_lines, capitals, length]) as v from q where not base_failed) group by all),
+whole as (select measure, bucket, sum(n) as n, sum(sum(n)) over (partition by measure) as total from s group by measure, bucket),
+langs as (
+  select lang, measure, bucket, sum(n)::bigint as n from (
+    select lang, measure, bucket, PARTS * n as n from s
+    union all select k.lang, measure, bucket, (PRIOR * PARTS * n) // total from whole join (select distinct lang, measure from s) k using (measure))
+  group by all),
+wide as (select *, sum(n) over (partition by lang, measure) as total from langs),
+leaning as (
+  select lang, source, measure, bucket, sum(n)::bigint as n from (
+    select lang, source, measure, bucket, PARTS * n as n from s
+    union all select k.lang, k.source, k.measure, bucket, (PRIOR * PARTS * n) // total
+      from wide join (select distinct lang, source, measure from s) k on k.lang is not distinct from wide.lang and k.measure = wide.measure)
+  group by all),
 u as (
-  select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto,
-    sum(n) over (partition by level, lang, source, measure) as docs from k),
+  select *, sum(n) over (partition by lang, source, measure order by bucket) as upto, sum(n) over (partition by lang, source, measure) as total from leaning),
 z as (
-  select level, lang, source, measure, max(docs) as docs, min(case when upto * 4 >= docs then bucket end) as q1,
-    min(case when upto * 4 >= docs * 2 then bucket end) as q2 from u group by all),
-h as (
-  select level, lang, source, docs, measure, q2 - room as lo, q2 + room as hi from (
-    select *, 6 * (q2 - q1) + case measure when 'symbols' then 100 when 'length' then 150 else 200 end as room from z)),
+  select lang, source, measure, min(case when upto * 4 >= total then bucket end)::double as q1, min(case when upto * 4 >= total * 3 then bucket + (1::bigint << greatest(length(bin(bucket)) - 6, 0)) end)::double as q3
+  from u group by all),
 p as (
-  select level, lang, source, max(docs) as docs, max(hi) filter (measure = 'symbols') as hi_symbols, max(hi) filter (measure = 'repeats') as hi_repeats,
-    max(hi) filter (measure = 'dup_lines') as hi_dup_lines, max(hi) filter (measure = 'capitals') as hi_capitals,
-    max(hi) filter (measure = 'length') as hi_length, max(lo) filter (measure = 'length') as lo_length from h group by all),
-v as (
-  select q.*, case when a.docs is not null then a when b.docs is not null then b else e end as l
-  from q left join p a on a.level = 0 and a.docs >= 50 and a.lang is not distinct from q.lang and a.source is not distinct from q.source
-  left join p b on b.level = 1 and b.docs >= 50 and b.lang is not distinct from q.lang
-  left join p e on e.level = 2)
+  select lang, source, HIGHS, max(q1 / (q3 / q1 * q3 / q1 * q3 / q1)) filter (measure = 'length') as lo_length from z group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(not base_failed and symbols <= l.hi_symbols and repeats <= l.hi_repeats and dup_lines <= l.hi_dup_lines
-    and capitals <= l.hi_capitals and length between l.lo_length and l.hi_length, false) as kept
-from v
+  coalesce(not base_failed and FITS and length >= lo_length, false) as kept
+from q left join p on p.lang is not distinct from q.lang and p.source is not distinct from q.source
 """
+
+
+def _oracle() -> str:
+    parts = {
+        "VALUES": ",\n    ".join(f"{e.replace(' div ', ' // ')} as {m}" for m, e in _VALUES.items()),
+        "HIGHS": ", ".join(f"max(q3 * (q3 / q1 * q3 / q1 * q3 / q1)) filter (measure = '{m}') as hi_{m}" for m in MEASURES),
+        "FITS": " and ".join(f"{m} <= hi_{m}" for m in MEASURES),
+        "PRIOR": str(PRIOR),
+        "PARTS": str(PARTS),
+    }
+    sql = _SQL
+    for k, v in parts.items():
+        sql = sql.replace(k, v)
+    return sql
+
+
+ORACLE_SQL = _oracle()

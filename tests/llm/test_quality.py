@@ -52,10 +52,41 @@ def test_measures_by_hand_and_verdicts_by_sql(spark):
     assert {r.kept for r in got} == {True, False}
 
 
-def test_long_texts_take_the_other_way_to_the_same_counts(spark):
-    d = spark.createDataFrame(rows(60, 2), SCHEMA)
-    a, b = (quality.measure(d, packed=p).select("doc_id", "_quality.*").collect() for p in (quality.PACKED, 10))
-    assert sorted(map(str, a)) == sorted(map(str, b))
+def test_limits_follow_their_group(spark):
+    """Two groups of differing cleanliness get differing limits for all five measures."""
+    rng = random.Random(5)
+
+    def text(dirt):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6 + 3 * dirt))) for _ in range(rng.randint(150, 250))]
+        for _ in range(rng.randint(0, 2 + 40 * dirt)):
+            words[rng.randrange(len(words))] += "#"
+        for _ in range(rng.randint(0, 2 + 40 * dirt)):
+            k = rng.randrange(len(words))
+            words[k] = words[k].upper()
+        if dirt:
+            words += words[:3] * rng.randint(2, 12)
+        out = " ".join(words)
+        return out + "\nsame line here" * (1 + rng.randint(10, 60) * dirt)
+
+    data = [(i, text(i % 2), "en", "ab"[i % 2], "x") for i in range(600)]
+    lim = {r.source: r for r in quality.limits(quality.sketches(quality.measure(spark.createDataFrame(data, SCHEMA)))).collect()}
+    for m in quality.MEASURES:
+        assert lim["b"][f"hi_{m}"] > lim["a"][f"hi_{m}"], m
+
+
+def test_a_small_group_leans_on_its_language(spark):
+    data = [(i, " ".join(["word" + str(j) for j in range(60 + i % 90)]), "en", "big", "x") for i in range(400)] + [(900, "w# " * 30 + " ".join(map(str, range(60))), "en", "tiny", "x")]
+    lim = {r.source: r for r in quality.limits(quality.sketches(quality.measure(spark.createDataFrame(data, SCHEMA)))).collect()}
+    assert abs(lim["tiny"].hi_symbols / lim["big"].hi_symbols - 1) < 0.3
+    kept = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert not kept[900] and sum(kept.values()) > 390
+
+
+def test_any_names_of_columns(spark):
+    d = spark.createDataFrame(rows(60, 3), SCHEMA)
+    odd = d.selectExpr("doc_id", "text", "lang", "source", "1 as q", "2 as doc", "3 as kept", "4 as _quality", "5 as _l", "6 as k_lang", "7 as hi_symbols", "8 as `a.b`", "9 as c", "10 as n_words")
+    assert quality.keep_good(odd).columns == odd.columns
+    assert quality.keep_good(odd).count() == quality.keep_good(d).count()
 
 
 def test_keep_good_keeps_columns_and_takes_an_empty_table(spark):
