@@ -9,9 +9,11 @@ from .common import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node sends its larger neighbours to the least node in its closed neighbourhood."""
+    """Each node sends its larger neighbours to the least node in its closed neighbourhood. The least
+    nodes are written first: between two tables Spark splits the join where a node has very many
+    neighbours, which it can't behind an aggregate."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
