@@ -2,15 +2,17 @@
 exactly those.
 
 A window is 35 consecutive words. Windows with one word sequence have one minimizer (the word 8-gram
-with the least hash, the leftmost of equals) at one place in them, so the sketch counts minimizers
-instead of windows: its estimate for a window is its minimizer's count, which is never below the
-window's own. Consecutive windows with one minimizer are a run.
+with the least hash, the leftmost of equals) at one place in them, so the sketch counts each window
+under its minimizer: its estimate is never below the window's own count. Consecutive windows with one
+minimizer are a run. Each task fills a count-min array of its own; the arrays are merged by ranges of
+cells, and the bits of the cells with two or more, of a bounded size, go to all tasks.
 
 Defined cases: a null or empty text has no words, n_words 0 and the digest of the empty string; texts
-shorter than a window lose nothing; repeated rows are places like any other, so both copies lose
-their words; a row without an id goes by a hash of its text; an id that stands for several texts is
-not meant, and gives each of them the spans of all. Other columns are kept by remove_repeats() and
-ignored by removal(), whatever their names.
+shorter than a window lose nothing; very long texts are read whole, a document at a time; repeated rows
+are places like any other, so both copies lose their words; rows are told apart by id and text, so an
+id with several texts has the spans of each, and rows without an id go by their text; an empty table
+gives an empty result. Other columns are kept by remove_repeats() and ignored by removal(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,104 +21,180 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, gram_hashes, hashes_of, mix, odd_constants, ship
 
 WINDOW, GRAM = 35, 8
-#: Rows of the count-min sketch, and bits of a cell's number. Cells are kept sparsely, so the width
-#: costs nothing; 40 bits keep rows apart up to about a million million minimizers.
-DEPTH, WIDTH_BITS = 2, 40
+#: Rows of the count-min sketch; cells of a row as a power of two, at most, and cells for each
+#: minimizer below that. 26 bits are 8 MB for each row that go to every task. Where a corpus fills the
+#: sketch, more windows go on to the exact pass, and none is lost.
+DEPTH, WIDTH_BITS, SPARE = 2, 26, 8
+#: Characters of text for each minimizer, about.
+CHARS = 60
+#: Ranges of cells that the arrays are merged by, and groups of tasks that are merged first.
+RANGES, GROUPS = 64, 16
 
 _COEFF = odd_constants(512, 21)
 _CACHE = WordHashes()
 
 
-_BASE = int(_COEFF[511])
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n at least."""
-    if len(_POWERS[0]) < n:
-        size = 2 * n
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words end at ASCII white space only, which is how bytes.split() works."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def runs_of(words: list[bytes], window: int, gram: int):
-    """For each run of windows: minimizer, digest of all its words and its place, first window, windows."""
+    """For each run of windows: minimizer, its place, first window, windows."""
     n = len(words) - window + 1
     if n <= 0:
         return None
-    h = hashes_of(words, _CACHE)
-    g = gram_hashes(h, gram, _COEFF)
+    g = gram_hashes(hashes_of(words, _CACHE), gram, _COEFF)
     at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(axis=1) + np.arange(n)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    count = np.diff(np.r_[first, n])
-    # a polynomial digest of the words of each run, from prefix sums: (P[end] - P[first]) / B**first
-    length = count + (window - 1)
-    up, down = _powers(len(h))
-    prefix = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=prefix[1:])
-    digest = (prefix[first + length] - prefix[first]) * down[first]
-    digest = mix(mix(digest) + (at[first] - first).astype(np.uint64) * np.uint64(65537) + length.astype(np.uint64))
-    return g[at[first]], digest, first, count
-
-
-def _runs(window, gram):
+    return g[at[first]], at[first], first, np.diff(np.r_[first, n])
+
+
+# --- the sketch
+
+
+def cells(minimizers: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each minimizer in each row of the sketch."""
+    return [(mix(minimizers + _COEFF[300 + j]) >> np.uint64(64 - bits)).astype(np.int64) for j in range(DEPTH)]
+
+
+def count(sketch: np.ndarray, minimizers: np.ndarray) -> None:
+    """Add minimizers to a sketch of DEPTH rows, whose counts stop at 2."""
+    bits = sketch.shape[1].bit_length() - 1
+    for row, c in zip(sketch, cells(minimizers, bits), strict=True):
+        at, n = np.unique(c, return_counts=True)
+        row[at] = np.minimum(2, row[at] + np.minimum(n, 2)).astype(np.uint8)
+
+
+def _sketch_of_task(bits, window, gram):
+    """The task's own sketch, a row for each range of cells that has any."""
+
     def run(batches):
+        from pyspark import TaskContext
+
+        sketch, found, size = np.zeros((DEPTH, 1 << bits), np.uint8), [], 0
         for b in batches:
-            parts, rows = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
+            for text in b.column(0).to_pylist():
                 r = runs_of(words_of(text), window, gram)
                 if r:
-                    parts.append(r)
-                    rows.append((i, len(r[0])))
-            if not parts:
-                continue
-            m, d, s, c = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            ids = b.column(0).take(pa.array(np.repeat([i for i, _ in rows], [n for _, n in rows])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(m.astype(np.int64)), pa.array(d.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32))], ["row", "m", "d", "start", "windows"])
+                    found.append(r[0])
+                    size += len(r[0])
+                if size > 1_000_000:
+                    count(sketch, np.concatenate(found))
+                    found, size = [], 0
+        if found:
+            count(sketch, np.concatenate(found))
+        group, pack = TaskContext.get().partitionId() % GROUPS, zstandard.ZstdCompressor(level=1).compress
+        for j, row in enumerate(sketch):
+            for k, part in enumerate(row.reshape(RANGES, -1)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([j * RANGES + k]), pa.array([group]), pa.array([pack(part.tobytes())], pa.binary())], ["range", "grp", "counts"])
 
     return run
 
 
-def _batch(parts):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["row", "m", "w", "start", "single"])
+def _merge(batches):
+    """The sums of consecutive rows of one range (and group), one array in memory at a time."""
+    now, total = None, None
+    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([pack(total.tobytes())], pa.binary())], ["range", "grp", "counts"])
+
+    for b in batches:
+        for k, g, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(unpack(blob), np.uint8)
+            if (k, g) != now:
+                if now is not None:
+                    yield out()
+                now, total = (k, g), own.copy()
+            else:
+                np.minimum(2, total + own, out=total)
+    if now is not None:
+        yield out()
+
+
+def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, width_bits: int = WIDTH_BITS) -> tuple[int, bytes]:
+    """Bits of a cell's number, and for each row and cell a bit: counted twice or more. The width goes
+    with the corpus's characters up to 2**width_bits."""
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    bits = min(width_bits, max(12, int(SPARE * chars / CHARS).bit_length()))
+    schema = "range long, grp long, counts binary"
+    parts = cut(docs.select(text_col).mapInArrow(_sketch_of_task(bits, window, gram), schema), "sketches")
+    parts = parts.repartition("range", "grp").sortWithinPartitions("range", "grp").mapInArrow(_merge, schema)
+    parts = parts.withColumn("grp", F.lit(0).cast("long")).repartition("range").sortWithinPartitions("range").mapInArrow(_merge, schema)
+    heavy = np.zeros((DEPTH * RANGES, (1 << bits) // RANGES), bool)
+    for r in parts.toLocalIterator():
+        heavy[r["range"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint8) > 1
+    return bits, np.packbits(heavy.reshape(-1), bitorder="little").tobytes()
+
+
+def maybe_repeated(minimizers: np.ndarray, bits: int, heavy: np.ndarray) -> np.ndarray:
+    """True where the sketch's estimate is two or more."""
+    ok = np.ones(len(minimizers), bool)
+    for j, c in enumerate(cells(minimizers, bits)):
+        c = c + (j << bits)
+        ok &= (heavy[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+# --- the exact pass
+
+
+def _runs(shared, bits, window, gram):
+    """Runs whose minimizer may be repeated, with the SHA-256 of their words and of the minimizer's place."""
+
+    def run(batches):
+        heavy = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            out = ([], [], [], [], [])
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                r = runs_of(words, window, gram)
+                if not r:
+                    continue
+                keep = maybe_repeated(r[0], bits, heavy)
+                for m, at, first, n in zip(*(x[keep].tolist() for x in r), strict=True):
+                    digest = hashlib.sha256(b"%d " % (at - first) + b" ".join(words[first : first + n + window - 1])).digest()
+                    for x, v in zip(out, (row, m, digest, first, n), strict=True):
+                        x.append(v)
+            cols = [pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).astype(np.int64)), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "m", "d", "start", "windows"])
+
+    return run
 
 
 def _windows(window):
-    """Digests of the windows of given runs: text, [(start, windows, single)]."""
+    """The windows of given runs, each with the SHA-256 of its words."""
 
     def run(batches):
         for b in batches:
-            out, size = [], 0
+            out = ([], [], [], [])
             for row, text, runs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = gram_hashes(hashes_of(words_of(text), _CACHE), window, _COEFF[100:]).astype(np.int64)
+                words = words_of(text)
                 for r in runs:
-                    own = w[r["start"] : r["start"] + r["windows"]]
-                    n = len(own)
-                    out.append((np.full(n, row), np.full(n, r["m"]), own, np.arange(r["start"], r["start"] + n, dtype=np.int32), np.full(n, r["single"])))
-                    size += n
-                if size > 200_000:
+                    for i in range(r["start"], r["start"] + r["windows"]):
+                        for x, v in zip(out, (row, hashlib.sha256(b" ".join(words[i : i + window])).digest(), i, r["single"]), strict=True):
+                            x.append(v)
+                if len(out[0]) > 100_000:
                     yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
+                    out = ([], [], [], [])
+            yield _batch(out)
 
     return run
 
 
+def _batch(cols):
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], ["row", "w", "start", "single"])
+
+
 def _mask(n: int, spans, window: int) -> np.ndarray:
     """True for the words that a repeated window covers."""
     gone = np.zeros(n + 1, np.int64)
@@ -126,51 +204,41 @@ def _mask(n: int, spans, window: int) -> np.ndarray:
     return np.cumsum(gone[:n]) > 0
 
 
-def _row(id_col: str, text_col: str):
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
-
-
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(_row(id_col, text_col).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    return docs.select(F.xxhash64(key, text).alias("row"), text.alias("text"), key.alias("doc_id"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, spans): for each id with a repeated window, arrays of (start, windows).
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, width_bits: int = WIDTH_BITS) -> DataFrame:
+    """(row, spans): for each row with a repeated window, arrays of (start, windows).
 
-    1. One scan writes the runs: minimizer, digest, place.
-    2. Each task sums the cells of its minimizers (Spark's partial aggregation), the shuffle merges
-       these partition sketches; cells with two or more remain.
-    3. Runs whose minimizer has two or more in every row of the sketch go on; all others hold no
-       repeated window.
-    4. Exactly: equal runs (minimizer and digest) are repeated as a whole. Runs that are not, but
-       share their minimizer, are compared window by window with one copy of each other run. Every
-       count is summed before its shuffle, so a passage in a third of all documents costs a row a task.
+    1. Each task counts its minimizers in a count-min array; merged, they leave the bits of the cells
+       with two or more.
+    2. Each task writes the runs whose minimizer has such cells only; no other window is repeated, and
+       none of them enters a shuffle.
+    3. Exactly: runs with equal words are repeated as a whole. Runs that are not, but share their
+       minimizer, are compared window by window with one copy of each other run. Counts are summed
+       before their shuffles, so a passage in a third of all documents costs a row a task; the joins
+       that bring counts back are between written tables, which Spark splits where a key is hot.
     """
     spark = docs.sparkSession
     ship(spark)
     d = _numbered(docs, id_col, text_col)
-    runs = cut(d.select("row", "text").mapInArrow(_runs(window, gram), "row long, m long, d long, start int, windows int"), "runs")
-
-    cell = [F.expr(f"shiftrightunsigned(xxhash64(m, {j}), {64 - WIDTH_BITS}) * {DEPTH} + {j}") for j in range(DEPTH)]
-    sketch = runs.select(F.explode(F.array(*cell)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    sketch = cut(sketch, "sketch")
-    maybe = runs
-    for j in range(DEPTH):
-        maybe = maybe.withColumn("cell", cell[j]).join(sketch, "cell", "left_semi").drop("cell")
-    maybe = cut(maybe, "maybe")
+    bits, heavy = repeated_cells(d, "text", window, gram, width_bits)
+    shared = spark.sparkContext.broadcast(heavy)
+    maybe = cut(d.select("row", "text").mapInArrow(_runs(shared, bits, window, gram), "row long, m long, d binary, start int, windows int"), "maybe")
 
     place = F.struct("row", "start", "windows")
     same = cut(maybe.groupBy("m", "d").agg(F.count("*").alias("n"), F.min(place).alias("one")), "same")
     unsure = same.groupBy("m").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("m")
-    look = same.join(unsure, "m", "left_semi").select("m", "one.*", (F.col("n") == 1).alias("single"))
-    look = look.groupBy("row").agg(F.collect_list(F.struct("m", "start", "windows", "single")).alias("runs"))
-    wins = d.join(look, "row").select("row", "text", "runs").mapInArrow(_windows(window), "row long, m long, w long, start int, single boolean")
+    look = same.join(unsure, "m", "left_semi").select("one.*", (F.col("n") == 1).alias("single"))
+    look = look.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "single")).alias("runs"))
+    wins = d.dropDuplicates(["row"]).join(look, "row").select("row", "text", "runs").mapInArrow(_windows(window), "row long, w binary, start int, single boolean")
     wins = cut(wins, "windows")
-    twice = wins.groupBy("m", "w").agg(F.count("*").alias("n")).where("n > 1").select("m", "w")
-    by_window = wins.where("single").join(twice, ["m", "w"], "left_semi").select("row", "start", F.lit(1).alias("windows"))
-    by_run = maybe.join(same.where("n > 1").select("m", "d"), ["m", "d"], "left_semi").select("row", "start", "windows")
-    return by_run.union(by_window).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    twice = cut(wins.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
+    by_window = wins.where("single").join(twice, "w", "left_semi").select("row", "start", F.lit(1).alias("windows"))
+    by_run = maybe.join(same.where("n > 1").select("d"), "d", "left_semi").select("row", "start", "windows")
+    return by_run.union(by_window).groupBy("row").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -197,19 +265,21 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with the repeated windows' words taken out. A text that loses nothing stays as it is; in
     the others the words left are joined by one space. All rows and other columns stay."""
-    spans = cut(repeated_spans(docs, id_col, text_col, window, gram), "spans").select(F.col("row").alias("_span_row"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, _row(id_col, text_col) == F.col("_span_row"), "left").drop("_span_row")
+    spans = cut(repeated_spans(docs, id_col, text_col, window, gram), "spans")
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
+    own = docs.select(whole, F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("row"))
+    joined = own.join(spans, "row", "left").select("doc", "spans")
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
+            cols = b.column(0).flatten()
             texts = []
-            for text, sp in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, sp in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True):
                 if sp:
                     words = words_of(text)
                     text = b" ".join([words[i] for i in np.flatnonzero(~_mask(len(words), sp, window))]).decode("utf-8", "surrogatepass")
                 texts.append(text)
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 

@@ -1,10 +1,8 @@
-"""Near-dedup and substring dedup against brute force, with planted copies."""
+"""Near-dedup against brute force, with planted copies."""
 
-import collections
-import hashlib
 import random
 
-from riverlens.llm import minhash, substring
+from riverlens.llm import minhash
 from riverlens.llm.components import components
 
 SCHEMA = "doc_id long, text string, n_shingles string"
@@ -145,37 +143,3 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (None, 4)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
-
-
-def brute_removal(rows, window=35):
-    places, words = collections.Counter(), []
-    for _, t, _ in rows:
-        w = (t or "").encode().split()
-        words.append(w)
-        places.update(tuple(w[j : j + window]) for j in range(len(w) - window + 1))
-    out = []
-    for (i, _, _), w in zip(rows, words, strict=True):
-        gone = set()
-        for j in range(len(w) - window + 1):
-            if places[tuple(w[j : j + window])] > 1:
-                gone.update(range(j, j + window))
-        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    return out
-
-
-def test_removal_as_brute_force(spark):
-    rng = random.Random(4)
-    rows = corpus(200, 5) + [(900, " ".join(f"z{i % 40}" for i in range(300)), "x"), (901, " ".join(rng.choice("ab") for _ in range(500)), "x")]
-    got = sorted(map(tuple, substring.removal(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()), key=str)
-    assert got == sorted(brute_removal(rows), key=str)
-    assert substring.removal(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_remove_repeats_keeps_rows_and_columns(spark):
-    rows = corpus(60, 6)
-    docs = spark.createDataFrame(rows, SCHEMA)
-    got = substring.remove_repeats(docs)
-    assert got.columns == docs.columns
-    texts = collections.Counter(hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() for r in got.collect())
-    assert texts == collections.Counter(h for *_, h in brute_removal(rows))
