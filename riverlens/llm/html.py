@@ -1,35 +1,46 @@
 """Main text of web pages by union-free regular expressions of their hosts.
 
-For each host a few pages' token streams are aligned one after the other. A wrapper is a sequence of
-tags, texts and groups: texts that differ become slots, runs of a repeated group become one repeated
-group, and what only some pages have becomes optional. The wrapper tells which container holds the
-host's varying text; every page then gives the text of that container without its boilerplate.
-
-Defined cases: a null or empty html gives the empty text; a null url or one without a host shares
-the wrapper of pages without a host; a page without the wrapper's container is treated as a host of
-its own; repeated rows are extracted alike; an empty table gives an empty result. Only id, url and html
-are read, whatever other columns there are.
+Every page is an ordered tree of block elements. All pages of a host are aligned into one wrapper:
+sibling elements that only some pages have become optional, runs of equal groups of siblings become
+one repeated group, and texts that differ between pages become slots. The wrapper says how much
+varying text each of its elements holds on average. From the root, a page's main container is
+reached by going to the element with most of the varying text; of the container, a page gives its
+blocks but those that the wrapper shows to be template text or lists of links.
+
+Pages of equal structure are merged in their tasks, then structures in the order of their hashes, so
+the wrapper of a host does not depend on how its pages are dealt, and only counts are shuffled.
+
+Defined cases: a null or empty html gives the empty text; a very long page is read whole; a null url
+or one without a host shares the wrapper of pages without a host; where a host has one page, or no
+text of it varies, all text counts as varying; parts of a page that no other has count by their own
+wrapper; repeated rows are extracted alike and count as pages; an empty table gives an empty result.
+Only url and html are read and the id is passed on, whatever other columns there are.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import pickle
 import re
-from collections import Counter
-from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-#: Pages of a host that its wrapper is inferred from, the first by a hash of their id.
-PAGES = 6
-#: Longest repeated group, in tokens.
-GROUP = 12
-#: Tokens of a sampled page that are aligned; extraction itself reads every page whole.
-ALIGNED = 4000
+#: Longest repeated group, in siblings.
+GROUP = 8
+#: Share of a container's varying text that an element must hold to be gone into.
+SHARE = 0.7
+#: Pages by which text that never varies is known to be the host's, and share of link text in a list of links.
+SEEN, LINKS = 3, 0.8
+#: Elements that a page's tree is deep.
+NESTED = 150
+#: Groups of structures of a host that are merged apart, and structures that a task keeps at a time.
+PARTS, KEPT = 16, 2000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -37,8 +48,10 @@ BLOCK = frozenset(
     " legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
-#: Elements that never hold article text, and words in class, id or role that mark such elements.
+HEADING = frozenset("h1 h2 h3".split())
+#: Elements that never hold article text.
 DROPPED = RAW | frozenset("head nav footer header aside form button select input label svg canvas object audio video menu dialog fieldset search map math".split())
+#: Words in class, id or role by which a smaller part of a container is taken to be no article text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner menu menubar nav navbar navigation breadcrumb breadcrumbs"
     " header masthead footer sidebar side aside rail widget notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe signup login"
@@ -72,236 +85,306 @@ def tokens(page: str):
             yield "text", page[m.start() : at], ""
 
 
-def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): next((x for x in v if x), "") for k, *v in _ATTR.findall(text)} if text else {}
+@functools.lru_cache(20_000)
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Of an element: its key in a wrapper (tag, classes and id without numbers), whether it never
+    holds article text, and whether it is named like a part that is none."""
+    a = {k.lower(): next((x for x in v if x), "") for k, *v in _ATTR.findall(attributes)} if attributes else {}
+    said = f"{a.get('class', '')} {a.get('id', '')}".lower()
+    key = ".".join([tag, *sorted(set(re.findall(r"[a-z_-]+", said)))])
+    never = tag in DROPPED or "hidden" in a or a.get("aria-hidden") == "true"
+    words = re.split(r"[^a-z]+", f"{said} {a.get('role', '')}".lower())
+    return key, never, tag not in ("html", "body", "main", "article") and any(w in MARKS for w in words)
 
 
-def name_of(tag: str, attributes: dict[str, str]) -> str:
-    """A container's name in a wrapper: tag, classes and id without numbers."""
-    words = sorted(set(re.findall(r"[a-z_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())))
-    return ".".join([tag, *words])
+class Element:
+    """A block element of a page; items are its texts (text, in a link) and elements in page order."""
 
+    __slots__ = ("depth", "items", "key", "marked", "never", "tag")
 
-def is_dropped(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-    return any(w in MARKS for w in re.split(r"[^a-z]+", said))
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.items, self.depth = tag, [], 0
+        self.key, self.never, self.marked = _named(tag, attributes)
 
+    def elements(self) -> list[Element]:
+        return [x for x in self.items if x.__class__ is Element]
 
-class Walk:
-    """Open elements while tokens go by, with the ends that HTML leaves out."""
 
-    def __init__(self):
-        self.open: list[tuple[str, str, bool]] = []  # tag, name, dropped here or above
+def parse(page: str) -> Element:
+    """The tree of a page, with the ends that HTML leaves out. Elements inside of a line only matter
+    where they are links or never hold article text; what is nested deeper than NESTED elements stands
+    in the innermost of those, block after block."""
+    root = Element("")
+    open_: list[tuple[str, Element]] = [("", root)]  # tag, the element that takes what comes next
 
-    def _pop(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in stop:
+    def pop(tags, stop) -> None:
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i][0] in stop:
                 return
-            if self.open[i][0] in tags:
-                del self.open[i:]
+            if open_[i][0] in tags:
+                del open_[i:]
                 return
 
-    def step(self, kind: str, tag: str, rest: str) -> None:
-        if kind == "open":
-            if tag in _CLOSES_P:
-                self._pop({"p"}, BLOCK - {"p"})
-            if tag in _SIBLINGS:
-                self._pop(*_SIBLINGS[tag])
-            if tag not in VOID:
-                a = _attributes(rest)
-                self.open.append((tag, name_of(tag, a), is_dropped(tag, a) or bool(self.open) and self.open[-1][2]))
-        elif kind == "close" and tag not in VOID:
-            if any(x[0] == tag for x in self.open):
-                stop = set() if tag in BLOCK or tag in DROPPED else BLOCK - {"p"}
-                self._pop({tag}, stop)
-
-
-# --- wrappers: items are (key, kind, value, optional, inner); kinds are tag, text, group
-
-
-def _items(page: str) -> list[dict]:
-    out = []
+    links = 0
     for kind, x, rest in tokens(page):
         if kind == "text":
-            said = " ".join(entities.unescape(x).split())
-            if said:
-                out.append({"key": "#", "text": said, "size": len(said), "optional": False})
+            open_[-1][1].items.append((x, links > 0))
+        elif kind == "open":
+            if x in _CLOSES_P:
+                pop({"p"}, BLOCK - {"p"})
+            if x in _SIBLINGS:
+                pop(*_SIBLINGS[x])
+            into = open_[-1][1]
+            if x in BLOCK or x in DROPPED or "hidden" in rest:
+                e = Element(x, rest)
+                if x in BLOCK or e.never:
+                    e.depth = into.depth + 1
+                    into.items.append(e)
+                    if e.never or e.depth < NESTED:
+                        into = e
+            elif x == "br":
+                into.items.append((" ", False))
+            if x not in VOID:
+                open_.append((x, into))
+            if x == "a":
+                links = 1
         else:
-            name = name_of(x, _attributes(rest)) if kind == "open" else x
-            out.append({"key": ("<" if kind == "open" else "</") + name, "optional": False})
-        if len(out) >= ALIGNED:
-            break
-    return out
+            if x == "a":
+                links = 0
+            if x not in VOID and any(t == x for t, _ in open_):
+                pop({x}, frozenset() if x in BLOCK or x in DROPPED else BLOCK - {"p"})
+                if links and not any(t == "a" for t, _ in open_):
+                    links = 0
+    return root
 
 
-def _fold(items: list[dict]) -> list[dict]:
-    """Neighbouring repeats of a group become one repeated group with slots for its texts."""
-    out, i = [], 0
-    keys = [x["key"] for x in items]
-    while i < len(items):
-        for n in range(2, GROUP + 1):
-            k = 1
-            while keys[i + k * n : i + (k + 1) * n] == keys[i : i + n]:
-                k += 1
-            if k > 1 and keys[i].startswith("<") and not keys[i].startswith("</"):
-                inner = []
-                for j in range(n):
-                    x = dict(items[i + j])
-                    if x["key"] == "#":
-                        same = {items[i + j + m * n]["text"] for m in range(k)}
-                        x |= {"text": items[i + j]["text"] if len(same) == 1 else None, "size": sum(items[i + j + m * n]["size"] for m in range(k))}
-                    inner.append(x)
-                out.append({"key": "(" + "".join(keys[i : i + n]) + ")+", "inner": inner, "optional": False})
-                i += k * n
-                break
-        else:
-            out.append(items[i])
-            i += 1
-    return out
+# --- wrappers
 
 
-def _join(a: dict, b: dict) -> dict:
-    """Two items with one key."""
-    both = {"key": a["key"], "optional": a["optional"] or b["optional"]}
-    if "inner" in a:
-        both["inner"] = [_join(x, y) for x, y in zip(a["inner"], b["inner"], strict=True)]
-    elif a["key"] == "#":
-        both |= {"text": a["text"] if a["text"] == b["text"] else None, "size": a["size"] + b["size"]}
-    return both
+class Part:
+    """An element of a wrapper: on how many pages it is, characters of its own texts outside and
+    inside of links, the hash of its own texts while it is the same on all pages (None: a slot),
+    whether it is optional or repeated, and the parts inside of it."""
 
+    __slots__ = ("inner", "key", "link", "optional", "pages", "repeated", "same", "size")
 
-def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
-    """The wrapper that matches both: mismatches become slots, optional items or repeated groups."""
-    match = SequenceMatcher(None, [x["key"] for x in wrapper], [x["key"] for x in page], autojunk=False)
-    out = []
-    for op, a0, a1, b0, b1 in match.get_opcodes():
-        if op == "equal":
-            out += [_join(x, y) for x, y in zip(wrapper[a0:a1], page[b0:b1], strict=True)]
-        else:
-            out += [x | {"optional": True} for x in wrapper[a0:a1]] + [x | {"optional": True} for x in page[b0:b1]]
-    return _fold_groups(out)
-
-
-def _fold_groups(items: list[dict]) -> list[dict]:
-    """A group beside an equal group, or beside one occurrence of itself, is taken into it."""
-    out: list[dict] = []
-    for x in items:
-        if out and "inner" in x and out[-1]["key"] == x["key"]:
-            out[-1] = _join(out[-1], x)
-        elif out and "inner" in out[-1] and "inner" not in x and out[-1]["key"] == "(" + x["key"] + ")+":
-            continue
-        else:
-            out.append(x)
-    return out
+    def __init__(self, key, pages=1, size=0, link=0, same=0, optional=False, repeated=False, inner=()):
+        self.key, self.pages, self.size, self.link, self.same = key, pages, size, link, same
+        self.optional, self.repeated, self.inner = optional, repeated, list(inner)
 
+    def state(self):
+        return self.key, self.pages, self.size, self.link, self.same, self.optional, self.repeated, [x.state() for x in self.inner]
 
-def infer(pages: list[str]) -> list[dict]:
-    """The wrapper of some pages of one host; equal pages count once."""
-    wrapper: list[dict] | None = None
-    for page in sorted(set(pages)):
-        items = _fold(_items(page))
-        wrapper = items if wrapper is None else align(wrapper, items)
-    return wrapper or []
+    @staticmethod
+    def of(state) -> Part:
+        return Part(*state[:-1], [Part.of(x) for x in state[-1]])
 
 
-def _flat(items: list[dict]):
-    for x in items:
-        yield from _flat(x["inner"]) if "inner" in x else (x,)
+def part(e: Element) -> Part:
+    """The wrapper of one element of one page."""
+    size = link = same = 0
+    for x in e.items:
+        if x.__class__ is tuple and (said := " ".join(x[0].split())):
+            same = xxhash.xxh64_intdigest(said.encode("utf-8", "surrogatepass"), same)
+            if x[1]:
+                link += len(said)
+            else:
+                size += len(said)
+    return Part(e.key, 1, size, link, same, inner=fold([part(x) for x in e.elements() if not x.never], together))
 
 
-def expression(wrapper: list[dict]) -> str:
-    """The wrapper as a regular expression over tokens: # is a slot, ? optional, + repeated."""
+def together(a: Part, b: Part) -> Part:
+    """Two occurrences of a repeated part on one page."""
+    same = None if a.same is None or b.same is None else xxhash.xxh64_intdigest(b.same.to_bytes(8, "little"), a.same)
+    return Part(a.key, max(a.pages, b.pages), a.size + b.size, a.link + b.link, same, a.optional or b.optional, True, _aligned(a.inner, b.inner, together))
 
-    def one(x: dict) -> str:
-        if "inner" in x:
-            body = "(" + "".join(map(one, x["inner"])) + ")+"
-        elif x["key"] == "#":
-            body = "#" if x["text"] is None else repr(x["text"])
-        else:
-            body = x["key"] + ">"
-        return f"({body})?" if x["optional"] else body
-
-    return "".join(map(one, wrapper))
-
-
-def container(wrapper: list[dict]) -> str | None:
-    """The name of the container of the host's text: an article or main element if there is one with
-    text, or else the innermost that holds most of the slots outside of boilerplate and links; if no
-    text varies, all text counts."""
-    weights: list[tuple[list[str], int, bool]] = []
-    walk = Walk()
-    for x in _flat(wrapper):
-        key = x["key"]
-        if key == "#":
-            if not (walk.open and walk.open[-1][2]) and not any(t == "a" for t, _, _ in walk.open):
-                weights.append(([n for _, n, _ in walk.open], x["size"], x["text"] is None))
-        elif key.startswith("</"):
-            walk.step("close", key[2:], "")
+
+def align(a: Part, b: Part) -> Part:
+    """The part that matches both, of different pages."""
+    same = a.same if a.same == b.same else None
+    return Part(a.key, a.pages + b.pages, a.size + b.size, a.link + b.link, same, a.optional or b.optional, a.repeated or b.repeated, _aligned(a.inner, b.inner, align))
+
+
+def fold(parts: list[Part], join) -> list[Part]:
+    """Runs of an equal group of siblings become one group, joined place by place."""
+    for g in range(1, GROUP + 1):
+        if len(parts) < 2 * g:
+            break
+        keys, out, i = [x.key for x in parts], [], 0
+        while i < len(parts):
+            n = 1
+            while keys[i + n * g : i + (n + 1) * g] == keys[i : i + g] and i + (n + 1) * g <= len(keys):
+                n += 1
+            group = parts[i : i + g] if n > 1 else parts[i : i + 1]
+            for k in range(1, n):
+                group = [join(x, y) for x, y in zip(group, parts[i + k * g : i + (k + 1) * g], strict=True)]
+            if n > 1:
+                for x in group:
+                    x.repeated = True
+            out += group
+            i += n * g if n > 1 else 1
+        parts = out
+    return parts
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, the first in order."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    n, m = len(a) - low, len(b) - low
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(m - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[low + i] == b[low + j] else max(below[j], row[j + 1])
+    out, i, j = [(k, k) for k in range(low)], 0, 0
+    while i < n and j < m:
+        if a[low + i] == b[low + j]:
+            out.append((low + i, low + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            tag, *words = key[1:].split(".")
-            walk.step("open", tag, f' class="{" ".join(words)}"' if words else "")
-    if any(slot for _, _, slot in weights):
-        weights = [w for w in weights if w[2]]
-    total = sum(size for _, size, _ in weights)
-    if not total:
-        return None
-    share: Counter = Counter()
-    depth: Counter = Counter()
-    for names, size, _ in weights:
-        for d, n in enumerate(names):
-            depth[n] = max(depth[n], d)
-        for n in set(names):
-            share[n] += size
-    for tag in ("article", "main"):
-        own = [n for n in share if n.split(".")[0] == tag and 10 * share[n] >= 2 * total]
-        if own:
-            return max(own, key=lambda n: (share[n], n))
-    wide = [n for n in share if 10 * share[n] >= 7 * total and n.split(".")[0] in ("div", "section", "td", "table", "body", "center")]
-    return max(wide, key=lambda n: (depth[n], share[n], n), default=None)
-
-
-def main_text(page: str | None, main: str | None) -> str:
-    """The blocks of a page inside of its main container, joined by line feeds. Where the page has no
-    such container, its own wrapper names one; without any, all text that is no boilerplate counts."""
-    if not page:
-        return ""
-    stream = list(tokens(page))
-    for name in (main, None):
-        if name is None:
-            name = container(_fold(_items(page)))
-        blocks = _blocks(stream, name)
-        if blocks or name is None:
-            return "\n".join(blocks)
-    return "\n".join(_blocks(stream, None))
-
-
-def _blocks(stream: list[tuple[str, str, str]], main: str | None) -> list[str]:
-    walk, blocks, line = Walk(), [], []
-    inside = main is None
-
-    def end():
-        said = " ".join(entities.unescape("".join(line)).split())
-        if said:
-            blocks.append(said)
-        line.clear()
-
-    for kind, x, rest in stream:
-        if kind == "text":
-            if inside and not (walk.open and walk.open[-1][2]):
-                line.append(x)
-            continue
-        if x in BLOCK:
-            end()
-        elif x == "br":
-            line.append(" ")
-        walk.step(kind, x, rest)
-        inside = main is None or any(n == main for _, n, _ in walk.open)
-    end()
-    return blocks
+            j += 1
+    return out
+
+
+def _aligned(a: list[Part], b: list[Part], join) -> list[Part]:
+    """Siblings of both: matched ones joined, the others optional, in order."""
+    if [x.key for x in a] == [x.key for x in b]:
+        return [join(x, y) for x, y in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for m, n in [*matches([x.key for x in a], [x.key for x in b]), (len(a), len(b))]:
+        for x in [*a[i:m], *b[j:n]]:
+            x.optional = True
+            out.append(x)
+        if m < len(a):
+            out.append(join(a[m], b[n]))
+        i, j = m + 1, n + 1
+    return fold(out, join)
+
+
+def infer(pages: list[str]) -> Part:
+    """The wrapper of some pages of one host, in this order."""
+    return functools.reduce(align, (part(parse(x)) for x in pages))
+
+
+def expression(p: Part) -> str:
+    """A wrapper as a regular expression over tokens: # is a slot, ? optional, + repeated."""
+    own = "#" if p.same is None else "text" if p.same else ""
+    body = f"<{p.key}>{own}{''.join(map(expression, p.inner))}</>"
+    return f"({body}){'+' if p.repeated else ''}{'?' if p.optional else ''}" if p.repeated or p.optional else body
+
+
+# --- extraction
+
+
+def _weights(w: Part, every: bool, out: dict[int, tuple[float, float]]) -> tuple[float, float]:
+    """Of each part: varying characters outside of links and all characters in links, a page."""
+    slot = w.size / w.pages if every or w.same is None else 0.0
+    link = w.link / w.pages
+    for x in w.inner:
+        a, b = _weights(x, every, out)
+        often = x.pages / w.pages
+        slot, link = slot + a * often, link + b * often
+    out[id(w)] = slot, link
+    return slot, link
+
+
+class Reader:
+    """Main texts of the pages of one host."""
+
+    def __init__(self, wrapper: Part):
+        self.wrapper, self.weight = wrapper, {}
+        if not _weights(wrapper, wrapper.pages == 1, self.weight)[0]:
+            _weights(wrapper, True, self.weight)
+        self.known = wrapper.pages >= SEEN
+
+    def _of(self, e: Element, w: Part | None) -> list[tuple[Element, Part | None]]:
+        """The elements of an element, each with its part of the wrapper."""
+        if w is None:
+            return [(x, None) for x in e.elements()]
+        at, out = 0, []
+        for x in e.elements():
+            found = next((k for k in [*range(at, len(w.inner)), *range(at)] if w.inner[k].key == x.key), None)
+            out.append((x, None if found is None else w.inner[found]))
+            at = at if found is None else found
+        return out
+
+    def _varying(self, e: Element, w: Part | None) -> float:
+        return 0.0 if e.never or w is None else self.weight[id(w)][0]
+
+    def container(self, root: Element) -> tuple[Element, Part | None]:
+        """Down from the root, while one element holds most of the varying text. Elements named like
+        boilerplate weigh nothing while others have text; a title stays with its text."""
+        e, w = root, self.wrapper
+        while True:
+            inner = [(x, p, self._varying(x, p)) for x, p in self._of(e, w)]
+            if any(v and not x.marked for x, _, v in inner):
+                inner = [(x, p, 0.0 if x.marked else v) for x, p, v in inner]
+            best = max(inner, key=lambda y: y[2], default=None)
+            own = w.size / w.pages if w is not None and w.same is None else 0.0
+            if best is None or not best[2] or best[2] < SHARE * (own + sum(v for *_, v in inner)):
+                return e, w
+            if best[1].repeated or not best[0].elements() or any(v and x.tag in HEADING for x, _, v in inner):
+                return e, w
+            e, w = best[0], best[1]
+
+    def text(self, page: str | None) -> str:
+        if not page:
+            return ""
+        e, w = self.container(parse(page))
+        blocks: list[str] = []
+        line: list[str] = []
+
+        def end() -> None:
+            said = " ".join(entities.unescape("".join(line)).split())
+            if said:
+                blocks.append(said)
+            line.clear()
+
+        whole = self.weight[id(w)][0] if w is not None else 0.0
+
+        def walk(e: Element, w: Part | None) -> None:
+            inside = iter(self._of(e, w))
+            for x in e.items:
+                if x.__class__ is tuple:
+                    line.append(x[0])
+                    continue
+                x, p = next(inside)
+                end_of_line = x.tag in BLOCK
+                if end_of_line:
+                    end()
+                if not self._left_out(x, p, whole):
+                    walk(x, p)
+                    if end_of_line:
+                        end()
+
+        walk(e, w)
+        end()
+        return "\n".join(blocks)
+
+    def _left_out(self, e: Element, w: Part | None, whole: float) -> bool:
+        if e.never:
+            return True
+        slot, link = self.weight[id(w)] if w is not None else (0.0, 0.0)
+        if e.marked and 2 * slot < whole or e.marked and w is None:
+            return True
+        if w is None or not self.known:
+            return False
+        if not slot and w.pages >= SEEN and not link:
+            return _has_text(w)  # the same on all pages that have it
+        return link > 0 and link >= LINKS * (slot + link) and any(x.repeated for x in w.inner)
+
+
+def _has_text(w: Part) -> bool:
+    return bool(w.size) or any(map(_has_text, w.inner))
+
+
+def main_text(page: str | None, wrapper: Part | None = None) -> str:
+    """The main text of a page under its host's wrapper, its own if there is none."""
+    return Reader(wrapper or part(parse(page))).text(page) if page else ""
 
 
 # --- on Spark
@@ -311,35 +394,84 @@ def hosts(url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, main, expression, pages: a row for each host. Spark's top-k per group keeps at most PAGES
-    pages of a host in each task before the shuffle, so a host of any size sends few."""
-    ship(pages.sparkSession)
-    p = pages.select(hosts(url_col).alias("host"), F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col).cast("string"), F.length(F.col(html_col).cast("string"))).alias("k")).where("html is not null and html <> ''")
-    top = p.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("k"))).where(F.col("r") <= PAGES)
-    some = top.groupBy("host").agg(F.collect_list("html").alias("pages"))
+_SCHEMA = "host string, structure long, wrapper binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["host", "structure", "wrapper"])
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for host, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = infer(own)
-                rows.append((host, container(w), expression(w), len(own)))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "main", "expression", "pages"])
 
-    return some.mapInArrow(run, "host string, main string, expression string, pages long")
+def _structure(p: Part) -> int:
+    def said(x: Part) -> str:
+        return f"{x.key}{'+' if x.repeated else ''}{'?' if x.optional else ''}({' '.join(map(said, x.inner))})"
+
+    return xxhash.xxh64_intdigest(said(p).encode("utf-8", "surrogatepass")) >> 1
+
+
+def _of_pages(batches):
+    """host, structure, wrapper: pages of one host and structure joined in the task."""
+    kept: dict[tuple[str, int], Part] = {}
+
+    def out():
+        return _rows([(h, s, pickle.dumps(w.state(), 5)) for (h, s), w in kept.items()])
+
+    for b in batches:
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = part(parse(page))
+            key = host, _structure(w)
+            kept[key] = align(kept[key], w) if key in kept else w
+            if len(kept) >= KEPT:
+                yield out()
+                kept.clear()
+    yield out()
+
+
+def _merged(batches):
+    """The wrappers of consecutive rows of one host (and part) aligned in their order."""
+    now, wrapper, part_ = None, None, 0
+    for b in batches:
+        done = []
+        for host, s, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            own = Part.of(pickle.loads(blob))
+            if (host, s % PARTS) == now:
+                wrapper = align(wrapper, own)
+            else:
+                if now is not None:
+                    done.append((now[0], part_, pickle.dumps(wrapper.state(), 5)))
+                now, wrapper, part_ = (host, s % PARTS), own, s % PARTS
+        yield _rows(done)
+    if now is not None:
+        yield _rows([(now[0], part_, pickle.dumps(wrapper.state(), 5))])
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, wrapper: a row for each host, from all of its pages."""
+    ship(pages.sparkSession)
+    p = pages.select(hosts(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
+    own = p.mapInArrow(_of_pages, _SCHEMA)
+    part_ = F.col("structure") % PARTS
+    own = own.repartition("host", part_).sortWithinPartitions("host", part_, "structure").mapInArrow(_merged, _SCHEMA)
+    own = own.repartition("host").sortWithinPartitions("host", "structure")
+    own = own.select("host", (F.col("structure") * 0).alias("structure"), "wrapper").mapInArrow(_merged, _SCHEMA)
+    return own.select("host", "wrapper")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    own = cut(wrappers(pages, id_col, url_col, html_col), "wrappers").select(F.col("host").alias("h"), "main")
+    own = cut(wrappers(pages, url_col, html_col), "wrappers").withColumnRenamed("host", "h")
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), hosts(url_col).alias("host"))
 
     def run(batches):
+        readers: dict[bytes, Reader] = {}
         for b in batches:
-            texts = [main_text(h, m) for h, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts = []
+            for page, blob in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if blob not in readers:
+                    if len(readers) > 1000:
+                        readers.clear()
+                    readers[blob] = Reader(Part.of(pickle.loads(blob))) if blob else None
+                texts.append(readers[blob].text(page) if page else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = p.join(own, p.host == own.h, "left").select("page_id", "url", "html", "main")
+    joined = p.join(own, p.host == own.h, "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
