@@ -1 +1 @@
-"""riverlens: flood analytics as Spark DataFrame, window, ML and streaming plans."""
+"""riverlens: inundation analytics as Spark DataFrame, window, ML and streaming plans."""

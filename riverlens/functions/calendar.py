@@ -18,8 +18,9 @@ def _md(year: Column, md: str) -> Column:
 
 
 def season_windows(spark: SparkSession, years, start_md: str = C.SEASON_START, end_md: str = C.SEASON_END, days: int = C.WINDOW_DAYS) -> DataFrame:
-    """K1. year, idx, window_start, window_end: half-open windows, the last cut at the season's end."""
-    y = spark.createDataFrame([(int(v),) for v in years], "year int")
+    """K1. year, idx, window_start, window_end: half-open windows, the last cut at the season's end.
+    years: numbers, or a table with a column year."""
+    y = years.select(F.col("year").cast("int").alias("year")) if isinstance(years, DataFrame) else spark.createDataFrame([(int(v),) for v in years], "year int")
     start, end = _md(F.col("year"), start_md), _md(F.col("year"), end_md)
     w = y.select("year", F.posexplode(F.sequence(start, F.date_sub(end, 1), F.expr(f"interval {days} days"))).alias("idx", "window_start"))
     return w.select("year", "idx", "window_start", F.least(F.date_add("window_start", days), end).alias("window_end"))
@@ -28,7 +29,7 @@ def season_windows(spark: SparkSession, years, start_md: str = C.SEASON_START, e
 def run_manifest(spark: SparkSession, years) -> DataFrame:
     """K2. Windows with their dry-season baseline (March to May of the year) and an export key."""
     w = season_windows(spark, years)
-    key = F.concat_ws("_", F.lit("flood"), F.date_format("window_start", "yyyyMMdd"), F.date_format("window_end", "yyyyMMdd"))
+    key = F.concat_ws("_", F.lit("wet"), F.date_format("window_start", "yyyyMMdd"), F.date_format("window_end", "yyyyMMdd"))
     return w.select("year", "window_start", "window_end", _md(F.col("year"), "03-01").alias("baseline_start"), _md(F.col("year"), "05-31").alias("baseline_end"), key.alias("export_key"))
 
 
@@ -114,10 +115,10 @@ def scene_date(c) -> Column:
     return F.to_date(F.coalesce(word, number, iso))
 
 
-def classify_scene(day, flood: tuple[str, str], pre: tuple[str, str]) -> Column:
-    """K12. flood, pre, other or undated, closed date ranges."""
+def classify_scene(day, wet: tuple[str, str], pre: tuple[str, str]) -> Column:
+    """K12. wet, pre, other or undated, closed date ranges."""
     day = _col(day)
-    return F.when(day.isNull(), "undated").when(day.between(*map(F.lit, flood)), "flood").when(day.between(*map(F.lit, pre)), "pre").otherwise("other")
+    return F.when(day.isNull(), "undated").when(day.between(*map(F.lit, wet)), "wet").when(day.between(*map(F.lit, pre)), "pre").otherwise("other")
 
 
 def period_year(c) -> Column:

@@ -33,20 +33,20 @@ def water_single(vv, ref, valid, water: float = C.VV_WATER_DB) -> Column:
     return _true((_col(vv) < water) & ~_true(_col(ref)) & _true(_col(valid)))
 
 
-def flood_for_window(post, pre, occurrence, slope) -> Column:
+def wet_for_window(post, pre, occurrence, slope) -> Column:
     """P4. P2 without permanent water (occurrence 60 or more) and steep ground (above 5 degrees)."""
     return tier_a(post, pre) & ~_true(_col(occurrence) >= 60) & ~_true(_col(slope) > 5)
 
 
 def agreement_label(a, b, ref, pre, valid, water: float = C.VV_WATER_DB) -> Column:
-    """P5. 1 both flood, 0 both dry, -1 disagreement, permanent water or no data."""
+    """P5. 1 both wet, 0 both dry, -1 disagreement, permanent water or no data."""
     a, b = _true(_col(a)), _true(_col(b))
     bad = ~_true(_col(valid)) | _true(_col(ref)) | _col(pre).isNull() | _true(_col(pre) < water)
     return F.when(bad, -1).when(a & b, 1).when(~a & ~b, 0).otherwise(-1)
 
 
 def strict_label(dvv, vv, slope, ref) -> Column:
-    """P6. 1 for clear flood, 0 for clear land, NULL between."""
+    """P6. 1 for clear water, 0 for clear land, NULL between."""
     dvv, vv, slope = _col(dvv), _col(vv), _col(slope)
     land = ~_true(_col(ref))
     return F.when(_true((dvv < -5) & (vv < -16) & (slope < 2)) & land, 1).when(_true((dvv > -1) & (vv > -13)) & land, 0)
@@ -152,8 +152,8 @@ def km2(ha) -> Column:
 
 #: Metric to class, so that classes are never mixed.
 METRIC_CLASS = {
-    "max_area_affected": "flooded_area",
-    "area_affected": "flooded_area",
+    "max_area_affected": "wet_area",
+    "area_affected": "wet_area",
     "crop_damage_area": "crop_damage_area",
     "crop_damage_value": "crop_damage_value",
     "lives_lost": "lives",

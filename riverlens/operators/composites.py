@@ -17,11 +17,11 @@ def min_composite(scenes: DataFrame, keys=("pixel",), value: str = "power") -> D
 
 
 def phases(scenes: DataFrame, keys=("pixel",)) -> DataFrame:
-    """Median dB before and during the flood, one shuffle for both."""
+    """Median dB before and in the wet phase, one shuffle for both."""
     from riverlens.functions.scalars import to_db
 
     at = lambda p: F.percentile(F.when(F.col("phase") == p, F.col("power")), F.lit(0.5))
-    c = scenes.groupBy(*keys).agg(at("pre").alias("pre"), at("flood").alias("post"))
+    c = scenes.groupBy(*keys).agg(at("pre").alias("pre"), at("wet").alias("post"))
     return c.select(*keys, to_db("pre").alias("pre"), to_db("post").alias("post"))
 
 

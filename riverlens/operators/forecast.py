@@ -1,4 +1,4 @@
-"""Panels, folds, models and the live frame of the flood forecaster."""
+"""Panels, folds, models and the live frame of the inundation forecaster."""
 
 from __future__ import annotations
 

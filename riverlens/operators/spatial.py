@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverlens.session import scratch
+
 
 def label_pixels(px: DataFrame, edges: DataFrame) -> DataFrame:
     """J4. px(pixel, x, y) with the label of the zone that holds the centre, 0 outside all. Edges are
@@ -76,12 +75,9 @@ def frontier(mask: DataFrame, k: int = 1, connectivity: int = 8) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared folder named by spark.checkpoint.dir (a local one only where unset)."""
-    import tempfile
-
+    """A table in the shared folder named by spark.checkpoint.dir."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riverlens-")
-    path = os.path.join(base, f"labels-{uuid.uuid4().hex}")
+    path = scratch(spark, "labels")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -159,8 +155,8 @@ def count_or_zero(keys: DataFrame, dim: DataFrame, key: str, value: str) -> Data
 
 def best_common_orbit(scenes: DataFrame, orbit: str = "orbit") -> DataFrame:
     """J13. The orbit present in both phases with the best weaker count, then total, then name."""
-    n = scenes.groupBy(orbit).agg(F.count_if(F.col("phase") == "pre").alias("pre"), F.count_if(F.col("phase") == "flood").alias("flood")).where("pre > 0 and flood > 0")
-    return n.orderBy(F.desc(F.least("pre", "flood")), F.desc(F.col("pre") + F.col("flood")), orbit).limit(1)
+    n = scenes.groupBy(orbit).agg(F.count_if(F.col("phase") == "pre").alias("pre"), F.count_if(F.col("phase") == "wet").alias("wet")).where("pre > 0 and wet > 0")
+    return n.orderBy(F.desc(F.least("pre", "wet")), F.desc(F.col("pre") + F.col("wet")), orbit).limit(1)
 
 
 def mercator_xy(lon, lat) -> tuple:

@@ -90,11 +90,11 @@ def method_table(px: DataFrame, methods=("a", "b"), crop: str = "c", pixel_ha: f
     return g.withColumn("fraction", F.try_divide(f"{methods[0]}_ha", "area_ha"))
 
 
-def value_v2(yields: DataFrame, flood: DataFrame, price: float = C.PADDY_INR_PER_T) -> DataFrame:
+def value_v2(yields: DataFrame, wet: DataFrame, price: float = C.PADDY_INR_PER_T) -> DataFrame:
     """A14. yields(zone, production_t, area_ha): milled rice; split zones merged, area-weighted yield
     as paddy (milled is two thirds); value against the flat-yield value."""
     y = yields.groupBy(merged_zone("zone").alias("zone")).agg((F.sum("production_t") / F.sum("area_ha") / (2 / 3)).alias("yield_t_ha"))
-    f = flood.groupBy(merged_zone("zone").alias("zone")).agg(F.sum("crop_ha").alias("crop_ha"))
+    f = wet.groupBy(merged_zone("zone").alias("zone")).agg(F.sum("crop_ha").alias("crop_ha"))
     j = f.join(y, "zone", "left")
     v2 = F.col("crop_ha") * F.col("yield_t_ha") * price
     v1 = F.col("crop_ha") * C.PADDY_T_PER_HA * price

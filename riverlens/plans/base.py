@@ -1,6 +1,6 @@
 """Views on the driver's tables and the register of queries.
 
-Each view stands for a flood table (pixels, passes, scenes, rain, dams, panels) and exists twice: as a
+Each view stands for a table of observations (pixels, passes, scenes, rain, dams, panels) and exists twice: as a
 DataFrame here and as SQL in VIEWS, which the oracle queries put in front of theirs.
 """
 
@@ -99,14 +99,14 @@ def px_static(spark, sf) -> DataFrame:
 
 VIEWS["scenes"] = """
 select l_orderkey as pixel, (l_suppkey % 20 + 1)::bigint as zone, l_returnflag || l_linestatus as orbit, l_shipdate as ts,
-  case when l_linenumber % 2 = 1 then 'pre' else 'flood' end as phase, case when l_tax <> 0 then l_discount end as power
+  case when l_linenumber % 2 = 1 then 'pre' else 'wet' end as phase, case when l_tax <> 0 then l_discount end as power
 from lineitem"""
 
 
 def scenes(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey as pixel", "l_suppkey % 20 + 1 as zone", "concat(l_returnflag, l_linestatus) as orbit", "l_shipdate as ts",
-        "if(l_linenumber % 2 = 1, 'pre', 'flood') as phase", "if(l_tax <> 0, l_discount, null) as power",
+        "if(l_linenumber % 2 = 1, 'pre', 'wet') as phase", "if(l_tax <> 0, l_discount, null) as power",
     )
 
 
@@ -142,6 +142,12 @@ def dam_daily(spark, sf) -> DataFrame:
     return o.selectExpr("date", "dam", "300 + storage * 10 as level", "if(f, 'ft', 'm') as unit", "storage")
 
 
+#: Boxes of each nation by its key: one, two parts (keys that 5 divides) or one with a hole (rest 1 of 4).
+VIEWS["nation_boxes"] = """select n_name as zone, part, ring, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (
+  select n_name, 0 as part, 0 as ring, n_nationkey * 8 as x0, 3 as y0, n_nationkey * 8 + 4 + n_nationkey % 3 as x1, 20 + n_nationkey as y1 from nation
+  union all select n_name, 1, 0, n_nationkey * 8, 100, n_nationkey * 8 + 2, 110 from nation where n_nationkey % 5 = 0
+  union all select n_name, 0, 1, n_nationkey * 8 + 1, 4, n_nationkey * 8 + 2, 6 from nation where n_nationkey % 4 = 1)"""
+
 VIEWS["season_windows"] = """
 select y::int as year, i::int as idx, (make_date(y, 6, 15) + (i * 10)::int)::date as window_start,
   least((make_date(y, 6, 15) + (i * 10 + 10)::int)::date, make_date(y, 9, 30)) as window_end

@@ -6,23 +6,28 @@ from pyspark.sql import functions as F
 
 from riverlens.functions import calendar as K
 
-from .base import inline, query, table
+from .base import VIEWS, inline, query, table
 
-YEARS = range(1995, 2002)
+VIEWS["order_windows"] = """select y.year, k::int as idx, (s + (k * 10)::int)::date as window_start, least((s + (k * 10 + 10)::int)::date, make_date(y.year, 9, 30)) as window_end
+  from (select distinct year(o_orderdate)::int as year, make_date(year(o_orderdate), 6, 15) as s from orders) y cross join range(11) r(k)"""
 
 
-@query("k1_season_windows", "select year, idx, window_start, window_end from season_windows")
+def years(spark, sf):
+    return table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+
+
+@query("k1_season_windows", "select year, idx, window_start, window_end from order_windows")
 def k1(spark, sf):
-    return K.season_windows(spark, YEARS)
+    return K.season_windows(spark, years(spark, sf))
 
 
 @query(
     "k2_run_manifest",
     """select year, window_start, window_end, make_date(year, 3, 1) as baseline_start, make_date(year, 5, 31) as baseline_end,
-    'flood_' || strftime(window_start, '%Y%m%d') || '_' || strftime(window_end, '%Y%m%d') as export_key from season_windows""",
+    'wet_' || strftime(window_start, '%Y%m%d') || '_' || strftime(window_end, '%Y%m%d') as export_key from order_windows""",
 )
 def k2(spark, sf):
-    return K.run_manifest(spark, YEARS)
+    return K.run_manifest(spark, years(spark, sf))
 
 
 @query("k3_assign_window", "select o_orderkey, w.window_start from orders left join season_windows w on o_orderdate::date >= window_start and o_orderdate::date < window_end")
@@ -53,14 +58,16 @@ def k7(spark, sf):
     return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count_if(K.in_season("o_orderdate")).alias("in_season"), F.count("*").alias("n"))
 
 
-@query("k8_core_season", "select window_start, strftime(window_start, '%m-%d') >= '07-25' as core from season_windows")
+@query("k8_core_season", "select window_start, strftime(window_start, '%m-%d') >= '07-25' as core from order_windows")
 def k8(spark, sf):
-    return K.season_windows(spark, YEARS).select("window_start", K.core_season("window_start").alias("core"))
+    return K.season_windows(spark, years(spark, sf)).select("window_start", K.core_season("window_start").alias("core"))
 
 
-@query("k9_calendar", "select unnest(generate_series(date '1998-07-25', date '1998-07-30', interval 1 day))::date as day")
+@query("k9_calendar", "select unnest(generate_series(min(o_orderdate)::date, max(o_orderdate)::date - 1, interval 1 day))::date as day from orders")
 def k9(spark, sf):
-    return K.calendar(spark, "1998-07-25", "1998-08-04", "1998-07-30")
+    """Every day from the first order to the one before the last, also those without orders."""
+    ends = table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b")).first()
+    return K.calendar(spark, str(ends.a), str(ends.b))
 
 
 @query(
@@ -84,7 +91,7 @@ def k11(spark, sf):
 @query(
     "k12_scene_date",
     """select 'E_' || event_id || '_' || upper(strftime(ts, '%d%b%Y')) as scene, ts::date as day,
-      case when ts::date between date '2024-01-10' and date '2024-01-19' then 'flood' when ts::date < date '2024-01-05' then 'pre' else 'other' end as class from events
+      case when ts::date between date '2024-01-10' and date '2024-01-19' then 'wet' when ts::date < date '2024-01-05' then 'pre' else 'other' end as class from events
     union all select * from (values ('EOS04_05SEP2025_x', date '2025-09-05', 'other'), ('x_05092025_y', date '2025-09-05', 'other'), ('no date', null, 'undated'), ('99XXX2025', null, 'undated')) v""",
 )
 def k12(spark, sf):
@@ -94,9 +101,16 @@ def k12(spark, sf):
     return d.withColumn("class", K.classify_scene("day", ("2024-01-10", "2024-01-19"), ("2023-12-01", "2024-01-04")))
 
 
-@query("k13_period_year", "select * from (values ('2016', 2016), ('2018-19', 2018), ('1953-2010', null), (' 2004 ', 2004), (null, null)) v(period, year)")
+@query(
+    "k13_period_year",
+    """select o_orderkey, case o_orderkey % 4 when 0 then y::varchar when 1 then y || '-' || lpad(((y + 1) % 100)::varchar, 2, '0') when 2 then y || '-' || (y + 5) else ' ' || y || ' ' end as period,
+      case when o_orderkey % 4 <> 2 then y end as year from (select o_orderkey, year(o_orderdate)::int as y from orders) union all select null, null, null""",
+)
 def k13(spark, sf):
-    return inline(spark, [("2016",), ("2018-19",), ("1953-2010",), (" 2004 ",), (None,)], "period string").withColumn("year", K.period_year("period"))
+    y = "year(o_orderdate)"
+    period = f"""case o_orderkey % 4 when 0 then string({y}) when 1 then concat({y}, '-', lpad(({y} + 1) % 100, 2, '0')) when 2 then concat({y}, '-', {y} + 5) else concat(' ', {y}, ' ') end as period"""
+    p = table(spark, sf, "orders").selectExpr("o_orderkey", period).union(inline(spark, [(None, None)], "o_orderkey long, period string"))
+    return p.withColumn("year", K.period_year("period"))
 
 
 @query(

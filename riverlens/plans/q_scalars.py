@@ -11,7 +11,7 @@ from .base import VIEWS, dam_daily, inline, masks, px_static, query, r4, scenes,
 
 VIEWS["composite"] = """
 select pixel, case when pre is not null then 10 * log10(greatest(pre, 1e-6)) end as pre, case when post is not null then 10 * log10(greatest(post, 1e-6)) end as post from (
-  select pixel, median(case when phase = 'pre' then power end) as pre, median(case when phase = 'flood' then power end) as post from scenes group by pixel)"""
+  select pixel, median(case when phase = 'pre' then power end) as pre, median(case when phase = 'wet' then power end) as post from scenes group by pixel)"""
 VIEWS["ground"] = """select c.*, pixel % 17 = 0 as perm, (pixel % 100)::double as occurrence, (pixel % 11)::double as slope, (pixel % 300)::double as elev from composite c"""
 
 
@@ -31,9 +31,9 @@ def p1(spark, sf):
     return scenes(spark, sf).select("pixel", "orbit", "ts", "power", r4(P.to_db("power"), "db"))
 
 
-@query("p2_tier_a", f"select pixel, {TIER} as flood from composite")
+@query("p2_tier_a", f"select pixel, {TIER} as wet from composite")
 def p2(spark, sf):
-    return composite(spark, sf).select("pixel", P.tier_a("post", "pre").alias("flood"))
+    return composite(spark, sf).select("pixel", P.tier_a("post", "pre").alias("wet"))
 
 
 @query("p3_water_single", "select pixel, coalesce(post < -15 and not perm and post is not null, false) as water from ground")
@@ -41,9 +41,9 @@ def p3(spark, sf):
     return ground(spark, sf).select("pixel", P.water_single("post", "perm", F.col("post").isNotNull()).alias("water"))
 
 
-@query("p4_flood_for_window", f"select pixel, {TIER} and not occurrence >= 60 and not slope > 5 as flood from ground")
+@query("p4_wet_for_window", f"select pixel, {TIER} and not occurrence >= 60 and not slope > 5 as wet from ground")
 def p4(spark, sf):
-    return ground(spark, sf).select("pixel", P.flood_for_window("post", "pre", "occurrence", "slope").alias("flood"))
+    return ground(spark, sf).select("pixel", P.wet_for_window("post", "pre", "occurrence", "slope").alias("wet"))
 
 
 @query(
@@ -98,12 +98,12 @@ def p10(spark, sf):
 
 @query(
     "p11_palette_class",
-    """select p_partkey, abs(220 + p_size - 232) <= 10 and abs(60 + p_size - 76) <= 10 and abs(100 + p_size - 120) <= 10 and p_size * 6 >= 128 as flood,
+    """select p_partkey, abs(220 + p_size - 232) <= 10 and abs(60 + p_size - 76) <= 10 and abs(100 + p_size - 120) <= 10 and p_size * 6 >= 128 as wet,
     abs(p_size - 10 - 0) <= 10 and abs(60 + p_size - 75) <= 10 and abs(100 + p_size - 114) <= 10 and p_size * 6 >= 128 as ref from part""",
 )
 def p11(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey", "220 + p_size as r", "60 + p_size as g", "100 + p_size as b", "p_size * 6 as a", "p_size - 10 as r2")
-    return p.select("p_partkey", P.palette_class("r", "g", "b", "a", (232, 76, 120)).alias("flood"), P.palette_class("r2", "g", "b", "a", (0, 75, 114)).alias("ref"))
+    return p.select("p_partkey", P.palette_class("r", "g", "b", "a", (232, 76, 120)).alias("wet"), P.palette_class("r2", "g", "b", "a", (0, 75, 114)).alias("ref"))
 
 
 VIEWS["px_area"] = """select *, pow(cos(2 * atan(exp((3600000 - "row" * 100) / 6378137.0::double)) - 1.5707963267948966::double), 2) * 100 * 100 as m2 from px_static"""
@@ -146,16 +146,24 @@ def p15(spark, sf):
     return px_static(spark, sf).select("pixel", *P.pixel_xy("pixel", 32, 500000.0, 3600000.0, 90.0))
 
 
-@query("p17_to_ha", "select * from (values (2.79::double, 'Mha', 2790000.0::double, 10.0::double, 0.3048::double * 1666), (1.5::double, 'lakh_ha', 150000.0::double, 100.0::double, 0.3048::double * 1680), (7.0::double, ' HA ', 7.0::double, 1.0::double, 0.3048::double)) v(value, unit, ha, km2, m)")
+@query(
+    "p17_to_ha",
+    """select l_orderkey, l_linenumber, unit, round(l_quantity * case unit when 'Mha' then 1e6 when 'lakh_ha' then 1e5 else 1 end, 4) as ha, round(l_extendedprice / 100, 4) as km2, round(l_quantity * 0.3048::double, 4) as m,
+      round(l_quantity * 1000 * 0.028316846592::double * 86400 / 1e9, 4) as bcm from (select *, case l_linenumber % 3 when 0 then 'Mha' when 1 then 'lakh_ha' else ' HA ' end as unit from lineitem)""",
+)
 def p17(spark, sf):
-    v = inline(spark, [(2.79, "Mha", 1000.0, 1666.0), (1.5, "lakh_ha", 10000.0, 1680.0), (7.0, " HA ", 100.0, 1.0)], "value double, unit string, area double, feet double")
-    return v.select("value", "unit", F.round(P.to_ha("value", "unit"), 6).alias("ha"), P.km2("area").alias("km2"), P.feet_to_m("feet").alias("m"))
+    l = table(spark, sf, "lineitem").withColumn("unit", F.expr("case l_linenumber % 3 when 0 then 'Mha' when 1 then 'lakh_ha' else ' HA ' end"))
+    q, price = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    return l.select("l_orderkey", "l_linenumber", "unit", r4(P.to_ha(q, "unit"), "ha"), r4(P.km2(price), "km2"), r4(P.feet_to_m(q), "m"), r4(P.cusec_to_bcm_day(q * 1000), "bcm"))
+
+
+METRICS = "['max_area_affected', 'area_affected', 'crop_damage_area', 'crop_damage_value', 'lives_lost', 'houses_damaged', 'unheard_of']"
 
 
-@query("p18_metric_class", "select * from (values ('max_area_affected', 'flooded_area'), ('area_affected', 'flooded_area')) v(metric, class)")
+@query("p18_metric_class", f"select p_partkey, metric, 'wet_area' as class from (select p_partkey, ({METRICS})[p_size % 7 + 1] as metric from part) where metric in ('max_area_affected', 'area_affected')")
 def p18(spark, sf):
-    m = inline(spark, [("max_area_affected",), ("area_affected",), ("crop_damage_area",), ("lives_lost",)], "metric string")
-    return P.milestones(m, "flooded_area").select("metric", P.metric_class("metric").alias("class"))
+    m = table(spark, sf, "part").selectExpr("p_partkey", f"array({METRICS[1:-1]})[p_size % 7] as metric")
+    return P.milestones(m, "wet_area").select("p_partkey", "metric", P.metric_class("metric").alias("class"))
 
 
 @query("p19_num", "select event_id, try_cast(regexp_extract(props, '\\d+') as double) as k from events union all select * from (values (-1, null), (-2, null), (-3, 3.5), (-4, null)) v")
@@ -201,9 +209,15 @@ def p24(spark, sf):
     return n.select("name", P.canonical_zone("name").alias("zone"), P.merged_zone("name").alias("merged"))
 
 
-@query("p25_normalize_subzone", "select * from (values ('Amritsar -I', 'Amritsar-I'), ('Amritsar- Ii', 'Amritsar-II'), ('Rampura Phul', 'Rampura Phul'), ('Ludhiana (East)', 'Ludhiana (East)')) v(name, subzone)")
+@query(
+    "p25_normalize_subzone",
+    """select s_suppkey, case s_suppkey % 5 when 0 then s_name || '-I' when 1 then s_name || '-II' when 2 then s_name || '-IX' when 3 then s_name else s_name || ' (East)' end as subzone from supplier
+    union all select * from (values (-1, 'Amritsar-I'), (-2, 'Amritsar-II'), (-3, 'Rampura Phul')) v""",
+)
 def p25(spark, sf):
-    return inline(spark, [("Amritsar -I",), ("Amritsar- Ii",), ("Rampura Phul",), ("Ludhiana (East)",)], "name string").select("name", P.normalize_subzone("name").alias("subzone"))
+    name = "case s_suppkey % 5 when 0 then s_name || ' -I' when 1 then s_name || '- Ii' when 2 then s_name || ' ix ' when 3 then s_name else s_name || ' (East)' end as name"
+    n = table(spark, sf, "supplier").selectExpr("s_suppkey", name).union(inline(spark, [(-1, "Amritsar -I"), (-2, "Amritsar- Ii"), (-3, "Rampura Phul")], "s_suppkey long, name string"))
+    return n.select("s_suppkey", P.normalize_subzone("name").alias("subzone"))
 
 
 @query("p26_slug", "select distinct p_name, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g') as slug from part")
@@ -211,6 +225,11 @@ def p26(spark, sf):
     return table(spark, sf, "part").select("p_name", P.slug("p_name").alias("slug")).distinct()
 
 
-@query("p27_fold_of", "select * from (values ('Firozpur', 'sutlej'), (' Ferozepore ', 'sutlej'), ('Tarn  Taran Sahib', 'ravi_beas'), ('Fazilka', null), ('Mohali', null), ('Elsewhere', null)) v(name, fold)")
+@query(
+    "p27_fold_of",
+    """select s_suppkey, case s_suppkey % 6 when 0 then 'sutlej' when 1 then 'sutlej' when 2 then 'ravi_beas' end as fold from supplier""",
+)
 def p27(spark, sf):
-    return inline(spark, [(x,) for x in NAMES], "name string").select("name", P.fold_of("name").alias("fold"))
+    names = ", ".join(f"'{x}'" for x in NAMES)
+    n = table(spark, sf, "supplier").selectExpr("s_suppkey", f"array({names})[s_suppkey % 6] as name")
+    return n.select("s_suppkey", P.fold_of("name").alias("fold"))

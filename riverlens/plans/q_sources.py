@@ -3,23 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from riverlens.functions import scalars as P
+from riverlens.session import scratch
 from riverlens.sources import tables as S
 
 from .base import dam_daily, hourly, inline, panel, px_pass, query, r4, scenes, table
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder: under spark.checkpoint.dir where that is set, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=name) + "/t"
-
-
 @query("s1_read_table", "select n_nationkey, n_name, n_regionkey from nation")
 def s1(spark, sf):
     path = scratch(spark, "s1")
@@ -56,9 +49,30 @@ def geojson(spark) -> str:
     return path
 
 
-@query("s4_read_polygons")
+def nation_geojson(spark, sf) -> str:
+    """The boxes of nation_boxes, written as one GeoJSON document."""
+    n = table(spark, sf, "nation").select("n_name", F.col("n_nationkey").cast("double").alias("k"))
+    k, d = F.col("k"), lambda v: F.lit(float(v))
+    ring = lambda x0, y0, x1, y1: F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
+    shell, second, hole = ring(k * 8, d(3), k * 8 + 4 + k % 3, k + 20), ring(k * 8, d(100), k * 8 + 2, d(110)), ring(k * 8 + 1, d(4), k * 8 + 2, d(6))
+    first = F.when(k % 4 == 1, F.array(shell, hole)).otherwise(F.array(shell))
+    shape = F.when(k % 5 == 0, F.struct(F.lit("MultiPolygon").alias("type"), F.to_json(F.array(first, F.array(second))).alias("coordinates")))
+    shape = shape.otherwise(F.struct(F.lit("Polygon").alias("type"), F.to_json(first).alias("coordinates")))
+    one = n.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("district"), "n_name").alias("properties"), shape.alias("geometry"))).alias("f"))
+    doc = one.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.sort_array(F.collect_list("f")), ", "), F.lit("]}")).alias("value"))
+    path = scratch(spark, "boundaries")
+    doc.select(F.regexp_replace("value", r'"coordinates":"(\[[^"]*\])"', r'"coordinates":$1').alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query(
+    "s4_read_polygons",
+    """select dense_rank() over (order by zone) as label, zone, part, ring, i, case when i in (0, 3) then x0 else x1 end as x1, case when i < 2 then y0 else y1 end as y1,
+      case when i in (0, 1) then b.x1 else x0 end as x2, case when i in (1, 2) then b.y1 else y0 end as y2 from nation_boxes b cross join range(4) r(i)""",
+)
 def s4(spark, sf):
-    return S.read_polygons(spark, geojson(spark))
+    e = S.read_polygons(spark, nation_geojson(spark, sf))
+    return e.select(F.col("label").cast("long").alias("label"), "zone", "part", "ring", F.col("i").cast("long").alias("i"), "x1", "y1", "x2", "y2")
 
 
 @query("s5_filter_features", "select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 3")
@@ -102,10 +116,13 @@ def s11(spark, sf):
 
 @query(
     "s12_pixel_grid",
-    """select 'grid' as kind, r as i, c as j, 100 + (c + 0.5::double) * 100 as x, 1700 - (r + 0.5::double) * 100 as y from range(16) a(r), range(16) b(c)
-    union all select 'lattice', r, c, 100 + c * 800.0::double, 100 + r * 800.0::double from range(3) a(r), range(3) b(c)""",
+    """with n as (select max(user_id) // 32 + 1 as rows from events)
+    select 'grid' as kind, r as i, c as j, c + 0.5::double as x, rows - (r + 0.5::double) as y from n cross join range((select rows from n)) a(r) cross join range(32) b(c)
+    union all select 'lattice', r, c, c * 16.0::double, r * rows / 2.0::double from n cross join range(3) a(r) cross join range(3) b(c)""",
 )
 def s12(spark, sf):
-    box = (100.0, 100.0, 1700.0, 1700.0)
-    g = S.pixel_grid(spark, box, 100.0).select(F.lit("grid").alias("kind"), F.col("row").alias("i"), F.col("col").alias("j"), "x", "y")
+    """The grid and a lattice over the box of all pixels."""
+    rows = table(spark, sf, "events").agg(F.expr("max(user_id) div 32 + 1").alias("n")).first().n
+    box = (0.0, 0.0, 32.0, float(rows))
+    g = S.pixel_grid(spark, box, 1.0).select(F.lit("grid").alias("kind"), F.col("row").alias("i"), F.col("col").alias("j"), "x", "y")
     return g.union(S.lattice(spark, box, 3).select(F.lit("lattice"), "i", "j", "x", "y"))

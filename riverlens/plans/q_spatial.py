@@ -134,7 +134,7 @@ def j11(spark, sf):
     return N.count_or_zero(keys, dim, "name", "n")
 
 
-@query("j13_best_common_orbit", "select orbit, count(*) filter (where phase = 'pre') as pre, count(*) filter (where phase = 'flood') as flood from scenes group by 1 having count(*) filter (where phase = 'pre') > 0 and count(*) filter (where phase = 'flood') > 0 order by least(count(*) filter (where phase = 'pre'), count(*) filter (where phase = 'flood')) desc, count(*) desc, orbit limit 1")
+@query("j13_best_common_orbit", "select orbit, count(*) filter (where phase = 'pre') as pre, count(*) filter (where phase = 'wet') as wet from scenes group by 1 having count(*) filter (where phase = 'pre') > 0 and count(*) filter (where phase = 'wet') > 0 order by least(count(*) filter (where phase = 'pre'), count(*) filter (where phase = 'wet')) desc, count(*) desc, orbit limit 1")
 def j13(spark, sf):
     return N.best_common_orbit(scenes(spark, sf))
 
@@ -182,10 +182,10 @@ def t2(spark, sf):
     return T.zone_rows(Z.zone_area(union_px(spark, sf)), 0.02).withColumn("km2", r4("km2"))
 
 
-@query("p16_render_alerts", "select zone, lang, replace(replace(template, '{zone}', zone::varchar), '{km2}', printf('%.1f', flooded_ha)) as text from zone_ha cross join (values ('en', 'Flood in {zone}: {km2} km2'), ('pa', 'Harh {zone} vich: {km2}'), ('hi', 'Baadh {zone}: {km2}')) t(lang, template) where flooded_ha / 100 >= 0.02")
+@query("p16_render_alerts", "select zone, lang, replace(replace(template, '{zone}', zone::varchar), '{km2}', printf('%.1f', flooded_ha)) as text from zone_ha cross join (values ('en', 'Water in {zone}: {km2} km2'), ('pa', 'Harh {zone} vich: {km2}'), ('hi', 'Baadh {zone}: {km2}')) t(lang, template) where flooded_ha / 100 >= 0.02")
 def p16(spark, sf):
     flagged = T.zone_rows(Z.zone_area(union_px(spark, sf)), 0.02).where("flagged").withColumn("km2", F.col("km2") * 100)
-    texts = inline(spark, [("en", "Flood in {zone}: {km2} km2"), ("pa", "Harh {zone} vich: {km2}"), ("hi", "Baadh {zone}: {km2}")], "lang string, template string")
+    texts = inline(spark, [("en", "Water in {zone}: {km2} km2"), ("pa", "Harh {zone} vich: {km2}"), ("hi", "Baadh {zone}: {km2}")], "lang string, template string")
     return P.render_alerts(flagged, texts, ["en", "pa", "hi"])
 
 
@@ -232,10 +232,20 @@ def q1(spark, sf):
     return Q.check_totals(t.union(inline(spark, [("bad", 1, 2, 4), ("Total", 0, 0, 10)], "state string, p long, rest long, total long")), ["p", "rest"], "total", "state")
 
 
-@query("q2_check_history", "select * from (values ('area_affected', 'acre', '3', 'unknown unit'), ('what', 'ha', '3', 'unknown metric'), ('lives_lost', 'count', '-4', 'negative'), ('lives_lost', 'count', 'x', 'not a number')) v(metric, unit, value, rule)")
+@query(
+    "q2_check_history",
+    """with h as (select p_partkey, case p_size % 5 when 0 then 'what' when 1 then 'lives_lost' when 2 then 'crop_damage_value' else 'area_affected' end as metric,
+      case p_partkey % 4 when 0 then 'acre' when 1 then 'Mha' when 2 then 'count' else 'crore_inr' end as unit, case p_partkey % 7 when 0 then 'x' when 1 then '-' || p_size else p_size::varchar end as value from part)
+    select metric, unit, value, 'unknown metric' as rule from h where metric = 'what' union all select metric, unit, value, 'unknown unit' from h where unit = 'acre'
+    union all select metric, unit, value, 'not a number' from h where value = 'x' union all select metric, unit, value, 'negative' from h where value like '-%'""",
+)
 def q2(spark, sf):
-    rows = [("area_affected", "Mha", "2.79"), ("area_affected", "acre", "3"), ("what", "ha", "3"), ("lives_lost", "count", "-4"), ("lives_lost", "count", "x"), ("crop_damage_value", "crore_inr", "5")]
-    return Q.check_history(inline(spark, rows, "metric string, unit string, value string"))
+    h = table(spark, sf, "part").selectExpr(
+        "case p_size % 5 when 0 then 'what' when 1 then 'lives_lost' when 2 then 'crop_damage_value' else 'area_affected' end as metric",
+        "case p_partkey % 4 when 0 then 'acre' when 1 then 'Mha' when 2 then 'count' else 'crore_inr' end as unit",
+        "case p_partkey % 7 when 0 then 'x' when 1 then concat('-', p_size) else string(p_size) end as value",
+    )
+    return Q.check_history(h)
 
 
 @query("q3_check_keys", "select n_name as zone from nation where n_name not in (select zone from official where theirs is not null)")

@@ -11,7 +11,7 @@ from riverlens.operators import zonal as Z
 from .base import VIEWS, masks, px_pass, px_static, query, r4, scenes, table
 from .q_scalars import px_area
 
-VIEWS["union_px"] = "select s.*, coalesce(u.wet, false) as wet from px_area s left join (select pixel, bool_or(wet) as wet from px_pass where day < date '2024-01-04' group by 1) u using (pixel)"
+VIEWS["union_px"] = "select s.*, coalesce(u.wet, false) as wet from px_area s left join (select pixel, bool_or(wet) as wet from px_pass group by 1) u using (pixel)"
 VIEWS["season_px"] = "select pixel, (dayofmonth(day) - 1) // 5 as season, bool_or(wet) as wet from px_pass group by 1, 2"
 VIEWS["season_zone"] = """select zone, season, coalesce(sum(case when wet then m2 else 0 end) / 1e4, 0) as flooded_ha, sum(m2) / 1e4 as area_ha,
   coalesce(sum(case when wet then m2 else 0 end) / 1e4, 0) / (sum(m2) / 1e4) as fraction from season_px join px_area using (pixel) where not perm group by 1, 2"""
@@ -23,7 +23,7 @@ VIEWS["victims"] = """select zone, count(*) filter (where fraction > 0.01) as se
 
 
 def union_px(spark, sf):
-    u = M.union_masks(px_pass(spark, sf).where("day < date '2024-01-04'"))
+    u = M.union_masks(px_pass(spark, sf))
     return px_area(spark, sf).join(u, "pixel", "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
 
 
@@ -161,13 +161,13 @@ def a27(spark, sf):
     return Z.coverage(seen, px_static(spark, sf)).withColumn("coverage", r4("coverage"))
 
 
-@query("a31_polygon_area", "select * from (values ('east', 46.0::double), ('far', 912.0::double), ('middle', 912.0::double), ('north', 48.0::double)) v(zone, area)")
+@query("a31_polygon_area", "select zone, sum(case when ring = 0 then 1 else -1 end * (x1 - x0) * (y1 - y0)) as area from nation_boxes group by 1")
 def a31(spark, sf):
     from riverlens.sources.tables import read_polygons
 
-    from .q_sources import geojson
+    from .q_sources import nation_geojson
 
-    return Z.polygon_area(read_polygons(spark, geojson(spark))).withColumn("area", F.round("area", 6))
+    return Z.polygon_area(read_polygons(spark, nation_geojson(spark, sf))).withColumn("area", F.round("area", 6))
 
 
 @query("j16_subtract_mask", "select pixel, day from px_pass where wet and pixel % 17 <> 0")

@@ -1,25 +1,44 @@
-"""One place for session settings: UTC, ANSI and AQE on, shuffle partitions by core count."""
+"""One place for session settings and for the folder of intermediate tables."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that spark.checkpoint.dir names. Only a local session, as in
+    tests, may do without; it gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="riverlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def session(app: str = "riverlens", cores: int | None = None, **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; on a cluster the submitter's settings win."""
+    """A session with these settings where nothing else is set. On a cluster the submitter's settings
+    win; without a master (tests, benchmarks) it is a local one of `cores` threads."""
     cores = cores or os.cpu_count() or 8
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(f"local[{cores}]")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
-    )
-    for key, value in conf.items():
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its settings are in the JVM
+        SparkContext._ensure_initialized()
+    given = SparkConf()
+    ours = {
+        "spark.app.name": app,
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    if not given.contains("spark.master"):
+        ours |= {"spark.master": f"local[{cores}]", "spark.sql.shuffle.partitions": str(cores), "spark.driver.memory": "12g"}
+    builder = SparkSession.builder
+    for key, value in ({k: v for k, v in ours.items() if not given.contains(k)} | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
