@@ -5,7 +5,9 @@ components.
 Defined cases: a vector that is null, empty or all zero, or holds a null or non-finite component, and
 one with a null label, is linked with nothing; only vectors of one label and one length are compared;
 equal vectors are one class, so copies are never paired with each other; repeated rows count as
-copies; a null id makes no component, and the row is kept; an empty table gives an empty result.
+copies; an id with several vectors is one node that is linked through each of them; a null id makes no
+component, and the row is kept; an empty table gives an empty result. Columns other than id, vector and
+label are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from .common import cut, ship
 from .components import components
 
 COSINE = 0.93
-#: Vectors of a shard, neighbours of a node, first beam, share of queries audited, recall asked of them.
-SHARD, NEIGHBOURS, BEAM, AUDITED, RECALL = 2048, 16, 48, 1 / 8, 0.999
+#: Vectors of a shard, neighbours of a node, first beam, queries audited for each block and shard,
+#: recall asked of them, query blocks that a task puts to a shard.
+SHARD, NEIGHBOURS, BEAM, AUDITED, RECALL, BLOCKS = 2048, 16, 48, 32, 0.999, 32
 
 
 class Graph:
@@ -141,9 +144,9 @@ def _links(queries: np.ndarray, x: np.ndarray, graph: Graph, least: float) -> tu
         return np.concatenate(a), np.concatenate(b)
 
     n, beam = len(queries), BEAM
-    audited = np.arange(0, n, max(1, round(1 / AUDITED)))
+    audited = np.arange(0, n, max(1, n // AUDITED))
     truth = set(zip(*(v.tolist() for v in exact(audited)), strict=True))
-    while beam < len(x):
+    while True:
         a, b, full = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         for i in range(n):
             hits = graph.range_search(queries[i], least, beam)
@@ -158,8 +161,9 @@ def _links(queries: np.ndarray, x: np.ndarray, graph: Graph, least: float) -> tu
         found = set(zip(a.tolist(), b.tolist(), strict=True)) & truth if truth else truth
         if len(found) >= RECALL * len(truth):
             return a, b
+        if beam >= len(x):
+            return exact(np.arange(n))
         beam *= 2
-    return exact(np.arange(n))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,40 +180,51 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _index(batches):
+    """Each shard's vectors as a block of queries, and its graph."""
     for b in batches:
-        blobs = []
+        block, graphs = [], []
         for rows in b.column(3).to_pylist():
-            rows.sort(key=lambda r: r["rep"])
+            rows.sort(key=lambda r: (r["rep"], r["embedding"]))
             x = unit([r["embedding"] for r in rows])
             ids, copies = (np.array([r[k] for r in rows], np.int64) for k in ("rep", "copies"))
-            blobs.append(pickle.dumps((ids, copies, x, Graph(x)), protocol=5))
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(blobs, pa.binary())], ["label", "dim", "shard", "blob"])
+            block.append(pickle.dumps((ids, copies, x), protocol=5))
+            graphs.append(pickle.dumps(Graph(x), protocol=5))
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(block, pa.binary()), pa.array(graphs, pa.binary())], ["label", "dim", "shard", "block", "graph"])
+
+
+def _found(same: bool, one: tuple, other: tuple, graph: Graph, least: float) -> pa.RecordBatch:
+    """Of a block of queries and a shard: (a, a, links) and a spanning forest (a, b, 0)."""
+    (ids, copies, x), (ids2, copies2, x2) = one, other
+    u, v = _links(x, x2, graph, least)
+    count, count2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+    if same:
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        code = np.unique((low * len(ids) + high)[low != high])
+        u, v = code // len(ids), code % len(ids)
+        count2 = count
+    np.add.at(count, u, copies2[v])
+    np.add.at(count2, v, copies[u])
+    ends = np.concatenate([ids, [] if same else ids2]).astype(np.int64)
+    label = _forest(len(ends), u, v if same else v + len(ids))
+    tied = np.flatnonzero(label != np.arange(len(label)))
+    total = count if same else np.concatenate([count, count2])
+    has = np.flatnonzero(total)
+    cols = ((ends[has], ends[tied]), (ends[has], ends[label[tied]]), (total[has], np.zeros(len(tied), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "b", "n"])
 
 
 def _search(least):
+    """Over rows sorted by shard and group of blocks: the shard itself (with its graph) comes first,
+    then the blocks that are put to it."""
+
     def run(batches):
+        shard = graph = None
         for b in batches:
-            for same, one, other in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, copies, x, _ = pickle.loads(one)
-                ids2, copies2, x2, graph = pickle.loads(other)
-                u, v = _links(x, x2, graph, least)
-                count, count2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
-                if same:
-                    low, high = np.minimum(u, v), np.maximum(u, v)
-                    code = np.unique((low * len(ids) + high)[low != high])
-                    u, v = code // len(ids), code % len(ids)
-                    count2 = count
-                np.add.at(count, u, copies2[v])
-                np.add.at(count2, v, copies[u])
-                ends = np.concatenate([ids, [] if same else ids2]).astype(np.int64)
-                label = _forest(len(ends), u, v if same else v + len(ids))
-                tied = np.flatnonzero(label != np.arange(len(label)))
-                total = count if same else np.concatenate([count, count2])
-                has = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), pa.int64()) for c in ((ends[has], ends[tied]), (ends[has], ends[label[tied]]), (total[has], np.zeros(len(tied), np.int64)))],
-                    ["a", "b", "n"],
-                )
+            for i, j, block, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if blob is not None:
+                    shard, graph = pickle.loads(block), pickle.loads(blob)
+                else:
+                    yield _found(i == j, pickle.loads(block), shard, graph, least)
 
     return run
 
@@ -218,9 +233,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec_id, n_links, component_id, kept for every row.
 
     Equal vectors of a label become one class with a count, by partial aggregation. The classes of a
-    label are dealt to shards of bounded size by a hash of their id; a shard is one row with its
-    graph. Every pair of shards of a label is one task's row: the vectors of the one are searched in
-    the graph of the other. A pair of shards sends back counts and a spanning forest, never all pairs.
+    label are dealt to shards of bounded size by a hash of their id. Every shard of a label is asked
+    with the vectors of each shard up to itself; a task holds one graph and is sent at most BLOCKS
+    blocks of vectors. It sends back counts and a spanning forest, never all pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -234,13 +249,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.expr("pmod(xxhash64(rep), shards)"))
-    packed = dealt.groupBy("label", "dim", "shard").agg(F.collect_list(F.struct("rep", "copies", "embedding")).alias("rows"))
-    index = cut(packed.mapInArrow(_index, "label string, dim int, shard long, blob binary"), "graphs")
-
-    ask = index.join(sizes, ["label", "dim"]).select("label", "dim", F.col("shard").alias("i"), F.col("blob").alias("one"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"))
-    pairs = ask.join(index, ["label", "dim", "shard"]).select((F.col("i") == F.col("shard")).alias("same"), "one", F.col("blob").alias("other"))
     spread = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut(pairs.repartition(spread).mapInArrow(_search(cosine), "a long, b long, n long"), "links")
+    packed = dealt.repartition(spread, "label", "dim", "shard").groupBy("label", "dim", "shard").agg(F.collect_list(F.struct("rep", "copies", "embedding")).alias("rows"))
+    index = cut(packed.mapInArrow(_index, "label string, dim int, shard long, block binary, graph binary"), "graphs")
+
+    of = index.join(sizes, ["label", "dim"])
+    key = ["label", "dim", "j", "grp"]
+    asks = of.select("label", "dim", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("j"), F.col("shard").alias("i"), "block")
+    asks = asks.select(*asks.columns, F.expr(f"i div {BLOCKS}").alias("grp"), F.lit(None).cast("binary").alias("graph"))
+    asked = of.select("label", "dim", F.col("shard").alias("j"), F.lit(-1).cast("long").alias("i"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shard div {BLOCKS}"))).alias("grp"), "graph")
+    work = asks.unionByName(asked).repartition(spread, *key).sortWithinPartitions(*key, "i").select("i", "j", "block", "graph")
+    found = cut(work.mapInArrow(_search(cosine), "a long, b long, n long"), "links")
 
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     parts = components(found.where("n = 0"))

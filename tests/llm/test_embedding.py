@@ -63,3 +63,33 @@ def test_graph_recall():
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert found <= set(zip(u.tolist(), v.tolist(), strict=True))
     assert len(found) >= 0.99 * len(u)
+
+
+def test_small_labels_go_through_graphs(spark, monkeypatch):
+    """Labels of a few vectors are searched in their graphs like all others."""
+    asked = []
+    search = embedding.Graph.range_search
+    monkeypatch.setattr(embedding.Graph, "range_search", lambda self, q, least, beam: asked.append(len(self.x)) or search(self, q, least, beam))
+    x = embedding.unit([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])
+    a, b = embedding._links(x, x, embedding.Graph(x), 0.93)
+    assert asked == [3, 3, 3] and {(0, 1), (1, 0)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    data = [(1, near, "a"), (1, near, "a"), (2, [1.0, 0.0, 0.11], "a"), (None, near, "a"), (3, far, "a"), (4, near, "b")]
+    d = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in data], "vec_id long, embedding array<double>, label string, n_links int, shard int, rep string, i int")
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in embedding.near_duplicates(d).collect())
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_recall_over_many_shards(spark):
+    """Planted near copies over ten shards, each link found against brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 24))
+    x = np.repeat(base, 5, axis=0) + rng.normal(scale=0.12, size=(2000, 24))
+    data = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string"), shard=200).collect()}
+    want = brute(data)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
