@@ -5,8 +5,9 @@ that has a rank to its positions; the active ranks are applied in ascending orde
 positions at once, and only the lists of the pairs beside a merge are updated.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; strings of added
-tokens in a text are those tokens, as in the library; repeated rows are encoded alike; an empty table
-gives an empty result. Columns other than id and text are ignored.
+tokens in a text are those tokens, as in the library; very long texts and pretokens are encoded whole;
+repeated rows are encoded alike; an empty table gives an empty result. Columns other than id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ ones the one with the least id stays, and the rest are rendered.
 
 Defined cases: turns are ordered by number (nulls last), then by their hashes; a null role or text is
 empty; a null id is a conversation of its own, and is kept if nothing longer continues it; a repeated
-row is one more turn; an empty table gives an empty result. Only the four named columns are read.
+row is one more turn; very long texts and conversations are hashed and rendered whole; an empty table
+gives an empty result. Only the four named columns are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ language's share of set bits makes expect, decides.
 Defined cases: a text that is null or has no letter is `und` with score 0, as is any text while
 nothing is learned; a text of which no n-gram is known gets the language of most documents with score
 0; ties go to the language first by name; rows with a null id or language are not learned from, and a
-null id is not held out; repeated rows are predicted alike; an empty table gives an empty result.
+null id is not held out; very long texts are read whole; repeated rows are predicted alike; an empty
+table gives an empty result.
 Columns other than id, text and language are ignored.
 """
 

@@ -50,3 +50,11 @@ def test_decode_undoes_encode(spark):
     docs = spark.createDataFrame([(1, "Ein Bär, zwei Bären"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
     assert got == {1: "Ein Bär, zwei Bären", 2: ""}
+
+
+def test_one_very_long_pretoken(library):
+    coder = bpe.Bpe(open(PATH).read())
+    for text in ("ab" * 100_000, "é" * 30_000, " " * 50_000 + "x", "=" * 70_000):
+        want = library.encode(text, add_special_tokens=False).ids
+        ids = coder.encode([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == want and coder.decode(ids) == text

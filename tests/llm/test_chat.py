@@ -1,4 +1,5 @@
 import random
+import re
 
 from riverlens.llm import chat
 
@@ -43,3 +44,18 @@ def test_long_conversations_are_pieced_together(spark, monkeypatch):
     got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.render(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == brute(data)
     assert chat.render(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_and_equal_turn_numbers(spark):
+    """A repeated row is one more turn; turns of one number are ordered by their hashes, so conversations
+    with the same turns are equal however their rows come."""
+    rows = [(1, 0, "user", "a", 0), (1, 0, "user", "a", 0), (2, 0, "user", "a", 0), (3, 5, "x", "p", 0), (3, 5, "y", "q", 0), (4, 5, "y", "q", 0), (4, 5, "x", "p", 0), (5, 0, "u", "z" * 200_000, 0)]
+    odd = "conv_id long, turn long, role string, text string, k int"
+    got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat.render(spark.createDataFrame(rows, odd).repartition(3)).collect()}
+    assert got == {1: (2, 1), 3: (2, 2), 5: (1, 1)}
+
+
+def test_no_python_in_the_plan(spark):
+    d = spark.createDataFrame(rows(), SCHEMA)
+    assert not re.search("Python|Arrow|Pandas", chat.render(d)._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Arrow|Pandas", chat.prefixes(chat._turns(d, "conv_id", "turn", "role", "text"))._jdf.queryExecution().executedPlan().toString())

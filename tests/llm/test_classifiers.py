@@ -168,3 +168,34 @@ def test_languages_of_any_number_are_learned(spark):
     lang = {i: x for i, _, x, *_ in data}
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_languages_as_brute_force(spark):
+    """The query against plain sets of n-grams: no filter, no hashing."""
+    data = [(i, " ".join(w), lang, "s", "x") for i, lang, w in texts(400, 9)]
+
+    def grams(t):
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        return [clean[i : i + 4] for i in range(max(1, len(clean) - 3))]
+
+    known = {}
+    for i, t, lang, *_ in data:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            known.setdefault(lang, set()).update(grams(t))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()}
+    for i, t, *_ in data:
+        seen = {k: sum(g in s for g in grams(t)) for k, s in known.items()}
+        best = max(sorted(seen), key=seen.get)
+        assert seen[got[i].lang_pred] >= seen[best] - 1
+        assert abs(got[i].score - seen[got[i].lang_pred] / sum(seen.values())) < 0.02
+
+
+def test_classifiers_with_clashing_names_and_long_texts(spark):
+    docs, labels = toxic_rows(200, 3)
+    data = [(*d[:4], 1, 2, 3) for d in docs] + [(9000, "thing " * 200_000, "en", "s", 1, 2, 3)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, score int, predicted int, y int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.classify(d, lab).columns == ["doc_id", "held_out", "score", "predicted"]
+    kept = toxicity.drop_toxic(d, lab)
+    assert kept.columns == d.columns and kept.where("doc_id = 9000").count() == 1
+    assert langid.identify(d).columns == ["doc_id", "held_out", "lang_pred", "score"]

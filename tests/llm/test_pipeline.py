@@ -10,8 +10,9 @@ from riverlens.llm import quality, toxicity
 from riverlens.llm.common import cut
 
 from .test_classifiers import toxic_rows
-from .test_minhash import brute_components, brute_removal
+from .test_minhash import brute_components
 from .test_packing import check
+from .test_substring import brute_removal
 
 
 def test_stages(spark, tmp_path):
@@ -52,3 +53,23 @@ def test_stages(spark, tmp_path):
     _, got5 = step("packing", four)
     check([(r.doc_id, r.text, r.source) for r in got4], got5, 4096)
     assert corpus_pipeline.run(spark, sf).count() == len(got5)
+
+
+def test_odd_rows_pass_through_all_stages(spark, tmp_path):
+    """Empty table; repeated rows, null ids and texts, columns with the operators' own names."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 3, 1, "k"), (1, text, "en", "s", 3, 1, "k"), (None, text + " more", None, None, None, None, None), (2, None, None, None, None, None, None), (3, text[::-1], "en", "s", 0, 0, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, spans string"
+    lab = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for k, data in enumerate(([], rows)):
+        sf = f"{tmp_path}/{k}"
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+        lab.write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = cut(stage(spark, docs, sf), name)
+            assert out.columns == docs.columns
+            docs = out
+        got = corpus_pipeline.run(spark, sf)
+        assert got.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        assert {r.doc_id for r in got.collect()} <= {r[0] for r in data}
