@@ -3,7 +3,7 @@ windows, window lengths under both, calibrated thresholds.
 
 The toxic dictionary holds windows of toxic documents only, those that toxic documents have far more
 often; the ordinary one holds the most frequent windows of the other documents. Each window of a text
-is compressed once with either; by how many bytes the toxic dictionary does better is the window's
+is compressed once with either; by how many bytes the toxic dictionary does better, if it does, is the window's
 distance. How many windows of a text pass each distance is calibrated, on labelled documents that
 made neither dictionary, to a probability.
 
@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, cut, ship
+from .common import cut, ship
 
 #: Labelled documents learned from, at most.
 SAMPLE = 5000
-#: Words of a scored window; windows overlap by all but one. Dictionaries are made of one-word windows.
+#: Words of a scored window; windows follow each other. Dictionaries are made of one-word windows.
 WINDOW, LEVEL = 2, 9
 #: Bytes of each dictionary: the size of the model.
 ORDINARY_SIZE, TOXIC_SIZE = 32_768, 16_384
@@ -41,6 +41,8 @@ CALIBRATES = 3
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
 #: False alarms that a missed toxic document counts as when the score is calibrated.
 MISS = 3
+#: Windows that a worker keeps the distances of.
+KNOWN = 1_000_000
 #: Both dictionaries and every window end with this: the compressor looks for no match that begins in
 #: the last bytes of its input, and stores very short inputs as they are.
 TAIL = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -52,9 +54,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
-    if size == 2 and len(words) > 1:
-        return [b" " + a + b" " + b + b" " for a, b in zip(words, words[1:], strict=False)]
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
+    """size words each, one after the other; the last has what is left."""
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words)), size)]
 
 
 class Scorer:
@@ -77,21 +78,25 @@ class Scorer:
                 d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            # bytes that a window takes besides its own where nothing of it is found
+            self.nothing = len(made[1](b"\xff\xfe\xfd\xfc\xfb\xfa\xf9\xf8" + TAIL)) - 8
             self._made = made
         return self._made
 
     def distances(self, text: str | None) -> np.ndarray:
-        """For each window, the bytes by which the toxic dictionary does better. A worker keeps those
-        of the windows it has seen, up to a bound."""
+        """For each window, the bytes by which the toxic dictionary does better, at least 0. Where it
+        finds nothing in a window the ordinary one can't do worse, and is not asked. A worker keeps
+        the distances of the windows it has seen, up to a bound."""
         ordinary, toxic = self._compressors()
-        own, known = windows(words_of(text)), self._known
+        own, known, nothing = windows(words_of(text)), self._known, self.nothing
         new = set(own).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + len(new) > KNOWN:
             known.clear()
             new = set(own)
         for w in new:
             x = w + TAIL
-            known[w] = len(ordinary(x)) - len(toxic(x))
+            n = len(toxic(x))
+            known[w] = max(0, len(ordinary(x)) - n) if n < len(w) + nothing else 0
         return np.fromiter(map(known.__getitem__, own), np.int64, len(own))
 
     def features(self, text: str | None) -> np.ndarray:
