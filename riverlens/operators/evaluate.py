@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riverlens.operators.ordered import running
 from riverlens.operators.series import lag1_autocorr, prewhiten, risk_rank
 
 
@@ -118,9 +119,10 @@ def method_benchmark(px: DataFrame, masks: list[str], ref: str, pixel_ha: float
 
 
 def average_rank(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Ranks with ties averaged: rank() + (ties - 1) / 2."""
-    tie = Window.partitionBy(c)
-    return df.withColumn(out, F.rank().over(Window.orderBy(c)) + (F.count("*").over(tie) - 1) / 2)
+    """Ranks with ties averaged, from the counts of distinct values: those below, and (n + 1) / 2."""
+    counts = running(df.groupBy(c).agg(F.count("*").alias("n")), c, ["n"])
+    rank = counts.select(F.col(c).alias("_v"), (F.col("below_n") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(rank, F.col(c) == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -144,14 +146,14 @@ def official_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def classification_metrics(df: DataFrame, y: str = "y", p: str = "prob", keys=(), threshold: float = 0.5) -> DataFrame:
     """E12. ROC-AUC by average ranks, PR-AUC as the step sum over distinct scores, F1, precision,
-    recall at a threshold, base rate; AUCs are NULL with one class. Scores are summed up first, so
-    the windows run over distinct scores."""
+    recall at a threshold, base rate; AUCs are NULL with one class. Scores are summed up first, and
+    running totals are taken over the distinct ones."""
     g = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    up, down = Window.partitionBy(*keys).orderBy("_p"), Window.partitionBy(*keys).orderBy(F.desc("_p"))
-    whole = Window.partitionBy(*keys)
-    g = g.withColumns({
-        "below": F.sum("n").over(up) - F.col("n"), "cpos": F.sum("pos").over(down), "cn": F.sum("n").over(down), "allpos": F.sum("pos").over(whole), "alln": F.sum("n").over(whole),
-    })
+    whole = g.groupBy(*keys).agg(F.sum("pos").alias("allpos"), F.sum("n").alias("alln")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "allpos", "alln")
+    below = running(g, "_p", ["pos", "n"], keys)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    g = below.join(whole, same) if keys else below.crossJoin(F.broadcast(whole))  # one row
+    g = g.withColumns({"below": F.col("below_n"), "cpos": F.col("allpos") - F.col("below_pos"), "cn": F.col("alln") - F.col("below_n")})
     ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
     P, N = F.max("allpos"), F.max("alln")
     hot = F.col("_p") >= threshold
@@ -181,27 +183,36 @@ def side_by_side(a: DataFrame, b: DataFrame, key: str, *metrics: str) -> DataFra
 
 def conformal_quantile(df: DataFrame, residual: str, level: float, keys=()) -> DataFrame:
     """E13. The ceil((n + 1) level)-th smallest residual, infinite when there are too few."""
-    part = Window.partitionBy(*keys)
-    d = df.withColumn("_k", F.row_number().over(part.orderBy(residual))).withColumn("_n", F.count("*").over(part))
-    at = F.ceil((F.col("_n") + 1) * level - 1e-9)
-    g = d.groupBy(*keys) if keys else d
-    return g.agg(F.coalesce(F.max(F.when(F.col("_k") == at, F.col(residual))), F.lit(float("inf"))).alias("radius"), F.max("_n").alias("n"))
+    g = df.where(F.col(residual).isNotNull()).groupBy(*keys, F.col(residual).cast("double").alias("_r")).agg(F.count("*").alias("m"))
+    n = g.groupBy(*keys).agg(F.sum("m").alias("n")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "n")
+    below = running(g, "_r", ["m"], keys)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    d = below.join(n, same) if keys else below.crossJoin(F.broadcast(n))  # one row
+    reached = F.col("below_m") + F.col("m") >= F.ceil((F.col("n") + 1) * level - 1e-9)
+    return (d.groupBy(*keys) if keys else d).agg(F.coalesce(F.min(F.when(reached, F.col("_r"))), F.lit(float("inf"))).alias("radius"), F.max("n").alias("n"))
 
 
 def loyo_conformal(df: DataFrame, levels: list[float]) -> DataFrame:
     """E14. For each year, the radius from all other years' residuals; intervals clamped to 0 .. 1 and
-    their coverage. Years are few, so each residual is counted once for each other year."""
-    r = df.withColumn("residual", F.abs(F.col("truth") - F.col("pred")))
-    years = r.select(F.col("year").alias("held_out")).distinct()
-    others = r.select("year", "residual").join(F.broadcast(years), F.col("year") != F.col("held_out"))
-    out = None
-    for level in levels:
-        q = conformal_quantile(others, "residual", level, ("held_out",)).select(F.col("held_out").alias("year"), "radius")
-        j = df.join(F.broadcast(q), "year")
-        lo, hi = F.greatest(F.lit(0.0), F.col("pred") - F.col("radius")), F.least(F.lit(1.0), F.col("pred") + F.col("radius"))
-        one = j.withColumn("inside", F.col("truth").between(lo, hi)).groupBy("year").agg(F.max("radius").alias("radius"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.avg(hi - lo).alias("width")).withColumn("level", F.lit(level))
-        out = one if out is None else out.union(one)
-    return out
+    their coverage. The others' counts are all counts less the year's own, so each residual is
+    counted once; the driver holds the years and a radius for each."""
+    years = [r.year for r in df.select("year").distinct().orderBy("year").collect()]
+    r = df.select("year", F.abs(F.col("truth") - F.col("pred")).cast("double").alias("r")).where("r is not null")
+    of = [f"n{i}" for i in range(len(years))]
+    g = r.groupBy("r").agg(F.count("*").alias("n"), *(F.count_if(F.col("year").eqNullSafe(F.lit(y))).alias(c) for c, y in zip(of, years, strict=True)))
+    whole = g.agg(*(F.sum(c).alias(f"all_{c}") for c in ["n", *of]))
+    d = running(g, "r", ["n", *of]).crossJoin(F.broadcast(whole))  # one row
+    pick = []
+    for c, y in zip(of, years, strict=True):
+        others = F.col("below_n") + F.col("n") - F.col(f"below_{c}") - F.col(c)
+        for level in levels:
+            reached = others >= F.ceil((F.col("all_n") - F.col(f"all_{c}") + 1) * level - 1e-9)
+            pick.append(F.struct(F.lit(y).alias("year"), F.lit(level).alias("level"), F.coalesce(F.min(F.when(reached, F.col("r"))), F.lit(float("inf"))).alias("radius")))
+    q = d.agg(F.array(*pick).alias("q")).select(F.inline("q")) if pick else df.sparkSession.createDataFrame([], "year int, level double, radius double")
+    j = df.join(F.broadcast(q), "year")  # a row for each year and level
+    lo, hi = F.greatest(F.lit(0.0), F.col("pred") - F.col("radius")), F.least(F.lit(1.0), F.col("pred") + F.col("radius"))
+    g = j.withColumn("inside", F.col("truth").between(lo, hi)).groupBy("year", "level")
+    return g.agg(F.max("radius").alias("radius"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.avg(hi - lo).alias("width")).select("year", "radius", "coverage", "width", "level")
 
 
 def flag_sheet(scores: DataFrame, top: int = 5, least: float = 0.2) -> DataFrame:

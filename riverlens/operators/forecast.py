@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from riverlens.operators.evaluate import flag_sheet
 from riverlens.operators.series import risk_rank
-from riverlens.operators.zonal import repeat_victims
 
 FEATURE_ORDER = ("antecedent", "week", "rain", "rain_lag1", "rain_lag2", "storage", "prior")
 
@@ -70,7 +69,9 @@ VARIANTS = {"full": FEATURE_ORDER, "no_reservoir": tuple(c for c in FEATURE_ORDE
 
 
 def variant_features(name: str) -> tuple[str, ...]:
-    """M7."""
+    """M7. An unknown variant is a ValueError."""
+    if name not in VARIANTS:
+        raise ValueError(f"no variant {name}: {', '.join(VARIANTS)}")
     return VARIANTS[name]
 
 
@@ -125,11 +126,15 @@ def train_pixel_classifier(px: DataFrame, features, label: str, fold: str, trees
 
 
 def fold_safe_prior(season: DataFrame) -> DataFrame:
-    """M11. Repeat victims for each held-out year from all other years."""
-    years = season.select(F.col("year").alias("held_out")).distinct()
-    j = season.join(F.broadcast(years), F.col("year") != F.col("held_out"))
-    keyed = j.withColumn("zone", F.struct("zone", "held_out"))
-    return repeat_victims(keyed).select(F.col("zone.zone").alias("zone"), F.col("zone.held_out").alias("held_out"), "seasons_1pct", "seasons_2pct", "max_fraction", "mean_ha")
+    """M11. Repeat victims for each held-out year from all other years. A zone's years, of which there
+    are few, stand in one row; both thresholds strict."""
+    years = [r.year for r in season.select("year").distinct().orderBy("year").collect()]
+    z = season.groupBy("zone").agg(F.collect_list(F.struct("year", "fraction", "flooded_ha")).alias("s"))
+    z = z.withColumn("held_out", F.explode(F.array(*map(F.lit, years)))).withColumn("s", F.expr("filter(s, x -> x.year <> held_out)")).where(F.size("s") > 0)
+    past = lambda t: F.expr(f"cast(size(filter(s, x -> x.fraction > {t})) as bigint)")
+    known = "filter(transform(s, x -> x.flooded_ha), v -> v is not null)"
+    mean = F.expr(f"try_divide(aggregate({known}, 0d, (a, v) -> a + v), size({known}))")
+    return z.select("zone", "held_out", past(0.01).alias("seasons_1pct"), past(0.02).alias("seasons_2pct"), F.expr("array_max(transform(s, x -> x.fraction))").alias("max_fraction"), mean.alias("mean_ha"))
 
 
 def zone_profile(methods: DataFrame, victims: DataFrame, people: DataFrame, peaks: DataFrame, subs: DataFrame, override: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ def balanced_sample(px: DataFrame, n: int, seed: str = "s", key: str = "pixel")
     zones = px.groupBy("label").agg(F.countDistinct("zone").alias("_z"))
     o = order_of(seed, key)
     d = px.join(F.broadcast(zones), "label").withColumn("_o", o)
-    d = d.withColumn("_first", F.row_number().over(Window.partitionBy("label", "zone").orderBy("_o")) <= F.ceil(F.lit(n) / F.col("_z")))
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("label", "zone").orderBy("_o"))).where(F.col("_k") <= n)  # a top-k: no later row of a zone can be among n
+    d = d.withColumn("_first", F.col("_k") <= F.ceil(F.lit(n) / F.col("_z"))).drop("_k")
     d = d.withColumn("_rn", F.row_number().over(Window.partitionBy("label").orderBy(~F.col("_first"), "_o")))
     return d.where(F.col("_rn") <= n).drop("_z", "_o", "_first", "_rn")
 

@@ -104,8 +104,11 @@ def s9(spark, sf):
 
 @query("s10_pending_days", "select distinct day from px_pass where day >= date '2024-01-15'")
 def s10(spark, sf):
-    days = px_pass(spark, sf).select("day").distinct()
-    return S.pending_days(days, days.where("day < date '2024-01-15'"))
+    """Days that two appended runs of a ledger lack."""
+    days, path = px_pass(spark, sf).select("day").distinct(), scratch(spark, "ledger")
+    for part in ("day < date '2024-01-08'", "day between date '2024-01-06' and date '2024-01-14'"):
+        S.append_ledger(days.where(part), path)
+    return S.pending_days(days, spark.read.parquet(path))
 
 
 @query("s11_quantize_db", "select pixel, orbit, ts, (case when power is null then -32768 else round(1000 * log10(greatest(power, 1e-6))) end)::int as q, case when power is not null then round(1000 * log10(greatest(power, 1e-6))) / 100 end as db from scenes")

@@ -73,14 +73,26 @@ def r7(spark, sf):
     return o.select("zone", *(r4(c, c) for c in ("observed_ha", "observed_fraction", "antecedent_ha", "antecedent_fraction")))
 
 
-@query("r8_wet_sessions")
+@query(
+    "r8_wet_sessions",
+    """with e as (select user_id as pixel, ts from events where event_type = 'error'), f as (select *, coalesce(ts >= lag(ts) over (partition by pixel order by ts) + interval 4 day, true)::int as new from e),
+    g as (select *, sum(new) over (partition by pixel order by ts rows unbounded preceding) as s from f) select pixel, min(ts) as first, max(ts) + interval 4 day as until, count(*) as n from g group by pixel, s""",
+)
 def r8(spark, sf):
     return kept(spark, "r8", R.wet_sessions(R.read_scenes(spark, sf)), "complete")
 
 
-@query("r9_publish_or_degrade")
+@query(
+    "r9_publish_or_degrade",
+    """select ts::date as day, count(*) as n, null::varchar as degraded from events group by 1
+    union all select null, null, 'AnalysisException' union all select null, null, 'broken while read'""",
+)
 def r9(spark, sf):
     schema = "day date, n long"
     good = R.publish_or_degrade(spark, lambda: R.passes_by_day(R.read_scenes(spark, sf).sparkSession.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))), schema)
     bad = R.publish_or_degrade(spark, lambda: R.passes_by_day(spark.read.parquet(f"{sf}/no-such-table.parquet")), schema)
-    return good.unionByName(bad)
+    event = F.col("event_id")
+    broken = F.when(event >= 0, F.raise_error(F.lit("broken while read"))).otherwise(event)
+    late = R.publish_or_degrade(spark, lambda: spark.read.parquet(f"{sf}/events.parquet").select(F.to_date("ts").alias("day"), broken.cast("long").alias("n")), schema)
+    reason = F.when(F.col("degraded").contains("broken while read"), "broken while read").otherwise(F.substring_index("degraded", ":", 1))
+    return good.unionByName(bad).unionByName(late).withColumn("degraded", reason)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riverlens import config as C
+from riverlens.session import scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -65,17 +64,9 @@ def run_monitor(batch: DataFrame, static: DataFrame, templates: DataFrame, floor
     return publish_snapshot(header, rows.select(F.col("zone").cast("string").alias("zone"), "km2", "coverage"), render_alerts(flagged, templates), floor)
 
 
-def _first_wet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    day = min(f["day"].min() for f in frames)
-    if not state.exists or day < state.get[0]:
-        state.update((day,))
-        yield pd.DataFrame({"pixel": [key[0]], "day": [day]})
-
-
 def stream_fresh(stream: DataFrame) -> DataFrame:
-    """R5. Keyed state of each pixel's first wet day; a row when it becomes wet (or wet earlier)."""
-    wet = stream.where("wet").select("pixel", "day").groupBy("pixel")
-    return wet.applyInPandasWithState(_first_wet, "pixel long, day date", "day date", "update", GroupStateTimeout.NoTimeout)
+    """R5. Each pixel's first wet day: in update mode a row for every pixel that a batch finds wet."""
+    return stream.where("wet").groupBy("pixel").agg(F.min("day").alias("day"))
 
 
 def lookback(stream: DataFrame) -> DataFrame:
@@ -117,11 +108,13 @@ def wet_sessions(stream: DataFrame) -> DataFrame:
 
 def publish_or_degrade(spark: SparkSession, make: Callable[[], DataFrame], schema: str) -> DataFrame:
     """R9. What make() publishes, or one row of NULLs of the same schema with the reason when a
-    source fails; the reason is never lost."""
+    source fails, be it missing or broken while it is read: the result is written before it is
+    published. The reason is the error's class and first line."""
     try:
-        out = make()
-        out.schema  # noqa: B018  (a missing source fails here, before anything is published)
-        return out.withColumn("degraded", F.lit(None).cast("string"))
+        out, path = make(), scratch(spark, "published")
+        out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path).withColumn("degraded", F.lit(None).cast("string"))
     except Exception as e:
+        said = next((x.strip() for x in str(e).splitlines() if x.strip()), "")
         empty = spark.createDataFrame([()], "struct<>").select(*(F.lit(None).cast(t).alias(n) for n, t in (x.strip().split(" ", 1) for x in schema.split(","))))
-        return empty.withColumn("degraded", F.lit(type(e).__name__))
+        return empty.withColumn("degraded", F.lit(f"{type(e).__name__}: {said}"))

@@ -122,3 +122,62 @@ def test_no_nested_loops_in_range_joins(spark):
     w = K.season_windows(spark, [2025])
     for d in (S.window_with_lags(daily, w, "mm"), S.window_sum(daily, w, "mm"), S.interpolate(daily, daily.select("date"), "date", "mm")):
         assert "NestedLoop" not in plan(d) and "Cartesian" not in plan(d)
+
+
+def test_running_totals_as_brute_force(spark):
+    import random
+
+    from riverlens.operators.ordered import running
+
+    rng = random.Random(2)
+    rows = {(rng.choice("ab"), round(rng.gauss(0, 1), 2)): rng.randint(1, 9) for _ in range(600)}
+    d = spark.createDataFrame([(k, v, n) for (k, v), n in rows.items()], "k string, v double, n long")
+    for keys in ((), ("k",)):
+        one = d if keys else d.groupBy("v").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+        got = {(r.v, r.k if keys else None): r.below_n for r in running(one, "v", ["n"], keys).collect()}
+        for (v, k), below in got.items():
+            assert below == sum(n for (g, w), n in rows.items() if w < v and (not keys or g == k))
+    assert running(d.limit(0), "v", ["n"]).count() == 0
+
+
+def test_no_window_holds_all_rows(spark):
+    """Ranks, curves and radii: no nested loop over rows and no exchange to a single partition of them."""
+    d = spark.range(200).selectExpr("id % 7 as y7", "cast(id % 2 as int) as y", "id / 200 as prob", "id / 190 as truth", "id / 180 as pred", "cast(2000 + id % 5 as int) as year")
+    for df in (E.average_rank(d, "prob", "r"), E.conformal_quantile(d.withColumn("residual", d.prob), "residual", 0.9, ("year",)), E.classification_metrics(d, keys=("year",))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        windows = [x for x in plan.splitlines() if "Window [" in x]
+        assert all("_run_" in x for x in windows)
+
+
+def test_a_source_that_breaks_while_it_is_read_is_degraded(spark):
+    from pyspark.sql import functions as F
+
+    from riverlens.streaming.monitor import publish_or_degrade
+
+    bad = publish_or_degrade(spark, lambda: spark.range(3).select(F.raise_error(F.lit("broken tile")).cast("long").alias("n")), "n long").collect()
+    assert len(bad) == 1 and bad[0].n is None and "broken tile" in bad[0].degraded
+    good = publish_or_degrade(spark, lambda: spark.range(3).select(F.col("id").alias("n")), "n long").collect()
+    assert sorted((r.n, r.degraded) for r in good) == [(0, None), (1, None), (2, None)]
+
+
+def test_last_days_are_written_anew(spark, tmp_path):
+    import datetime
+
+    from riverlens.streaming.monitor import rewrite_last_days
+
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(k)
+    path, schema = str(tmp_path / "t"), "day date, v int"
+    spark.createDataFrame([(day(k), 1) for k in range(20)], schema).write.partitionBy("day").parquet(path)
+    rewrite_last_days(spark.createDataFrame([(day(k), 2) for k in range(20)], schema), path, 5)
+    got = {r.day: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {day(k): 2 if k >= 15 else 1 for k in range(20)}
+
+
+def test_an_unknown_variant_is_an_error():
+    import pytest
+
+    from riverlens.operators.forecast import variant_features
+
+    with pytest.raises(ValueError, match="no variant"):
+        variant_features("no such")
