@@ -41,8 +41,8 @@ CALIBRATES = 3
 DISTANCES = (1, 2, 3, 4, 5, 6, 8)
 #: False alarms that a missed toxic document counts as when the score is calibrated.
 MISS = 3
-#: Windows that a worker keeps the distances of.
-KNOWN = 1_000_000
+#: Windows that a task keeps the distances of.
+KNOWN = 100_000
 #: Both dictionaries and every window end with this: the compressor looks for no match that begins in
 #: the last bytes of its input, and stores very short inputs as they are.
 TAIL = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -85,7 +85,7 @@ class Scorer:
 
     def distances(self, text: str | None) -> np.ndarray:
         """For each window, the bytes by which the toxic dictionary does better, at least 0. Where it
-        finds nothing in a window the ordinary one can't do worse, and is not asked. A worker keeps
+        finds nothing in a window the ordinary one can't do worse, and is not asked. A task keeps
         the distances of the windows it has seen, up to a bound."""
         ordinary, toxic = self._compressors()
         own, known, nothing = windows(words_of(text)), self._known, self.nothing
@@ -99,6 +99,10 @@ class Scorer:
             known[w] = max(0, len(ordinary(x)) - n) if n < len(w) + nothing else 0
         return np.fromiter(map(known.__getitem__, own), np.int64, len(own))
 
+    def forget(self) -> None:
+        """At the end of a task: its worker goes on to other stages."""
+        self._known.clear()
+
     def features(self, text: str | None) -> np.ndarray:
         d = self.distances(text)
         top = -np.sort(-(np.partition(d, len(d) - 10)[-10:] if len(d) > 10 else d))
@@ -187,6 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             x = [s.features(t).tolist() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+        s.forget()
 
     rows = sorted(rest.select("id", "y", "text").mapInArrow(measured, "id long, y int, x array<double>").collect(), key=lambda r: r.id)
     scorer.calibrate([r.x for r in rows], [r.y for r in rows])
@@ -205,6 +210,7 @@ def predict(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple
             p = [s.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *cols], [*b.schema.names[:-1], "score", "predicted"])
+        s.forget()
 
     d = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = d.drop("_text").schema.add("score", "double").add("predicted", "integer")
@@ -234,5 +240,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **col
         s = shared.value
         for b in batches:
             yield b.filter(pa.array([s.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+        s.forget()
 
     return docs.mapInArrow(run, docs.schema)
