@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from riverlens.operators.evaluate import flag_sheet
 from riverlens.operators.series import risk_rank
 
-FEATURE_ORDER = ("antecedent", "week", "rain", "rain_lag1", "rain_lag2", "storage", "prior")
+#: Rain of two boxes over the window and the two before; mean storage and its change in three
+#: reservoirs; the extent of the window before; the window's number; two priors of the zone.
+RAIN = tuple(f"{box}{lag}" for lag in ("", "_lag1", "_lag2") for box in ("plain_mm", "upstream_mm"))
+RESERVOIRS = tuple(f"dam{i}_{what}" for i in (1, 2, 3) for what in ("storage", "delta"))
+PRIORS = ("prior_mean_ha", "prior_seasons_2pct")
+FEATURE_ORDER = (*RAIN, *RESERVOIRS, "antecedent", "week", *PRIORS)
 
 
 def with_missing_flags(df: DataFrame, features) -> DataFrame:
@@ -65,14 +70,15 @@ def hindcast(panel: DataFrame, features, last: int, iterations: int = 300) -> tu
     return model, s, flag_sheet(s.drop("risk_rank"))
 
 
-VARIANTS = {"full": FEATURE_ORDER, "no_reservoir": tuple(c for c in FEATURE_ORDER if c != "storage"), "rain_prior": ("rain", "rain_lag1", "rain_lag2", "prior")}
+#: Variants and the features that each does without.
+VARIANTS = {"full": (), "no_reservoir": RESERVOIRS, "meteo_prior": (*RESERVOIRS, "antecedent")}
 
 
 def variant_features(name: str) -> tuple[str, ...]:
     """M7. An unknown variant is a ValueError."""
     if name not in VARIANTS:
         raise ValueError(f"no variant {name}: {', '.join(VARIANTS)}")
-    return VARIANTS[name]
+    return tuple(c for c in FEATURE_ORDER if c not in VARIANTS[name])
 
 
 def persistence(df: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features, seed:
 
 def live_features(zones: DataFrame, scalars: DataFrame, antecedent: DataFrame, prior: DataFrame) -> DataFrame:
     """M9. One row a zone in the fixed feature order; missing is NULL. scalars is one row for the
-    whole state (week, rain, rain_lag1, rain_lag2, storage)."""
+    whole state (week, RAIN, RESERVOIRS), antecedent and prior (PRIORS) are by zone."""
     j = zones.select("zone").crossJoin(F.broadcast(scalars)).join(antecedent, "zone", "left").join(prior, "zone", "left")
     return j.select("zone", *FEATURE_ORDER)
 

@@ -61,14 +61,23 @@ def m7(spark, sf):
     return M.persistence(scores(spark, sf).withColumnRenamed("pred", "antecedent")).select("zone", "window_start", r4("prob", "prob"))
 
 
+DAMS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
 def features(spark, sf):
-    """The panel with its features; rain and storage come by window, the prior by zone."""
-    p = series.assemble(panel(spark, sf))
-    rain = series.window_with_lags(daily_box(spark, sf), windows(spark), "punjab_mm").toDF("window_start", "rain", "rain_lag1", "rain_lag2")
-    res = res_windows(spark, sf).groupBy("window_start").agg(F.avg("mean_storage").alias("storage"))
-    prior = p.groupBy("zone").agg(F.max("fraction").alias("prior"))
+    """The panel with its features; rain and reservoirs come by window, the priors by zone from all
+    other years."""
+    season = panel(spark, sf)
+    p = series.assemble(season)
+    for box, name in (("punjab_mm", "plain_mm"), ("upstream_mm", "upstream_mm")):
+        rain = series.window_with_lags(daily_box(spark, sf), windows(spark), box).toDF("window_start", name, f"{name}_lag1", f"{name}_lag2")
+        p = p.join(rain, "window_start", "left")
+    of = lambda v, i, dam: F.max(F.when(F.col("dam") == dam, F.col(f"{v}_storage"))).alias(f"dam{i}_{'storage' if v == 'mean' else 'delta'}")
+    res = res_windows(spark, sf).groupBy("window_start").agg(*(of(v, i, dam) for i, dam in enumerate(DAMS, 1) for v in ("mean", "delta")))
+    by_year = season.groupBy("zone", "year").agg(F.avg("fraction").alias("fraction"), F.sum("flooded_ha").alias("flooded_ha"))
+    prior = M.fold_safe_prior(by_year).select("zone", F.col("held_out").alias("year"), F.col("mean_ha").alias("prior_mean_ha"), F.col("seasons_2pct").alias("prior_seasons_2pct"))
     y = p.agg(F.percentile("fraction", F.lit(0.9)).alias("q"))
-    j = p.join(rain, "window_start", "left").join(res, "window_start", "left").join(prior, "zone", "left").crossJoin(F.broadcast(y))
+    j = p.join(res, "window_start", "left").join(prior, ["zone", "year"], "left").crossJoin(F.broadcast(y))
     return j.select("zone", "year", "window_start", (F.col("fraction") > F.col("q")).cast("double").alias("y"), F.col("fraction").alias("truth"), *M.FEATURE_ORDER)
 
 
@@ -96,18 +105,31 @@ def m8(spark, sf):
 
 
 LIVE = "window_start = date '2001-07-25'"
-VIEWS["rain_live"] = "select 4 as week, (select sum(punjab_mm) from daily_box where date >= date '2001-07-25' and date < date '2001-08-04') as rain, (select sum(punjab_mm) from daily_box where date >= date '2001-07-15' and date < date '2001-07-25') as rain_lag1, (select sum(punjab_mm) from daily_box where date >= date '2001-07-05' and date < date '2001-07-15') as rain_lag2, (select avg(mean_storage) from res_windows where window_start = date '2001-07-25') as storage"
+_RAIN = ", ".join(
+    f"(select sum({box}) from daily_box where date >= date '2001-07-25' - {10 * k} and date < date '2001-08-04' - {10 * k}) as {name}{f'_lag{k}' if k else ''}"
+    for k in range(3) for box, name in (("punjab_mm", "plain_mm"), ("upstream_mm", "upstream_mm"))
+)
+_DAMS = ", ".join(
+    f"(select {v}_storage from res_windows where window_start = date '2001-07-25' and dam = '{dam}') as dam{i}_{'storage' if v == 'mean' else 'delta'}" for i, dam in enumerate(DAMS, 1) for v in ("mean", "delta")
+)
+VIEWS["state_live"] = f"select 4 as week, {_RAIN}, {_DAMS}"
+_ROUNDED = [c for c in M.FEATURE_ORDER if c not in ("week", "prior_seasons_2pct")]
 
 
 def live(spark, sf):
     f = features(spark, sf).where(LIVE)
-    scalars = f.select("week", "rain", "rain_lag1", "rain_lag2", "storage").limit(1)
-    return M.live_features(f, scalars, f.select("zone", "antecedent"), f.select("zone", "prior"))
+    scalars = f.select("week", *M.RAIN, *M.RESERVOIRS).limit(1)  # the same in every zone
+    return M.live_features(f, scalars, f.select("zone", "antecedent"), f.select("zone", *M.PRIORS))
 
 
-@query("m9_live_features", "select zone, round(a.antecedent, 4) as antecedent, week, rain, rain_lag1, rain_lag2, round(storage, 4) as storage, round(prior, 4) as prior from (select zone, window_start, lag(fraction) over (partition by zone order by window_start) as antecedent from panel) a join (select zone, max(fraction) as prior from panel group by 1) p using (zone) cross join rain_live where window_start = date '2001-07-25'")
+@query(
+    "m9_live_features",
+    f"""select zone, week, prior_seasons_2pct, {", ".join(f"round({c}, 4) as {c}" for c in _ROUNDED)}
+    from (select zone, window_start, lag(fraction) over (partition by zone order by window_start) as antecedent from panel) a
+    join (select zone, count(*) filter (where fraction > 0.02) as prior_seasons_2pct, avg(flooded_ha) as prior_mean_ha from by_year where year <> 2001 group by 1) p using (zone) cross join state_live where window_start = date '2001-07-25'""",
+)
 def m9(spark, sf):
-    return live(spark, sf).select("zone", r4("antecedent", "antecedent"), "week", "rain", "rain_lag1", "rain_lag2", r4("storage", "storage"), r4("prior", "prior"))
+    return live(spark, sf).select("zone", "week", "prior_seasons_2pct", *(r4(c, c) for c in _ROUNDED))
 
 
 @query("m10_score_live")

@@ -174,10 +174,29 @@ def test_last_days_are_written_anew(spark, tmp_path):
     assert got == {day(k): 2 if k >= 15 else 1 for k in range(20)}
 
 
-def test_an_unknown_variant_is_an_error():
+def test_features_and_variants():
     import pytest
 
-    from riverlens.operators.forecast import variant_features
-
-    with pytest.raises(ValueError, match="no variant"):
-        variant_features("no such")
+    from riverlens.operators import forecast as M
+
+    assert len(M.FEATURE_ORDER) == 16 and M.variant_features("full") == M.FEATURE_ORDER
+    assert M.FEATURE_ORDER[:6] == M.RAIN and M.FEATURE_ORDER[6:12] == M.RESERVOIRS and M.FEATURE_ORDER[12:] == ("antecedent", "week", *M.PRIORS)
+    assert len(M.variant_features("no_reservoir")) == 10 and not set(M.variant_features("no_reservoir")) & set(M.RESERVOIRS)
+    assert len(M.variant_features("meteo_prior")) == 9 and "antecedent" not in M.variant_features("meteo_prior")
+    for name in ("persistence", "no such"):
+        with pytest.raises(ValueError, match="no variant"):
+            M.variant_features(name)
+
+
+def test_live_features_keep_order_and_missing_values(spark):
+    from riverlens.operators import forecast as M
+
+    zones = spark.createDataFrame([("a",), ("b",)], "zone string")
+    scalars = spark.range(1).selectExpr("4 as week", *(f"{i}d as {c}" for i, c in enumerate(M.RAIN)), *(f"cast(null as double) as {c}" for c in M.RESERVOIRS))
+    ante = spark.createDataFrame([("a", 0.03)], "zone string, antecedent double")
+    prior = spark.createDataFrame([("a", 2808.25, 3), ("b", 4338.24, 2)], "zone string, prior_mean_ha double, prior_seasons_2pct long")
+    f = M.live_features(zones, scalars, ante, prior)
+    assert f.columns == ["zone", *M.FEATURE_ORDER]
+    got = {r.zone: r for r in f.collect()}
+    assert got["a"].antecedent == 0.03 and got["b"].antecedent is None and got["b"].prior_mean_ha == 4338.24
+    assert all(got[z].week == 4 and got[z].dam1_storage is None and got[z].upstream_mm == 1.0 for z in "ab")
