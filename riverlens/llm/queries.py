@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, html, langid, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, counts, embedding, html, langid, lexical, minhash, packing, periodic, quality, substring, toxicity
 
 #: Power of a source's tokens that its share of each packed window goes with.
 MIXTURE = 0.7
@@ -56,6 +56,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.looped(_table(spark, sf_dir, "documents")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.over_limit(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_snapshots": op2_chat_snapshots,
@@ -67,5 +79,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_snapshots": chat.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_snapshots": chat.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL}
