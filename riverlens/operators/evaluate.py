@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverlens.operators.ordered import running
+from riverlens.operators.ordered import quantiles, running
 from riverlens.operators.series import lag1_autocorr, prewhiten, risk_rank
 
 
@@ -252,4 +252,7 @@ def otsu(df: DataFrame, c: str, bins: int = 64) -> DataFrame:
 
 def calibrate(df: DataFrame, cls: str, v: str, past: float, qs=(0.02, 0.05, 0.25, 0.5, 0.75, 0.95, 0.98)) -> DataFrame:
     """A30. Percentiles per anchor class and the share at or above a threshold."""
-    return df.where(F.col(cls).isNotNull() & F.col(v).isNotNull()).groupBy(cls).agg(*(F.percentile(v, F.lit(q)).alias(f"p{round(100 * q)}") for q in qs), F.avg((F.col(v) >= past).cast("int")).alias("share"))
+    d = df.where(F.col(cls).isNotNull() & F.col(v).isNotNull())
+    share = d.groupBy(cls).agg(F.avg((F.col(v) >= past).cast("int")).alias("share"))
+    q = quantiles(d, v, qs, (cls,)).select(cls, *(F.col("quantiles")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(qs)))
+    return q.join(share, cls)

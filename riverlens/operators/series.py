@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverlens.functions.calendar import assign_window, in_season, season_day
+from riverlens.operators.ordered import carried, quantiles
 from riverlens.operators.ranking import dedupe  # noqa: F401  (W12 belongs to the reservoir readings)
 
 
@@ -73,7 +74,8 @@ def window_intensity(hourly: DataFrame, window_col: str = "window_start", value:
 def wet_threshold(daily: DataFrame, years: tuple[int, int], value: str, q: float = 0.95, wet: float = 1.0) -> DataFrame:
     """A21. Quantile of wet days (at or above `wet`) in the base years' season."""
     d = daily.where(F.year("date").between(*years) & in_season("date") & (F.col(value) >= wet))
-    return d.agg(F.percentile(value, F.lit(q)).alias("threshold"))
+    # one row also where no day is wet
+    return quantiles(d, value, [q]).agg(F.max(F.col("quantiles")[0]).alias("threshold"))
 
 
 def annual_indices(daily: DataFrame, value: str, threshold: DataFrame) -> DataFrame:
@@ -108,15 +110,14 @@ def fill_curve(daily: DataFrame, years: tuple[int, int], value: str = "storage",
 
 def interpolate(points: DataFrame, targets: DataFrame, x: str, y: str, keys: tuple = (), clamp: bool = False) -> DataFrame:
     """W9. Piecewise-linear between points, NULL outside their span (W10: clamped at both ends).
-    One sort of points and targets together; no range join. x is numeric or a date."""
-    num = (lambda c: F.unix_date(c)) if dict(points.dtypes)[x] == "date" else (lambda c: F.col(c).cast("double"))
+    Points and targets are ordered together, range by range, so that one series may be of any length;
+    no range join. x is numeric or a date."""
+    num = (lambda c: F.unix_date(c).cast("double")) if dict(points.dtypes)[x] == "date" else (lambda c: F.col(c).cast("double"))
     p = points.where(F.col(y).isNotNull()).groupBy(*keys, x).agg(F.avg(y).alias(y))
-    p = p.select(*keys, F.col(x), F.struct(num(x).alias("x"), F.col(y).alias("y")).alias("p"), F.lit(False).alias("t"))
-    t = targets.select(*keys, F.col(x), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.lit(True).alias("t"))
-    w = Window.partitionBy(*keys).orderBy(num(x))
-    before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    u = p.unionByName(t).withColumn("a", F.last("p", ignorenulls=True).over(before)).withColumn("b", F.first("p", ignorenulls=True).over(after)).where("t")
-    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.try_divide(num(x) - F.col("a.x"), F.col("b.x") - F.col("a.x"))
+    p = p.select(*keys, F.col(x), num(x).alias("_x"), F.struct(num(x).alias("x"), F.col(y).alias("y")).alias("p"), F.lit(False).alias("t"))
+    t = targets.select(*keys, F.col(x), num(x).alias("_x"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.lit(True).alias("t"))
+    u = carried(p.unionByName(t), "_x", "p", "a", "b", keys).where("t")
+    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.try_divide(F.col("_x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
     v = F.when(F.col("a.x") == F.col("b.x"), F.col("a.y")).otherwise(line)
     v = F.coalesce(v, F.col("a.y"), F.col("b.y")) if clamp else v
     return u.select(*keys, x, v.alias(y))
@@ -187,13 +188,10 @@ def peak_rank(df: DataFrame, score: str = "prob") -> DataFrame:
 
 def basis_for(dates: DataFrame, cited: DataFrame, keys: tuple = ()) -> DataFrame:
     """J12. Nearest cited date at or before and at or after each date, the gap and how it was found."""
-    c = cited.select(*keys, "date", F.col("date").alias("c"), F.lit(False).alias("t")).distinct()
-    t = dates.select(*keys, "date", F.lit(None).cast("date").alias("c"), F.lit(True).alias("t"))
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("date"))
-    u = c.unionByName(t).withColumns({
-        "before": F.last("c", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("c", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
-    }).where("t")
+    day = F.unix_date("date").cast("double").alias("_x")
+    c = cited.select(*keys, "date", day, F.col("date").alias("c"), F.lit(False).alias("t")).distinct()
+    t = dates.select(*keys, "date", day, F.lit(None).cast("date").alias("c"), F.lit(True).alias("t"))
+    u = carried(c.unionByName(t), "_x", "c", "before", "after", keys).where("t")
     tag = F.when(F.col("before") == F.col("after"), "cited").when(F.col("before").isNotNull() & F.col("after").isNotNull(), "interpolated").otherwise("none")
     return u.select(*keys, "date", "before", "after", F.datediff("after", "before").alias("gap"), tag.alias("basis"))
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkConf, SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -22,6 +22,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: worked out once, and there for later stages whatever
+    executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def session(app: str = "riverlens", cores: int | None = None, **conf: str) -> SparkSession:
     """A session with these settings where nothing else is set. On a cluster the submitter's settings
     win; without a master (tests, benchmarks) it is a local one of `cores` threads."""
