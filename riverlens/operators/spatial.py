@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverlens.session import scratch
+from riverlens.session import saved
+
+#: Pixels of a side of the tiles in which connected parts are found.
+TILE = 512
+
+
+def cell_size(edges: DataFrame) -> float:
+    """Twice the mean extent of an edge: then an edge lies in few cells, and few edges in one."""
+    mean = edges.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0]
+    return 2.0 * mean if mean else 1.0
+
+
+def edge_cells(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """cx, cy, zones: what decides the zones of a pixel in each of the cells. A zone has the edges of
+    the cell, and what lies to the right of it: rings are closed, so all edges to the right together
+    are crossed as often as the right ends of the edges over the cell's right side lie below. Ends in
+    the cell's own band stay to be compared; those of lower bands are counted once for the cell."""
+    at = lambda c: F.floor(c / size)
+    e = edges.withColumns({"_x0": at(F.least("x1", "x2")), "_x1": at(F.greatest("x1", "x2")), "_y0": at(F.least("y1", "y2")), "_y1": at(F.greatest("y1", "y2"))})
+    own = e.where("y1 <> y2").withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
+    none_e, none_y = F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"), F.lit(None).cast("double")
+    own = own.select("cx", "cy", "label", F.struct(*(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("edge"), none_y.alias("end"), F.lit(0).alias("odd"))
+    over = e.where("_x0 < _x1").withColumn("cx", F.explode(F.sequence("_x0", F.col("_x1") - 1)))
+    over = over.select("cx", "label", F.when(F.col("x1") > F.col("x2"), F.col("y1")).otherwise(F.col("y2")).cast("double").alias("end"))
+    # an end that two edges share counts twice, which is as good as not at all
+    over = over.groupBy("cx", "label", "end").agg((F.count("*") % 2).alias("odd")).where("odd = 1").withColumn("cy", at(F.col("end")))
+    ends = over.select("cx", "cy", "label", none_e.alias("edge"), "end", F.lit(0).alias("odd"))
+    lower = over.groupBy("cx", "label", "cy").agg((F.count("*") % 2).alias("odd")).where("odd = 1").withColumnRenamed("cy", "_below")
+    below = cells.join(lower, "cx").where("_below < cy").groupBy("cx", "cy", "label").agg((F.count("*") % 2).cast("int").alias("odd")).where("odd = 1")
+    below = below.select("cx", "cy", "label", none_e.alias("edge"), none_y.alias("end"), "odd")
+    zone = own.union(ends).join(cells, ["cx", "cy"], "left_semi").union(below).groupBy("cx", "cy", "label")
+    zone = zone.agg(F.collect_list("edge").alias("edges"), F.collect_list("end").alias("ends"), F.max("odd").alias("odd"))
+    return zone.groupBy("cx", "cy").agg(F.collect_list(F.struct("label", "odd", "edges", "ends")).alias("zones"))
 
 
 def label_pixels(px: DataFrame, edges: DataFrame) -> DataFrame:
-    """J4. px(pixel, x, y) with the label of the zone that holds the centre, 0 outside all. Edges are
-    keyed by the unit latitude bands that they cross; a pixel meets those of its band, and an odd
-    number of crossings to its right is inside. Of several zones the least label stands. The edge
-    rule is half-open, so shared borders count once."""
-    e = edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
-    j = px.withColumn("band", F.floor("y")).join(e.select("label", "band", "x1", "y1", "x2", "y2"), "band")
-    crosses = ((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    inside = j.where(crosses).groupBy("pixel", "label").agg((F.count("*") % 2).alias("odd")).where("odd = 1").groupBy("pixel").agg(F.min("label").alias("label"))
-    return px.join(inside, "pixel", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    """J4. px(pixel, x, y) with the label of the zone that holds the centre, 0 outside all. edges(label,
+    x1, y1, x2, y2) are those of closed rings. A pixel meets the edges of its own cell only: it is
+    inside a zone if an odd number of edges is crossed to its right. Of several zones the least label
+    stands. The edge rule is half-open, so shared borders count once."""
+    size = cell_size(edges)
+    p = px.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    zones = edge_cells(edges, p.select("cx", "cy").distinct(), size)
+
+    def inside(z):
+        crosses = lambda e: ((e["y1"] <= F.col("y")) != (e["y2"] <= F.col("y"))) & (F.col("x") < e["x1"] + (F.col("y") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
+        return (z["odd"] + F.size(F.filter(z["edges"], crosses)) + F.size(F.filter(z["ends"], lambda y: y <= F.col("y")))) % 2 == 1
+
+    label = F.array_min(F.transform(F.filter("zones", inside), lambda z: z["label"]))
+    return p.join(zones, ["cx", "cy"], "left").select(*px.columns, F.coalesce(label, F.lit(0)).alias("label"))
 
 
 def assign_parent(px: DataFrame, sub: str = "sub", zone: str = "zone", area: str = "m2", least: float = 0.5) -> DataFrame:
@@ -74,33 +113,74 @@ def frontier(mask: DataFrame, k: int = 1, connectivity: int = 8) -> DataFrame:
     return buffer(mask, k, connectivity).join(mask.select("row", "col"), ["row", "col"], "left_anti")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared folder named by spark.checkpoint.dir."""
-    spark = df.sparkSession
-    path = scratch(spark, "labels")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's connected part, of n nodes with links a-b."""
+    low = np.arange(n)
+    while len(a):
+        m = np.minimum(low[a], low[b])
+        for root in (low[a], low[b]):  # only roots move, and all that point to them with them
+            np.minimum.at(low, root, m)
+        while (up := low[low]).tobytes() != low.tobytes():
+            low = up
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    return low
+
+
+def _tile(table: pa.Table, near: list[tuple[int, int]]) -> pa.Table:
+    """pixel, row, col, label of the pixels of one tile: label is the least pixel of its part in it."""
+    pixel, row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("pixel", "row", "col"))
+    order = np.argsort(pixel, kind="stable")
+    pixel, row, col = pixel[order], row[order], col[order]
+    wide = int(col.max() - col.min()) + 3
+    key = (row - row.min()) * wide + (col - col.min() + 1)
+    by_key = np.argsort(key, kind="stable")
+    place = key[by_key]
+    links = [(by_key[:-1][place[1:] == place[:-1]], by_key[1:][place[1:] == place[:-1]])]  # one place twice
+    for i, j in near:
+        if (i, j) > (0, 0):
+            at = np.searchsorted(place, key + i * wide + j)
+            hit = (at < len(place)) & (place[np.minimum(at, len(place) - 1)] == key + i * wide + j)
+            links.append((np.flatnonzero(hit), by_key[at[hit]]))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    return pa.table({"pixel": pixel, "row": row, "col": col, "label": pixel[_least(a, b, len(pixel))]})
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(label, root): the least label reachable by pairs (a, b), both ways. Each round takes the least
+    root around and then the root's root, and writes one table."""
+    known = saved(pairs.select(F.col("a").alias("label"), F.col("a").alias("root")).distinct(), "roots")
+    while True:
+        near = pairs.join(known.select(F.col("label").alias("b"), "root"), "b").groupBy(F.col("a").alias("label")).agg(F.min("root").alias("near"))
+        new = known.join(near, "label").withColumn("new", F.least("root", "near"))
+        # a root that has a neighbour with a lower one hands that on to all that point to it
+        hook = new.groupBy(F.col("root").alias("_r")).agg(F.min("new").alias("to"))
+        new = new.join(hook, F.col("root") == F.col("_r")).select("label", F.col("root").alias("old"), F.least("new", "to").alias("root"))
+        jump = new.select(F.col("label").alias("p"), F.col("root").alias("up"))
+        new = saved(new.join(jump, F.col("root") == F.col("p")).select("label", "old", F.least("root", "up").alias("root")), "roots")
+        known = new.drop("old")
+        if new.where("old <> root").isEmpty():
+            return known
 
 
 def connected_labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """(pixel, row, col, label): the least pixel of each connected part of a mask(pixel, row, col).
-    Each round takes the least label around and then the label's label, so that rounds grow with the
-    logarithm of a part's extent in practice; every round is written to the shared folder."""
-    edges = _saved(
-        _around(mask, offsets(connectivity), F.col("pixel").alias("a")).join(mask.select("row", "col", F.col("pixel").alias("b")), ["row", "col"]).select("a", "b")
-    )
-    lab = _saved(mask.select("pixel", "row", "col", F.col("pixel").alias("label")))
-    while True:
-        near = edges.join(lab.select(F.col("pixel").alias("b"), "label"), "b").groupBy(F.col("a").alias("pixel")).agg(F.min("label").alias("near"))
-        new = lab.join(near, "pixel", "left").withColumn("new", F.least("label", "near"))
-        # a root that has a neighbour with a lower label hands that on to all that point to it
-        hook = new.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to"))
-        new = new.join(hook, F.col("label") == F.col("root")).select("pixel", "row", "col", F.col("label").alias("old"), F.least("new", "to").alias("label"))
-        jump = new.select(F.col("pixel").alias("p"), F.col("label").alias("up"))
-        new = _saved(new.join(jump, F.col("label") == F.col("p")).select("pixel", "row", "col", "old", F.least("label", "up").alias("label")))
-        lab = new.drop("old")
-        if new.where("old <> label").isEmpty():
-            return lab
+    Parts are found inside of tiles of TILE x TILE pixels, one tile a group; pixels at the sides of
+    tiles give pairs of labels, a row for each two parts that touch, and only these are joined over
+    and over, in rounds that grow with the logarithm of the tiles that a part spans in practice."""
+    near = offsets(connectivity)
+    own = mask.select(*(F.col(c).cast("long").alias(c) for c in ("pixel", "row", "col")))
+    tile = [F.floor(F.col(c) / TILE).alias(f"tile_{c}") for c in ("row", "col")]
+    own = own.groupBy(*tile).applyInArrow(lambda t: _tile(t, near), "pixel long, row long, col long, label long")
+    own = saved(own, "tiles")
+    at_side = [F.pmod(c, F.lit(TILE)).isin(0, TILE - 1) for c in ("row", "col")]
+    side = own.where(at_side[0] | at_side[1]).withColumns({f"t_{c}": F.floor(F.col(c) / TILE) for c in ("row", "col")})
+    other = side.select("row", "col", F.col("label").alias("b"), F.col("t_row").alias("u_row"), F.col("t_col").alias("u_col"))
+    pairs = _around(side, near, F.col("label").alias("a"), "t_row", "t_col").join(other, ["row", "col"]).where("t_row <> u_row or t_col <> u_col")
+    pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return own
+    return own.join(_roots(pairs), "label", "left").select("pixel", "row", "col", F.coalesce("root", "label").alias("label"))
 
 
 def sieve(mask: DataFrame, n: int, connectivity: int = 8) -> DataFrame:
