@@ -4,27 +4,120 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riverlens.operators.ordered import quantiles, running
 from riverlens.operators.series import lag1_autocorr, prewhiten, risk_rank
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Normal tail of result rows; SQL has no erfc."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x is not None and x == x else None)
+def _concordance(t: np.ndarray, v: np.ndarray) -> int:
+    """The sum of sign(v2 - v1) over all pairs t1 < t2, by merging halves: at each size the right blocks'
+    values are looked up in the sorted left ones."""
+    order = np.lexsort((v, t))
+    rank = np.unique(v[order], return_inverse=True)[1].astype(np.int64)
+    time = np.unique(t[order], return_inverse=True)[1].astype(np.int64)
+    n, total, size = len(rank), 0, 1
+    span, place = n + 1, np.arange(n)
+    while size < n:
+        block = place // size
+        left, right = block % 2 == 0, block % 2 == 1
+        keys = np.sort((block[left] // 2) * span + rank[left])
+        of, asked = block[right] // 2, (block[right] // 2) * span + rank[right]
+        first = of * size  # left blocks before a right one are whole
+        below, upto = np.searchsorted(keys, asked, "left") - first, np.searchsorted(keys, asked, "right") - first
+        total += int((below - (size - upto)).sum())
+        size *= 2
+    # pairs of one time stand in ascending order of value there, and don't count
+    both = np.unique(time * span + rank, return_counts=True)[1]
+    same = np.bincount(time) if n else np.zeros(1, np.int64)
+    return total - (int((same * (same - 1) // 2).sum()) - int((both * (both - 1) // 2).sum()))
+
+
+def _pairs(t: np.ndarray) -> int:
+    same = np.unique(t, return_counts=True)[1]
+    return len(t) * (len(t) - 1) // 2 - int((same * (same - 1) // 2).sum())
+
+
+#: Points of a series whose slopes are all worked out at once, and steps by which others are narrowed down.
+SHORT, HALVINGS = 1024, 200
+
+
+def _median_slope(t: np.ndarray, v: np.ndarray) -> float | None:
+    """The median of (v2 - v1) / (t2 - t1) over all pairs t1 < t2. Of a long series the slope below
+    which half of the pairs lie is narrowed down by counting: a pair lies below s just if v - s t
+    descends, and descents are counted by merging."""
+    pairs = _pairs(t)
+    if not pairs:
+        return None
+    if len(t) <= SHORT:
+        i, j = np.triu_indices(len(t), 1)
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        later = t[j] > t[i]
+        return float(np.median((v[j] - v[i])[later] / (t[j] - t[i])[later]))
+
+    def at_most(s: float) -> int:
+        """Pairs with a slope of at most s, but for those that rounding can't tell from s."""
+        u = v - s * t
+        ties = np.unique(u, return_counts=True)[1]
+        same = int((ties * (ties - 1) // 2).sum())
+        return (pairs - _concordance(t, u) + same) // 2
+
+    r = np.random.default_rng(7)
+    i, j = r.integers(0, len(t), 20_000), r.integers(0, len(t), 20_000)
+    i, j = i[t[i] != t[j]], j[t[i] != t[j]]
+    some = np.sort((v[j] - v[i]) / (t[j] - t[i]))
+
+    def ranked(k: int) -> float:
+        lo, hi = float(some[int(0.48 * len(some))]), float(some[int(0.52 * len(some))])
+        step = max(hi - lo, abs(hi), 1e-9)
+        while at_most(lo) > k:
+            lo, step = lo - step, 2 * step
+        while at_most(hi) <= k:
+            hi, step = hi + step, 2 * step
+        for _ in range(HALVINGS):
+            mid = (lo + hi) / 2
+            if mid in (lo, hi) or hi - lo <= 1e-15 * max(abs(lo), abs(hi)):
+                break
+            lo, hi = (mid, hi) if at_most(mid) <= k else (lo, mid)
+        return hi
+
+    a = ranked((pairs - 1) // 2)
+    return a if pairs % 2 else (a + ranked(pairs // 2)) / 2
+
+
+def _by_series(series: DataFrame, t: str, v: str, keys, name: str, kind: str, work) -> DataFrame:
+    """keys and work(times, values) of each series' points that have both; series without a pair are
+    left out. A series is one group: its points are two arrays of numbers."""
+    d = series.select(*keys, F.col(t).cast("double").alias("_t"), F.col(v).cast("double").alias("_v"))
+    schema = d.select(*keys).schema.add(name, kind)
+
+    def run(table: pa.Table) -> pa.Table:
+        times, values = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_v"))
+        ok = ~(np.isnan(times) | np.isnan(values))
+        found = work(times[ok], values[ok]) if _pairs(times[ok]) else None
+        out = table.select(list(keys)).slice(0, 1 if found is not None else 0)
+        return out.append_column(name, pa.array([found] * len(out), pa.int64() if kind == "long" else pa.float64()))
+
+    return d.groupBy(*keys).applyInArrow(run, schema)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Both tails of the normal distribution. erf(x) is exp(-x^2) times the sum of x^(2n+1) / gamma(n + 3/2),
+    whose terms are all positive; past |z| = 12 nothing is left."""
+    x = F.least(F.abs(z), F.lit(12.0)) / math.sqrt(2)
+    first = x * (2 / math.sqrt(math.pi))  # gamma(3/2) is sqrt(pi) / 2
+    sums = F.aggregate(F.sequence(F.lit(1), F.lit(300)), F.array(first, first), lambda s, n: F.transform(F.array(s[1] * x * x / (n + 0.5)), lambda y: F.array(s[0] + y, y))[0])
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), 1 - F.exp(-x * x) * sums[0]))
 
 
 def mann_kendall(series: DataFrame, t: str, v: str, keys=("series",)) -> DataFrame:
-    """E1. S, tie-corrected variance, continuity-corrected z, p and tau-b per series. Pairs are formed
-    within a series, whose length is a number of years."""
-    a = series.select(*keys, F.col(t).alias("t1"), F.col(v).alias("v1"))
-    b = series.select(*keys, F.col(t).alias("t2"), F.col(v).alias("v2"))
-    s = a.join(b, list(keys)).where("t1 < t2").groupBy(*keys).agg(F.sum(F.signum(F.col("v2") - F.col("v1"))).alias("s"))
+    """E1. S, tie-corrected variance, continuity-corrected z, p and tau-b per series. S is counted by
+    merging, in n log^2 n steps of a series of n points."""
+    s = _by_series(series, t, v, keys, "s", "long", _concordance).withColumn("s", F.col("s").cast("double"))
     ties = series.groupBy(*keys, v).agg(F.count("*").alias("k")).groupBy(*keys).agg(
         F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) * (2 * k + 5)")).alias("t5"), F.sum(F.expr("k * (k - 1) / 2")).alias("t0")
     )
@@ -33,7 +126,7 @@ def mann_kendall(series: DataFrame, t: str, v: str, keys=("series",)) -> DataFra
     z = F.when(F.col("var_s") <= 0, 0.0).when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var_s")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var_s")).otherwise(0.0)
     n0 = F.expr("n * (n - 1) / 2d")
     out = j.withColumn("var_s", var).withColumn("z", z).withColumn("tau", F.try_divide("s", F.sqrt((n0 - F.col("t0")) * n0)))
-    return out.select(*keys, "n", "s", "var_s", "z", two_sided_p("z").alias("p"), "tau")
+    return out.select(*keys, "n", "s", "var_s", "z", two_sided_p(F.col("z")).alias("p"), "tau")
 
 
 def trend_table(series: DataFrame, t: str, v: str, keys=("series",), alpha: float = 0.05) -> DataFrame:
@@ -50,9 +143,7 @@ def trend_table(series: DataFrame, t: str, v: str, keys=("series",), alpha: floa
 
 def sens_slope(series: DataFrame, t: str, v: str, keys=("series",)) -> DataFrame:
     """E3. Median of all pairwise slopes."""
-    a = series.select(*keys, F.col(t).alias("t1"), F.col(v).alias("v1"))
-    b = series.select(*keys, F.col(t).alias("t2"), F.col(v).alias("v2"))
-    return a.join(b, list(keys)).where("t1 < t2").groupBy(*keys).agg(F.percentile((F.col("v2") - F.col("v1")) / (F.col("t2") - F.col("t1")), F.lit(0.5)).alias("slope"))
+    return _by_series(series, t, v, keys, "slope", "double", _median_slope)
 
 
 def return_period(series: DataFrame, t: str, v: str, target) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlens.operators.evaluate import flag_sheet
+from riverlens.operators.ordered import numbered, shuffled
 from riverlens.operators.series import risk_rank
+from riverlens.session import saved
 
 #: Rain of two boxes over the window and the two before; mean storage and its change in three
 #: reservoirs; the extent of the window before; the window's number; two priors of the zone.
@@ -47,8 +49,9 @@ def score_event(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def loyo_oof(panel: DataFrame, features, years=None, iterations: int = 300, threads: int = 3) -> DataFrame:
     """M5. Out-of-fold event probability and fraction for each held-out year. The folds are fitted in
-    a small thread pool; each fit is a distributed job over the cached panel."""
-    d = typed(panel, features).cache()
+    a small thread pool; each fit is a distributed job over the panel, which is written once, and
+    each fold's scores are written when it is done."""
+    d = saved(typed(panel, features), "panel")
     years = years or [r.year for r in d.select("year").distinct().orderBy("year").collect()]
 
     def fold(year: int) -> DataFrame:
@@ -56,16 +59,20 @@ def loyo_oof(panel: DataFrame, features, years=None, iterations: int = 300, thre
         event = estimator(features, "y", "event", iterations).fit(train)
         size = estimator(features, "truth", "fraction", iterations).fit(train)
         out = size.transform(score_event(event, test))
-        return out.select("zone", "year", "window_start", "y", "prob", "truth", F.col("prediction").alias("pred"))
+        return saved(out.select("zone", "year", "window_start", "y", "prob", "truth", F.col("prediction").alias("pred")), "fold")
 
     with ThreadPoolExecutor(threads) as pool:
         return reduce(DataFrame.union, pool.map(fold, years))
 
 
-def hindcast(panel: DataFrame, features, last: int, iterations: int = 300) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """M6. Fitted on the years before, scores of the last with ranks, and its flag sheet."""
-    d = typed(panel, features)
-    model = estimator(features, "y", "event", iterations).fit(d.where(F.col("year") < last))
+def hindcast(panel: DataFrame, features, last: int, iterations: int = 300, save_to: str | None = None) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """M6. Fitted on the years before, scores of the last with ranks, and its flag sheet; the model can
+    be saved with what it was fitted on."""
+    d = saved(typed(panel, features), "panel")
+    past = d.where(F.col("year") < last)
+    model = estimator(features, "y", "event", iterations).fit(past)
+    if save_to:
+        save_model(model, save_to, features, [r.year for r in past.select("year").distinct().collect()])
     s = risk_rank(score_event(model, d.where(F.col("year") == last)))
     return model, s, flag_sheet(s.drop("risk_rank"))
 
@@ -86,20 +93,42 @@ def persistence(df: DataFrame) -> DataFrame:
     return df.withColumn("prob", F.coalesce("antecedent", F.lit(0.0)))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features, seed: str = "s") -> DataFrame:
-    """M8. Rise of the Brier score when one column is dealt anew, by a hash-ordered row number."""
-    d = df.withColumn("_i", F.row_number().over(Window.orderBy("zone", "window_start")))
-    n = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("-", F.lit(seed), "zone", F.col("window_start").cast("string")))))
+def permutation_importance(model: PipelineModel, df: DataFrame, features, seed: int = 1, order=("zone", "window_start")) -> DataFrame:
+    """M8. Rise of the Brier score when one column is dealt anew. Rows are numbered by ranges of their
+    order and get the value of the row that a seeded bijection of the numbers names, another one for
+    each column, so no window holds all rows and the result is the same however rows are dealt."""
+    d = numbered(df, order, "_i")
+    n = d.count()
     brier = F.avg(F.pow(F.col("y") - F.col("prob"), 2))
     base = score_event(model, df).agg(brier.alias("base"))
     out = []
-    for c in features:
-        other = d.select(n.alias("_i"), F.col(c).alias("_v"), F.col(f"{c}_missing").alias("_m"))
-        swapped = d.join(other, "_i").withColumns({c: F.col("_v"), f"{c}_missing": F.col("_m")}).drop("_i", "_v", "_m")
+    for k, c in enumerate(features):
+        other = d.select(F.col("_i").alias("_of"), F.col(c).alias("_v"), F.col(f"{c}_missing").alias("_m"))
+        dealt = d.withColumn("_of", shuffled(F.col("_i"), n, seed * 1000 + k))
+        swapped = dealt.join(other, "_of").withColumns({c: F.col("_v"), f"{c}_missing": F.col("_m")}).drop("_i", "_of", "_v", "_m")
         out.append(score_event(model, swapped).agg(F.lit(c).alias("feature"), brier.alias("brier")))
     return reduce(DataFrame.union, out).crossJoin(F.broadcast(base)).select("feature", (F.col("brier") - F.col("base")).alias("importance"))
 
 
+def save_model(model: PipelineModel, path: str, features, years) -> None:
+    """M6. The model, and beside it what it was fitted on: features in order, years."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path}/model")
+    said = spark.createDataFrame([(list(features), sorted(int(y) for y in years))], "features array<string>, years array<int>")
+    said.write.mode("overwrite").json(f"{path}/fitted_on")
+
+
+def load_model(spark: SparkSession, path: str, features, before: int | None = None) -> PipelineModel:
+    """M10. A saved model, if it was fitted on just these features in this order, and (with `before`) on
+    years before that one only; else ValueError."""
+    said = spark.read.schema("features array<string>, years array<int>").json(f"{path}/fitted_on").first()
+    if said is None or list(said.features) != list(features):
+        raise ValueError(f"the model at {path} was fitted on other features: {said and said.features}")
+    if before is not None and (not said.years or max(said.years) >= before):
+        raise ValueError(f"the model at {path} knows years from {before} on: {said.years}")
+    return PipelineModel.load(f"{path}/model")
+
+
 def live_features(zones: DataFrame, scalars: DataFrame, antecedent: DataFrame, prior: DataFrame) -> DataFrame:
     """M9. One row a zone in the fixed feature order; missing is NULL. scalars is one row for the
     whole state (week, RAIN, RESERVOIRS), antecedent and prior (PRIORS) are by zone."""
@@ -115,10 +144,12 @@ def score_live(model: PipelineModel, frame: DataFrame, features, core: bool) ->
     return s.withColumn("prob", F.when(F.lit(core), F.col("prob")))
 
 
-def train_pixel_classifier(px: DataFrame, features, label: str, fold: str, trees: int = 200) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """M4. Random forest: final model, accuracy of each spatial fold, importances."""
+def train_pixel_classifier(px: DataFrame, features, label: str, fold: str, trees: int = 200) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
+    """M4. Random forest: final model, accuracy of each spatial fold, importances, and the final model's
+    class of every row of px. The rows are written once for all fits."""
     from riverlens.operators.evaluate import agreement_metrics, confusion
 
+    px = saved(px, "pixels")
     steps = [VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip"), RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, seed=42)]
     names = [r[0] for r in px.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]
     rows = []
@@ -128,7 +159,8 @@ def train_pixel_classifier(px: DataFrame, features, label: str, fold: str, trees
         rows.append(agreement_metrics(confusion(t, "p", "t")).withColumn("fold", F.lit(f)))
     model = Pipeline(stages=steps).fit(px)
     imp = [(c, float(v)) for c, v in zip(features, model.stages[-1].featureImportances.toArray(), strict=True)]
-    return model, reduce(DataFrame.union, rows), px.sparkSession.createDataFrame(imp, "feature string, importance double")
+    wet = model.transform(px).select(*px.columns, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("prob"))
+    return model, reduce(DataFrame.union, rows), px.sparkSession.createDataFrame(imp, "feature string, importance double"), wet
 
 
 def fold_safe_prior(season: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ that holds all rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,34 @@ def numbered(df: DataFrame, order, name: str = "number") -> DataFrame:
     return d.withColumn(name, (own - 1 + first).cast("long")).drop("_num_range")
 
 
+def shuffled(number: Column, n: int, seed: int, rounds: int = 6, steps: int = 64) -> Column:
+    """A seeded bijection of the numbers 0..n-1: a Feistel network on pairs (left, right) of about
+    sqrt(n) values each. What falls past n is dealt on until it doesn't (cycle walking); the pairs
+    are fewer than n + 2 sqrt(n), so `steps` never run out in practice, and raise an error if they do."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def dealt(k: int):
+        def change(x: Column) -> Column:
+            left, right = F.floor(x / b), x % b
+            if k % 2:
+                right = (right + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), left), F.lit(b))) % b
+            else:
+                left = (left + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), right), F.lit(a))) % a
+            return left * b + right
+
+        return change
+
+    def once(x: Column) -> Column:
+        for k in range(rounds):  # each number is bound once, so that the expression grows with the rounds only
+            x = F.transform(F.array(x), dealt(k))[0]
+        return x
+
+    start = F.struct(number.cast("long").alias("x"), F.lit(False).alias("done"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: F.when(s["done"], s).otherwise(F.transform(F.array(once(s["x"])), lambda y: F.struct(y.alias("x"), (y < n).alias("done")))[0]))
+    return F.transform(F.array(walk), lambda s: F.when(s["done"], s["x"]).otherwise(F.raise_error(F.lit("no number found"))))[0].cast("long")
+
+
 def quantiles(df: DataFrame, value: str, qs, keys=()) -> DataFrame:
     """keys and an array `quantiles` of the exact quantiles qs of a value, linear between ranks; null
     values don't count. A mergeable sketch brackets each quantile between two values; the second pass

@@ -156,7 +156,7 @@ def lag1_autocorr(series: DataFrame, t: str, v: str, keys: tuple = ("series",))
 def prewhiten(series: DataFrame, t: str, v: str, keys: tuple = ("series",)) -> DataFrame:
     """W14. v(t) - r1 v(t-1), without the first value."""
     r = lag1_autocorr(series, t, v, keys).select(*keys, "r1")
-    j = series.join(F.broadcast(r), list(keys))
+    j = series.join(r, list(keys))
     w = Window.partitionBy(*keys).orderBy(t)
     j = j.withColumn("_p", F.lag(v).over(w))
     return j.where(F.col("_p").isNotNull()).select(*keys, t, (F.col(v) - F.col("r1") * F.col("_p")).alias(v))

@@ -19,24 +19,39 @@ def long_idx(spark, sf):
     return i.select(F.lit("total").alias("series"), "year", F.col("total").alias("v")).union(i.select(F.lit("heavy"), "year", F.col("heavy_days").cast("double")))
 
 
-VIEWS["kendall"] = """with s as (select a.series, sum(sign(b.v - a.v))::double as s from long_idx a join long_idx b on a.series = b.series and a.year < b.year group by 1),
-  k as (select series, sum(k)::bigint as n, sum(k * (k - 1) * (2 * k + 5)) as t5, sum(k * (k - 1) / 2) as t0 from (select series, v, count(*) as k from long_idx group by 1, 2) group by 1)
-  select series, n, s, ((n * (n - 1) * (2 * n + 5) - t5) / 18)::double as var_s, t0 from s join k using (series)"""
+def _kendall(of: str) -> str:
+    return f"""with s as (select a.series, sum(sign(b.v - a.v))::double as s from {of} a join {of} b on a.series = b.series and a.year < b.year group by 1),
+  k as (select series, sum(k)::bigint as n, sum(k * (k - 1) * (2 * k + 5)) as t5, sum(k * (k - 1) / 2) as t0 from (select series, v, count(*) as k from {of} group by 1, 2) group by 1),
+  w as (select series, n, s, ((n * (n - 1) * (2 * n + 5) - t5) / 18)::double as var_s, t0 from s join k using (series))
+  select *, case when s > 0 then (s - 1) / sqrt(var_s) when s < 0 then (s + 1) / sqrt(var_s) else 0 end::double as z from w"""
 
 
-@query("e1_mann_kendall", "select series, n, s, round(var_s, 4) as var_s, round(case when s > 0 then (s - 1) / sqrt(var_s) when s < 0 then (s + 1) / sqrt(var_s) else 0 end, 4) as z, round(s / sqrt((n * (n - 1) / 2 - t0) * n * (n - 1) / 2), 4) as tau from kendall")
+#: Both tails of the normal distribution: terms x^(2n + 1) / gamma(n + 3/2) of erf.
+TAILS = "case when z = 0 then 1 else greatest(0, 1 - exp(-z * z / 2) * list_sum(list_transform(range(0, 300), lambda n: exp((2 * n + 1) * ln(abs(z) / sqrt(2)) - lgamma(n + 1.5))))) end"
+VIEWS["kendall"] = _kendall("long_idx")
+
+
+@query("e1_mann_kendall", f"select series, n, s, round(var_s, 4) as var_s, round(z, 4) as z, round({TAILS}, 4) as p, round(s / sqrt((n * (n - 1) / 2 - t0) * n * (n - 1) / 2), 4) as tau from kendall")
 def e1(spark, sf):
     m = E.mann_kendall(long_idx(spark, sf), "year", "v")
-    return m.select("series", "n", "s", *(r4(c, c) for c in ("var_s", "z", "tau")))
+    return m.select("series", "n", "s", *(r4(c, c) for c in ("var_s", "z", "p", "tau")))
 
 
 VIEWS["slopes"] = "select a.series, median((b.v - a.v) / (b.year - a.year)) as slope from long_idx a join long_idx b on a.series = b.series and a.year < b.year group by 1"
 VIEWS["autocorr"] = "with d as (select series, year, v - avg(v) over (partition by series) as d from long_idx), p as (select *, lag(d) over (partition by series order by year) as p from d) select series, sum(d * p) / sum(d * d) as r1, count(*) as n from p group by 1"
+VIEWS["tested_idx"] = """select series, year, v from long_idx join autocorr using (series) where abs(r1) <= 1.96 / sqrt(n)
+  union all select series, year, v - r1 * p from (select series, year, v, lag(v) over (partition by series order by year) as p from long_idx) join autocorr using (series) where abs(r1) > 1.96 / sqrt(n) and p is not null"""
+VIEWS["tested"] = _kendall("tested_idx")
 
 
-@query("e2_trend_table", "select series, round(r1, 4) as r1, abs(r1) > 1.96 / sqrt(n) as whitened, round(slope, 4) as slope from autocorr join slopes using (series)")
+@query(
+    "e2_trend_table",
+    f"""with t as (select series, z, {TAILS} as p from tested)
+    select series, round(r1, 4) as r1, abs(r1) > 1.96 / sqrt(n) as whitened, round(slope, 4) as slope, round(z, 4) as z, round(p, 4) as p, case when p >= 0.05 then 'no trend' when z > 0 then 'increasing' else 'decreasing' end as verdict
+    from autocorr join slopes using (series) join t using (series)""",
+)
 def e2(spark, sf):
-    return E.trend_table(long_idx(spark, sf), "year", "v").select("series", r4("r1", "r1"), "whitened", r4("slope", "slope"))
+    return E.trend_table(long_idx(spark, sf), "year", "v").select("series", "whitened", "verdict", *(r4(c, c) for c in ("r1", "slope", "z", "p")))
 
 
 @query("e3_sens_slope", "select series, round(slope, 4) as slope from slopes")

@@ -1,5 +1,5 @@
-"""Queries of the samples, models and profiles. Driver runs use few trees and folds; the operators'
-defaults are the full setting."""
+"""Queries of the samples, models and profiles. Driver runs of boosted trees use few rounds; the
+operators' defaults are the full setting."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from riverlens.operators import forecast as M
 from riverlens.operators import sampling as S
 from riverlens.operators import series
 from riverlens.operators import zonal as Z
+from riverlens.session import scratch
 
 from .base import VIEWS, daily_box, panel, px_static, query, r4, scores, table
 from .q_series import res_windows, windows
@@ -83,8 +84,16 @@ def features(spark, sf):
 
 @query("m4_train_pixel_classifier")
 def m4(spark, sf):
-    e = table(spark, sf, "embeddings").selectExpr("cast(label < 5 as double) as t", "vec_id % 2 as fold", *(f"cast(embedding[{i}] as double) as f{i}" for i in range(8)))
-    return M.train_pixel_classifier(e, [f"f{i}" for i in range(8)], "t", "fold", trees=10)[1]
+    """All components, the stated number of trees: folds, importances and the share of every class predicted wet."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") < 5).cast("double").alias("t"), (F.col("vec_id") % 2).alias("fold"), "embedding")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"f{i}" for i in range(width)]
+    x = e.select("vec_id", "t", "fold", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
+    _, folds, importances, predicted = M.train_pixel_classifier(x, names, "t", "fold")
+    tall = [F.lit(c).alias("what") for c in ("fold", "importance", "predicted")]
+    out = folds.select(tall[0], F.col("fold").cast("string").alias("name"), F.col("accuracy").alias("value"))
+    out = out.union(importances.select(tall[1], "feature", "importance"))
+    return out.union(predicted.select(tall[2], F.col("vec_id").cast("string"), "prob"))
 
 
 @query("m5_loyo_oof")
@@ -134,7 +143,10 @@ def m9(spark, sf):
 
 @query("m10_score_live")
 def m10(spark, sf):
-    model = M.hindcast(features(spark, sf), M.FEATURE_ORDER, 2001, iterations=3)[0]
+    """Scores of the live frame by the model that the hindcast left in the shared folder."""
+    path = scratch(spark, "forecaster")
+    M.hindcast(features(spark, sf), M.FEATURE_ORDER, 2001, iterations=3, save_to=path)
+    model = M.load_model(spark, path, M.FEATURE_ORDER, before=2001)
     return M.score_live(model, live(spark, sf), M.FEATURE_ORDER, core=True).select("zone", "prob")
 
 
