@@ -96,10 +96,18 @@ def s8(spark, sf):
     return S.write_product(panel(spark, sf), scratch(spark, "s8"), {"fraction": 3}, ["zone", "window_start"], ["zone", "window_start", "fraction"])
 
 
-@query("s9_publish_snapshot")
+@query(
+    "s9_publish_snapshot",
+    """select window_start::varchar as "window", (row_number() over (partition by window_start order by flooded_ha desc, zone) - 1)::int as place, zone, round(flooded_ha / 2, 4) as km2, flooded_ha / 2 >= 25 as flagged, null::double as nowcast from panel""",
+)
 def s9(spark, sf):
-    z = panel(spark, sf).where("window_start = date '2000-07-25'").select("zone", (F.col("flooded_ha") / 2).alias("km2"))
-    return S.publish_snapshot(inline(spark, [("2000-07-25", None)], "window string, nowcast double"), z)
+    """The snapshots of all windows, read back from their JSON texts."""
+    p = panel(spark, sf).withColumn("window", F.col("window_start").cast("string"))
+    header = p.select("window").distinct().withColumn("nowcast", F.lit(None).cast("double"))
+    texts = S.publish_snapshot(header, p.select("window", "zone", (F.col("flooded_ha") / 2).alias("km2")), keys=("window",))
+    zone = "array<struct<zone: string, km2: double>>"
+    v = texts.select(F.from_json("value", f"window string, nowcast double, zones {zone}, flagged {zone}").alias("v")).select("v.window", "v.nowcast", "v.flagged", F.posexplode("v.zones").alias("place", "z"))
+    return v.select("window", "place", "z.zone", r4("z.km2", "km2"), F.exists("flagged", lambda x: x["zone"] == F.col("z.zone")).alias("flagged"), "nowcast")
 
 
 @query("s10_pending_days", "select distinct day from px_pass where day >= date '2024-01-15'")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riverlens.streaming import monitor as R
 
-from .base import inline, px_pass, query, r4
+from .base import inline, px_pass, query, r4, table
 from .q_scalars import px_area
 from .q_sources import scratch
 
@@ -46,12 +46,52 @@ def passes(stream):
     return stream.select(F.col("user_id").alias("pixel"), F.to_date("ts").alias("day"), (F.col("event_type") == "error").alias("wet"))
 
 
-@query("r4_run_monitor")
-def r4_(spark, sf):
-    static, path = px_area(spark, sf), scratch(spark, "r4")
+#: Four arrivals: some days come late, with the second; the third brings a part of the first again.
+DROPS = (
+    "day <= date '2024-01-10' and not (event_id % 7 = 0 and day >= date '2024-01-06')",
+    "day <= date '2024-01-10' and event_id % 7 = 0 and day >= date '2024-01-06' or day between date '2024-01-11' and date '2024-01-18'",
+    "day <= date '2024-01-10' and event_id % 5 = 0 or day between date '2024-01-19' and date '2024-01-25'",
+    "day > date '2024-01-25'",
+)
+
+
+def monitored(spark, sf) -> str:
+    """The folder of a monitor that was given all events in four arrivals."""
+    path, arrivals = scratch(spark, "monitor"), scratch(spark, "arrivals")
     texts = inline(spark, [("en", "{zone}: {km2} km2")], "lang string, template string")
-    R.drain(R.read_scenes(spark, sf), scratch(spark, "r4-check"), lambda df, _: R.run_monitor(passes(df), static, texts, 0.02).write.mode("append").text(path))
-    return spark.read.text(path)
+    events, static = table(spark, sf, "events"), px_area(spark, sf)
+    for part in DROPS:
+        e = events.withColumn("day", F.to_date("ts")).where(part).drop("day")
+        e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(arrivals)
+        stream = R.read_scenes(spark, arrivals, "*.parquet")
+        R.run_batches(stream.select("event_id", *passes_columns()), static, texts, path, 0.02)
+    return path
+
+
+def passes_columns():
+    return F.col("user_id").alias("pixel"), F.to_date("ts").alias("day"), (F.col("event_type") == "error").alias("wet")
+
+
+def passes(stream):
+    return stream.select(*passes_columns())
+
+
+@query(
+    "r4_run_monitor",
+    """with recursive recent as (select user_id as pixel, ts::date as d, event_type = 'error' as wet from events where ts::date > (select max(ts)::date from events) - 10),
+    u as (select pixel, bool_or(wet) as wet from recent group by 1), w as (select pixel, "row", col from u join px_static using (pixel) where wet),
+    e as (select a.pixel as a, b.pixel as b from w a join w b on abs(a."row" - b."row") <= 1 and abs(a.col - b.col) <= 1), r as (select pixel as p, pixel as q from w union select p, b from r join e on q = a),
+    l as (select p, min(q) as label from r group by 1), k as (select p as pixel from l where label in (select label from l group by 1 having count(*) >= 3)),
+    z as (select zone, sum(case when k.pixel is not null then m2 else 0 end) / 1e6 as km2 from px_area left join k using (pixel) where not perm group by 1),
+    c as (select zone, count(u.pixel)::double / count(*) as coverage from px_static left join u using (pixel) group by 1)
+    select zone::varchar as zone, round(km2, 4) as km2, km2 >= 0.02 as flagged, round(coverage, 4) as coverage, (select max(d)::varchar from recent) as latest, (select count(distinct d) from recent) as passes from z join c using (zone)""",
+)
+def r4_(spark, sf):
+    """The last snapshot after four arrivals, which is that of all events at once."""
+    zone = "array<struct<zone: string, km2: double, coverage: double>>"
+    v = R.last_snapshot(spark, monitored(spark, sf)).select(F.from_json("value", f"latest string, passes long, zones {zone}, flagged {zone}").alias("v"))
+    v = v.select("v.latest", "v.passes", "v.flagged", F.explode("v.zones").alias("z"))
+    return v.select("z.zone", r4("z.km2", "km2"), F.exists("flagged", lambda x: x["zone"] == F.col("z.zone")).alias("flagged"), r4("z.coverage", "coverage"), "latest", "passes")
 
 
 @query("r5_stream_fresh", "select pixel, min(day) as day from px_pass where wet group by 1")
@@ -59,9 +99,15 @@ def r5(spark, sf):
     return kept(spark, "r5", R.stream_fresh(passes(R.read_scenes(spark, sf))), "update")
 
 
-@query("r6_lookback", "select (ts::date - i::int)::date as start, count(*) as n, count(*) filter (where event_type = 'error') as wet from events cross join range(10) r(i) group by 1")
+LOOKBACK = "select (ts::date - i::int)::date as start, count(*) as n, count(*) filter (where event_type = 'error') as wet from events cross join range(10) r(i) group by 1"
+
+
+@query("r6_lookback", f"select *, 'stream' as by from ({LOOKBACK}) union all select *, 'batches' from ({LOOKBACK})")
 def r6(spark, sf):
-    return kept(spark, "r6", R.lookback(R.read_scenes(spark, sf)), "complete")
+    """Look-backs of one stream, and those that the monitor kept up to date over four arrivals."""
+    one = kept(spark, "r6", R.lookback(R.read_scenes(spark, sf)), "complete")
+    many = spark.read.schema("n long, wet long, start date").parquet(f"{monitored(spark, sf)}/lookback").select("start", "n", "wet")
+    return one.withColumn("by", F.lit("stream")).union(many.withColumn("by", F.lit("batches")))
 
 
 AREA = "select zone, sum(case when w then m2 else 0 end) / 1e4 as ha, sum(case when w then m2 else 0 end) / sum(m2) as f from px_area left join (select pixel, bool_or(wet) as w from px_pass where {d} group by 1) using (pixel) where not perm group by 1"

@@ -89,13 +89,16 @@ def write_product(df: DataFrame, path: str, decimals: dict[str, int], order: lis
     return df.sparkSession.read.parquet(path)
 
 
-def publish_snapshot(header: DataFrame, zones: DataFrame, alerts: DataFrame | None = None, floor: float = C.ALERT_KM2) -> DataFrame:
-    """S9. One JSON text per run: a one-row header, zones by area, those at or above the floor, alerts
-    by language. Zones are administrative units, so the arrays stay small. Sources that are missing
-    give empty arrays and NULL header fields."""
-    ranked = F.array_sort(F.collect_list(F.struct(*zones.columns)), lambda a, b: F.when(a["km2"] > b["km2"], -1).when(a["km2"] < b["km2"], 1).when(a["zone"] < b["zone"], -1).when(a["zone"] > b["zone"], 1).otherwise(0))
-    z = zones.agg(ranked.alias("zones"))
-    out = header.crossJoin(F.broadcast(z)).withColumn("flagged", F.filter("zones", lambda x: x["km2"] >= floor))
+def publish_snapshot(header: DataFrame, zones: DataFrame, alerts: DataFrame | None = None, floor: float = C.ALERT_KM2, keys: tuple = ()) -> DataFrame:
+    """S9. One JSON text for each row of the header (one run, or with keys one for each): its fields,
+    the run's zones by area, those at or above the floor, alerts by language. Zones are
+    administrative units, so the arrays stay small. Sources that are missing give empty arrays and
+    NULL header fields."""
+    own = [c for c in zones.columns if c not in keys]
+    ranked = F.array_sort(F.collect_list(F.struct(*own)), lambda a, b: F.when(a["km2"] > b["km2"], -1).when(a["km2"] < b["km2"], 1).when(a["zone"] < b["zone"], -1).when(a["zone"] > b["zone"], 1).otherwise(0))
+    z = zones.groupBy(*keys).agg(ranked.alias("zones"))
+    out = header.join(z, list(keys), "left") if keys else header.crossJoin(F.broadcast(z))
+    out = out.withColumn("zones", F.coalesce("zones", F.array().cast(z.schema["zones"].dataType))).withColumn("flagged", F.filter("zones", lambda x: x["km2"] >= floor))
     if alerts is not None:
         per = alerts.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "texts")))).alias("alerts"))
         out = out.crossJoin(F.broadcast(per))

@@ -64,6 +64,44 @@ def run_monitor(batch: DataFrame, static: DataFrame, templates: DataFrame, floor
     return publish_snapshot(header, rows.select(F.col("zone").cast("string").alias("zone"), "km2", "coverage"), render_alerts(flagged, templates), floor)
 
 
+def monitor_step(batch: DataFrame, number: int, static: DataFrame, templates: DataFrame, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
+    """R4 and R6, one batch of arrivals (event_id, pixel, day, wet). What arrived is kept by batch and day.
+    The snapshot and the look-backs are worked out from all that is known, once for each event, so
+    that late scenes change what holds their day and repeated ones change nothing. All is
+    written under the batch's number or in place of what it replaces: a batch that is run again, after
+    it was written but before it was noted as done, leaves the same."""
+    spark = batch.sparkSession
+    batch.select("event_id", "pixel", "day", "wet").write.mode("overwrite").partitionBy("day").parquet(f"{path}/arrivals/batch={number}")
+    schema = "event_id long, pixel long, wet boolean, batch long, day date"
+    known = spark.read.schema(schema).option("basePath", f"{path}/arrivals").parquet(f"{path}/arrivals").where(F.col("batch") <= number)
+    own = known.where(F.col("batch") == number).agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    if own.last is None:
+        return
+    last = known.agg(F.max("day")).first()[0]
+    recent = known.where(F.col("day") > F.date_sub(F.lit(last), days)).dropDuplicates(["event_id"])
+    run_monitor(recent.select("pixel", "day", "wet"), static, templates, floor).write.mode("overwrite").text(f"{path}/snapshots/batch={number}")
+    # look-backs that hold a day of the batch start at most days - 1 before it
+    lo, hi = F.date_sub(F.lit(own.first), days - 1), F.lit(own.last)
+    near = known.where((F.col("day") >= lo) & (F.col("day") < F.date_add(hi, days))).dropDuplicates(["event_id"])
+    changed = known.where(F.col("batch") == number).select("day").distinct().select(F.explode(F.sequence(F.date_sub("day", days - 1), "day")).alias("start")).distinct()
+    per = near.groupBy("day").agg(F.count("*").alias("n"), F.count_if("wet").alias("wet"))
+    back = per.select(F.explode(F.sequence(F.date_sub("day", days - 1), "day")).alias("start"), "n", "wet").join(changed, "start", "left_semi")
+    back = back.groupBy("start").agg(F.sum("n").alias("n"), F.sum("wet").alias("wet"))
+    back.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("start").parquet(f"{path}/lookback")
+
+
+def run_batches(stream: DataFrame, static: DataFrame, templates: DataFrame, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
+    """All that has arrived since the last call, batch after batch; restarts go on from the checkpoint
+    beside the tables."""
+    drain(stream, f"{path}/checkpoint", lambda df, i: monitor_step(df, i, static, templates, path, floor, days))
+
+
+def last_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON text of the latest batch that has one."""
+    s = spark.read.schema("value string, batch long").option("basePath", f"{path}/snapshots").text(f"{path}/snapshots")
+    return s.groupBy().agg(F.max_by("value", "batch").alias("value"))
+
+
 def stream_fresh(stream: DataFrame) -> DataFrame:
     """R5. Each pixel's first wet day: in update mode a row for every pixel that a batch finds wet."""
     return stream.where("wet").groupBy("pixel").agg(F.min("day").alias("day"))

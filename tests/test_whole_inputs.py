@@ -19,8 +19,8 @@ def test_monitor_is_fed_all_days(spark, monkeypatch):
         seen.update(r.day for r in df.select("day").distinct().collect())
         return run(df, *args)
 
-    run = monitor.run_monitor
-    monkeypatch.setattr(q_streaming.R, "run_monitor", watched)
+    run = monitor.monitor_step
+    monkeypatch.setattr(q_streaming.R, "monitor_step", watched)
     assert registry.QUERIES["r4_run_monitor"](spark, SF).collect()
     events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("to_date(ts) as day").where("day is not null").distinct()
     assert seen == {r.day for r in events.collect()}
