@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riverlens.operators.ordered import quantiles, running
 from riverlens.operators.series import lag1_autocorr, prewhiten, risk_rank
+from riverlens.session import ship
 
 
 def _concordance(t: np.ndarray, v: np.ndarray) -> int:
@@ -92,6 +93,7 @@ def _median_slope(t: np.ndarray, v: np.ndarray) -> float | None:
 def _by_series(series: DataFrame, t: str, v: str, keys, name: str, kind: str, work) -> DataFrame:
     """keys and work(times, values) of each series' points that have both; series without a pair are
     left out. A series is one group: its points are two arrays of numbers."""
+    ship(series.sparkSession)
     d = series.select(*keys, F.col(t).cast("double").alias("_t"), F.col(v).cast("double").alias("_v"))
     schema = d.select(*keys).schema.add(name, kind)
 

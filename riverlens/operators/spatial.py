@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverlens.session import saved
+from riverlens.session import saved, ship
 
 #: Pixels of a side of the tiles in which connected parts are found.
 TILE = 512
@@ -169,6 +172,7 @@ def connected_labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     tiles give pairs of labels, a row for each two parts that touch, and only these are joined over
     and over, in rounds that grow with the logarithm of the tiles that a part spans in practice."""
     near = offsets(connectivity)
+    ship(mask.sparkSession)
     own = mask.select(*(F.col(c).cast("long").alias(c) for c in ("pixel", "row", "col")))
     tile = [F.floor(F.col(c) / TILE).alias(f"tile_{c}") for c in ("row", "col")]
     own = own.groupBy(*tile).applyInArrow(lambda t: _tile(t, near), "pixel long, row long, col long, label long")
@@ -212,12 +216,44 @@ def or_pool(px: DataFrame, factor: int, value: str = "wet") -> DataFrame:
     return px.groupBy(F.expr(f"row div {factor}").alias("row"), F.expr(f"col div {factor}").alias("col")).agg(agg.alias(value))
 
 
-def focal_median(px: DataFrame, radius: float, value: str = "elev") -> DataFrame:
-    """N5. Median over the disc around each pixel of the table."""
+def _medians(table: pa.Table, rows: tuple[int, int], cols: tuple[int, int], radius: float) -> pa.Table:
+    """row, col, median of the pixels in [rows) x [cols), from those and the ones around them. Row after row
+    the values under the disc are sorted, the missing ones last."""
     n = int(radius)
-    disc = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j <= radius * radius]
-    med = _around(px, disc, value).groupBy("row", "col").agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    return px.join(med, ["row", "col"])
+    row, col = (table.column(c).to_numpy() for c in ("row", "col"))
+    grid = np.full((rows[1] - rows[0] + 2 * n, cols[1] - cols[0] + 2 * n), np.nan)
+    grid[row - rows[0] + n, col - cols[0] + n] = table.column("v").to_numpy(zero_copy_only=False)
+    own = (row >= rows[0]) & (row < rows[1]) & (col >= cols[0]) & (col < cols[1])
+    row, col = row[own], col[own]
+    order = np.argsort(row, kind="stable")
+    row, col = row[order], col[order]
+    median = np.empty(len(row))
+    bounds = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)] if len(row) else [0]  # a tile may have pixels around it only
+    half = [(i, int(math.sqrt(radius * radius - i * i))) for i in range(-n, n + 1)]
+    for a, b in itertools.pairwise(bounds):
+        i, js = int(row[a]) - rows[0] + n, col[a:b] - cols[0] + n
+        under = np.sort(np.concatenate([grid[i + d][js[:, None] + np.arange(-w, w + 1)] for d, w in half], axis=1), axis=1)
+        known = (~np.isnan(under)).sum(axis=1)
+        k = np.arange(len(js))
+        median[a:b] = (under[k, np.maximum(known - 1, 0) // 2] + under[k, np.minimum(known // 2, under.shape[1] - 1)]) / 2
+    return pa.table({"row": row, "col": col, "median": pa.array(median, mask=np.isnan(median))})
+
+
+def focal_median(px: DataFrame, radius: float, value: str = "elev") -> DataFrame:
+    """N5. Median over the disc around each pixel of the table; missing values (and NaN) don't count.
+    Pixels go to their tile and, within the radius of its sides, to the next ones: what is shuffled
+    grows with a tile's sides, not with the disc. A place holds one pixel."""
+    ship(px.sparkSession)
+    n, size = int(radius), max(TILE, int(radius) + 1)
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - n) / size), F.floor((F.col(c) + n) / size)))
+    d = px.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
+    d = d.withColumn("_tr", near("row")).withColumn("_tc", near("col"))
+
+    def run(key, table):
+        r, c = (x.as_py() * size for x in key)
+        return _medians(table, (r, r + size), (c, c + size), radius)
+
+    return px.join(d.groupBy("_tr", "_tc").applyInArrow(run, "row long, col long, median double"), ["row", "col"])
 
 
 def earliest_clear(points: DataFrame, looks: DataFrame, key: str = "point") -> DataFrame:

@@ -30,6 +30,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def session(app: str = "riverlens", cores: int | None = None, **conf: str) -> SparkSession:
     """A session with these settings where nothing else is set. On a cluster the submitter's settings
     win; without a master (tests, benchmarks) it is a local one of `cores` threads."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverlens import config as C
+from riverlens.session import ship
+from riverlens.sources.geojson import PART_BYTES, GeoJsonSource, resolve
 
 
 def require(df: DataFrame, columns) -> DataFrame:
@@ -40,16 +42,28 @@ def read_pass_masks(spark: SparkSession, path: str, start: str, end: str) -> Dat
     return spark.read.parquet(path).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-GEOJSON = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+def read_features(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """properties, type, coordinates (JSON): a row for each feature of FeatureCollections, one file or a
+    folder of them. A large file is cut at borders of features and read by many tasks; where only
+    Spark's own readers reach a store, each file is one task."""
+    try:
+        resolve(path)
+    except ValueError:
+        schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+        raw = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+        return raw.select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+    ship(spark)
+    spark.dataSource.register(GeoJsonSource)
+    return spark.read.format(GeoJsonSource.name()).option("bytes", part_bytes).load(path)
 
 
-def read_polygons(spark: SparkSession, path: str, name_keys=("district", "DISTRICT", "NAME")) -> DataFrame:
+def read_polygons(spark: SparkSession, path: str, name_keys=("district", "DISTRICT", "NAME"), part_bytes: int = PART_BYTES) -> DataFrame:
     """S4. label, zone, part, ring, i, x1, y1, x2, y2: an edge table of a FeatureCollection, labels
     numbered by sorted name from 1. Polygons and multi-polygons; ring 0 is the shell."""
-    raw = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    name = F.coalesce(*(F.col("f.properties")[k] for k in name_keys))
+    raw = read_features(spark, path, part_bytes)
+    name = F.coalesce(*(F.col("properties")[k] for k in name_keys))
     shape = "array<array<array<array<double>>>>"
-    multi = F.when(F.col("f.geometry.type") == "Polygon", F.concat(F.lit("["), F.col("f.geometry.coordinates"), F.lit("]"))).otherwise(F.col("f.geometry.coordinates"))
+    multi = F.when(F.col("type") == "Polygon", F.concat(F.lit("["), F.col("coordinates"), F.lit("]"))).otherwise(F.col("coordinates"))
     parts = raw.select(name.alias("zone"), F.from_json(multi, shape).alias("parts"))
     labels = parts.select("zone").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("zone")))
     rings = parts.select("zone", F.posexplode("parts").alias("part", "rings")).select("zone", "part", F.posexplode("rings").alias("ring", "pts"))

@@ -102,3 +102,30 @@ def test_least_on_long_paths():
 
 def test_no_pixels(spark):
     assert spatial.connected_labels(spark.createDataFrame([], "pixel long, row long, col long")).count() == 0
+
+
+@pytest.mark.parametrize("tile, radius", [(4, 1.5), (4, 3.0), (5, 7.2), (512, 2.0), (4, 0.5)])
+def test_focal_median_as_plain(spark, monkeypatch, tile, radius):
+    monkeypatch.setattr(spatial, "TILE", tile)
+    r = random.Random(tile)
+    cells = {(i - 6, j): r.choice([None, float(r.randint(0, 9)), r.random()]) for i in range(15) for j in range(15) if r.random() < 0.8}
+    px = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "row long, col long, elev double")
+    got = {(x.row, x.col): x.median for x in spatial.focal_median(px, radius).collect()}
+    assert set(got) == set(cells)
+    for (i, j), m in got.items():
+        near = [v for (a, b), v in cells.items() if v is not None and (a - i) ** 2 + (b - j) ** 2 <= radius * radius]
+        assert m is None if not near else m == pytest.approx(float(np.median(near)))
+
+
+def test_focal_median_shuffles_few_rows(spark, monkeypatch):
+    """With a disc of four times the cells, about as many rows go to the tiles."""
+    monkeypatch.setattr(spatial, "TILE", 64)
+    px = spark.range(128 * 128).select(F.expr("id div 128").alias("row"), F.expr("id % 128").alias("col"), F.rand(1).alias("elev"))
+    sent = []
+    was = spatial._medians
+    for radius in (3.0, 6.0):
+        near = lambda c, n=int(radius): F.explode(F.sequence(F.floor((F.col(c) - n) / 64), F.floor((F.col(c) + n) / 64)))
+        sent.append(px.withColumn("a", near("row")).withColumn("b", near("col")).count())
+        plan = spatial.focal_median(px, radius)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 2
+    assert was is spatial._medians and sent[1] < 1.25 * sent[0] < 1.6 * 128 * 128
