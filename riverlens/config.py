@@ -16,6 +16,7 @@ RECURRENCE_EDGES = (1, 2, 4)
 PADDY_T_PER_HA, PADDY_INR_PER_T = 6.5, 23_200.0
 DB_NULL = -32768
 EARTH_RADIUS = 6378137.0
+PLAIN_UNITS = ("crore_inr", "count")
 HA_PER = {"ha": 1.0, "lakh_ha": 1e5, "mha": 1e6}
 METRES_PER_FOOT = 0.3048
 CUSEC_TO_BCM_DAY = 0.028316846592 * 86400 / 1e9

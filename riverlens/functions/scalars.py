@@ -138,6 +138,18 @@ def to_ha(value, unit) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("bad area unit or value: "), F.coalesce(unit, F.lit("null")))).cast("double")).otherwise(_col(value) * factor)
 
 
+def normalize_value(value, unit) -> Column:
+    """P17. struct(value, unit): areas in hectares, amounts of money and counts as they are. A unit that
+    is neither, and a negative value, is an error."""
+    name, v = F.lower(F.trim(_col(unit))), _col(value)
+    factor = F.create_map(*(F.lit(x) for kv in C.HA_PER.items() for x in kv))[name]
+    plain = name.isin(*C.PLAIN_UNITS)
+    bad = F.coalesce(v < 0, F.lit(False)) | ~(factor.isNotNull() | F.coalesce(plain, F.lit(False)))
+    as_is = F.struct((v * F.coalesce(factor, F.lit(1.0))).alias("value"), F.when(plain, name).otherwise(F.lit("ha")).alias("unit"))
+    said = F.concat_ws(" ", F.lit("no value and unit to go by:"), v.cast("string"), name)
+    return F.when(bad, F.raise_error(said).cast("struct<value: double, unit: string>")).otherwise(as_is)
+
+
 def feet_to_m(c) -> Column:
     return _col(c) * C.METRES_PER_FOOT
 
@@ -200,7 +212,7 @@ def absorbable_days(deficit_bcm, peak_cusec) -> Column:
 
 def label_events(df: DataFrame, threshold: float = C.EVENT_FRACTION) -> DataFrame:
     """P23. Strictly above."""
-    return df.withColumn("flood_event", (F.col("fraction") > threshold).cast("int"))
+    return df.withColumn("wet_event", (F.col("fraction") > threshold).cast("int"))
 
 
 #: Spellings of zones that differ between boundary layers and tables.

@@ -308,10 +308,11 @@ def loyo_conformal(df: DataFrame, levels: list[float]) -> DataFrame:
     return g.agg(F.max("radius").alias("radius"), F.avg(F.col("inside").cast("int")).alias("coverage"), F.avg(hi - lo).alias("width")).select("year", "radius", "coverage", "width", "level")
 
 
-def flag_sheet(scores: DataFrame, top: int = 5, least: float = 0.2) -> DataFrame:
-    """E15. Best rank and probability of each zone, its first window within the top, and the flag."""
+def flag_sheet(scores: DataFrame, top: int = 5, least: float = 0.2, keys=()) -> DataFrame:
+    """E15. Best rank and probability of each zone (and year, with keys), its first window within the
+    top, and the flag."""
     r = risk_rank(scores)
-    g = r.groupBy("zone").agg(F.min("risk_rank").alias("best_rank"), F.max("prob").alias("best_prob"), F.min(F.when(F.col("risk_rank") <= top, F.col("window_start"))).alias("first_window"))
+    g = r.groupBy(*keys, "zone").agg(F.min("risk_rank").alias("best_rank"), F.max("prob").alias("best_prob"), F.min(F.when(F.col("risk_rank") <= top, F.col("window_start"))).alias("first_window"))
     return g.withColumn("flagged", (F.col("best_rank") <= top) & (F.col("best_prob") >= least))
 
 

@@ -33,10 +33,18 @@ def top_per_group(df: DataFrame, k: int, group: str, *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def nowcast_order(df: DataFrame, active=True) -> DataFrame:
+def _nowcast_keys(active: bool) -> list:
+    return [*([F.coalesce(-F.col("p"), F.lit(1.0))] if active else []), -F.coalesce("km2", F.lit(0.0)), F.col("zone")]
+
+
+def nowcast_order(df: DataFrame, active: bool = True) -> DataFrame:
     """T5. By score, then area, then name, missing last; by area alone before activation."""
-    keys = [F.coalesce(-F.col("p"), F.lit(1.0))] if active else []
-    return df.orderBy(*keys, -F.coalesce("km2", F.lit(0.0)), "zone")
+    return df.orderBy(*_nowcast_keys(active))
+
+
+def nowcast_places(df: DataFrame, keys, active: bool = True) -> DataFrame:
+    """T5. The place of each zone in that order among the rows of the same keys, from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*_nowcast_keys(active))))
 
 
 def union_strata(*strata: tuple[str, DataFrame], key: str = "pixel") -> DataFrame:

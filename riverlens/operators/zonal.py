@@ -153,3 +153,11 @@ def peak_day(areas: DataFrame, area: str = "wet_px") -> DataFrame:
 def day_windows(px: DataFrame, day_col: str = "day") -> DataFrame:
     """The calendar that A7 joins: each distinct day with its season window."""
     return assign_window(px.select(F.col(day_col).alias("day")).distinct(), "day").where("window_start is not null")
+
+
+def network_totals(stations: DataFrame, state: str = "state", kind: str = "kind", live: str = "live") -> DataFrame:
+    """A26. Stations of a network and how many of them report, by state and kind, by either and in
+    all: one pass for all four groupings. A state or kind that is missing counts as unknown."""
+    named = stations.select(F.coalesce(state, F.lit("unknown")).alias(state), F.coalesce(kind, F.lit("unknown")).alias(kind), F.col(live).alias(live))
+    g = named.cube(state, kind).agg(F.count("*").alias("stations"), F.count_if(live).alias("live"))
+    return g.select(F.coalesce(state, F.lit("Total")).alias(state), F.coalesce(kind, F.lit("Total")).alias(kind), "stations", "live")

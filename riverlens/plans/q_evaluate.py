@@ -173,11 +173,11 @@ def e14(spark, sf):
 
 @query(
     "e15_flag_sheet",
-    """with r as (select *, rank() over (partition by window_start order by prob desc) as k from scores where year = 2000)
-    select zone, min(k)::int as best_rank, round(max(prob), 4) as best_prob, min(case when k <= 5 then window_start end) as first_window, min(k) <= 5 and max(prob) >= 0.2 as flagged from r group by 1""",
+    """with r as (select *, rank() over (partition by window_start order by prob desc) as k from scores)
+    select year, zone, min(k)::int as best_rank, round(max(prob), 4) as best_prob, min(case when k <= 5 then window_start end) as first_window, min(k) <= 5 and max(prob) >= 0.2 as flagged from r group by 1, 2""",
 )
 def e15(spark, sf):
-    return E.flag_sheet(scores(spark, sf).where("year = 2000")).withColumn("best_prob", r4("best_prob"))
+    return E.flag_sheet(scores(spark, sf), keys=("year",)).withColumn("best_prob", r4("best_prob"))
 
 
 @query("e16_ablation_table", "select a.variant, round(a.roc_auc, 4) as roc_auc, round(a.pr_auc, 4) as pr_auc, round(a.roc_auc - f.roc_auc, 4) as roc_delta, round(a.pr_auc - f.pr_auc, 4) as pr_delta, a.n from roc a, roc f where f.variant = 'full'")
@@ -186,13 +186,26 @@ def e16(spark, sf):
     return t.select("variant", *(r4(c, c) for c in ("roc_auc", "pr_auc", "roc_delta", "pr_delta")), "n")
 
 
-@query("e17_adoption_verdict", "select round(b.roc_auc - a.roc_auc, 4) as roc_gain, round(b.pr_auc - a.pr_auc, 4) as pr_gain, 1 as flag_gain, b.roc_auc - a.roc_auc >= 0.005 and b.pr_auc - a.pr_auc >= 0.02 as adopt from roc a, roc b where a.variant = 'late' and b.variant = 'full'")
+FLAGS = "select count(*) filter (where k <= 5 and p >= 0.2) as n from (select zone, min(k) as k, max(prob) as p from (select zone, {p} as prob, rank() over (partition by window_start order by {p} desc) as k from scores) group by zone)"
+
+
+@query(
+    "e17_adoption_verdict",
+    f"""with fa as ({FLAGS.format(p="case when month(window_start) >= 8 then prob else 0 end")}), fb as ({FLAGS.format(p="prob")})
+    select round(b.roc_auc - a.roc_auc, 4) as roc_gain, round(b.pr_auc - a.pr_auc, 4) as pr_gain, fb.n - fa.n as flag_gain,
+      b.roc_auc - a.roc_auc >= 0.005 and b.pr_auc - a.pr_auc >= 0.02 and fb.n - fa.n >= 0 as adopt from roc a, roc b, fa, fb where a.variant = 'late' and b.variant = 'full'""",
+)
 def e17(spark, sf):
-    t = E.ablation_table(runs(spark, sf))
-    v = E.adoption_verdict(t.where("variant = 'late'").withColumn("flags", F.lit(3)), t.where("variant = 'full'").withColumn("flags", F.lit(4)))
+    """The full variant over the late one; each one's flags are those of its own sheet."""
+    t, s = E.ablation_table(runs(spark, sf)), scores(spark, sf)
+    late = s.withColumn("prob", F.expr("if(month(window_start) >= 8, prob, 0d)"))
+    flags = [E.flag_sheet(x).agg(F.count_if("flagged").alias("flags")) for x in (late, s)]
+    a, b = (t.where(F.col("variant") == v).crossJoin(F.broadcast(f)) for v, f in zip(("late", "full"), flags, strict=True))
+    v = E.adoption_verdict(a, b)
     return v.select(r4("roc_gain", "roc_gain"), r4("pr_gain", "pr_gain"), "flag_gain", "adopt")
 
 
+
 @query("q5_gate", "select * from (select 'n' as metric, n::double as value, (select count(*) from scores)::double as target, true as ok from roc where variant = 'full' union all select 'roc_auc', round(roc_auc, 4), 2.0::double, false from roc where variant = 'full' union all select 'unknown', null, 1.0::double, false)")
 def q5(spark, sf):
     s = scores(spark, sf)

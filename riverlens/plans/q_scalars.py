@@ -149,12 +149,15 @@ def p15(spark, sf):
 @query(
     "p17_to_ha",
     """select l_orderkey, l_linenumber, unit, round(l_quantity * case unit when 'Mha' then 1e6 when 'lakh_ha' then 1e5 else 1 end, 4) as ha, round(l_extendedprice / 100, 4) as km2, round(l_quantity * 0.3048::double, 4) as m,
-      round(l_quantity * 1000 * 0.028316846592::double * 86400 / 1e9, 4) as bcm from (select *, case l_linenumber % 3 when 0 then 'Mha' when 1 then 'lakh_ha' else ' HA ' end as unit from lineitem)""",
+      round(l_quantity * 1000 * 0.028316846592::double * 86400 / 1e9, 4) as bcm,
+      round(l_quantity * case l_linenumber % 5 when 0 then 1e6 when 1 then 1e5 else 1 end, 4) as value, case l_linenumber % 5 when 3 then 'count' when 4 then 'crore_inr' else 'ha' end as value_unit from (select *, case l_linenumber % 3 when 0 then 'Mha' when 1 then 'lakh_ha' else ' HA ' end as unit from lineitem)""",
 )
 def p17(spark, sf):
     l = table(spark, sf, "lineitem").withColumn("unit", F.expr("case l_linenumber % 3 when 0 then 'Mha' when 1 then 'lakh_ha' else ' HA ' end"))
     q, price = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
-    return l.select("l_orderkey", "l_linenumber", "unit", r4(P.to_ha(q, "unit"), "ha"), r4(P.km2(price), "km2"), r4(P.feet_to_m(q), "m"), r4(P.cusec_to_bcm_day(q * 1000), "bcm"))
+    any_unit = F.expr("array('Mha', 'lakh_ha', 'ha', ' Count', 'crore_inr')[cast(l_linenumber % 5 as int)]")
+    l = l.withColumn("v", P.normalize_value(q, any_unit))
+    return l.select("l_orderkey", "l_linenumber", "unit", r4("v.value", "value"), F.col("v.unit").alias("value_unit"), r4(P.to_ha(q, "unit"), "ha"), r4(P.km2(price), "km2"), r4(P.feet_to_m(q), "m"), r4(P.cusec_to_bcm_day(q * 1000), "bcm"))
 
 
 METRICS = "['max_area_affected', 'area_affected', 'crop_damage_area', 'crop_damage_value', 'lives_lost', 'houses_damaged', 'unheard_of']"
@@ -193,11 +196,11 @@ def p22(spark, sf):
     return d.select("date", "dam", r4("deficit_bcm", "deficit_bcm"), r4("deficit_pct", "deficit_pct"), r4(P.absorbable_days("deficit_bcm", F.lit(80000.0)), "days"))
 
 
-@query("p23_label_events", "select zone, window_start, (fraction > 0.02)::int as flood_event from panel")
+@query("p23_label_events", "select zone, window_start, (fraction > 0.02)::int as wet_event from panel")
 def p23(spark, sf):
     from .base import panel
 
-    return P.label_events(panel(spark, sf)).select("zone", "window_start", "flood_event")
+    return P.label_events(panel(spark, sf)).select("zone", "window_start", "wet_event")
 
 
 NAMES = ["Firozpur", " Ferozepore ", "Tarn  Taran Sahib", "Fazilka", "Mohali", "Elsewhere"]

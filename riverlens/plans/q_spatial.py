@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riverlens.functions import quality as Q
 from riverlens.functions import scalars as P
 from riverlens.functions.calendar import season_windows
+from riverlens.operators import panels as L
 from riverlens.operators import ranking as T
 from riverlens.operators import series as S
 from riverlens.operators import spatial as N
@@ -36,39 +37,19 @@ def j1(spark, sf):
     w = season_windows(spark, range(1995, 2002))
     rain = S.window_sum(daily_box(spark, sf), w, "punjab_mm").select("window_start", F.col("punjab_mm").alias("rain"))
     res = S.pivot_reservoirs(res_windows(spark, sf), list(DAMS)).select("window_start", F.col("1_urgent_mean").alias("st"))
-    return assemble_panel(panel(spark, sf), rain, res).select("zone", "window_start", r4("fraction", "fraction"), "rain", r4("st", "st"))
-
-
-def assemble_panel(target, *features, on=("window_start",)):
-    """J1. Target left-joined to feature tables on the window; Spark broadcasts the small sides."""
-    for f in features:
-        target = target.join(f, list(on), "left")
-    return target
-
-
-def add_prior(df, prior, cols, prefix="prior_", key="zone"):
-    """J2. Prefixed columns of one row a zone; the prior is made unique, so rows never multiply."""
-    p = prior.dropDuplicates([key]).select(key, *(F.col(c).alias(prefix + c) for c in cols))
-    return df.join(p, key, "left")
-
-
-def flooded_fraction(df, areas, key="zone"):
-    """J3. A zone without an area is an error."""
-    j = df.join(areas.select(key, "area_ha"), key, "left")
-    area = F.when(F.col("area_ha").isNull(), F.raise_error(F.concat(F.lit("no area: "), F.col(key))).cast("double")).otherwise(F.col("area_ha"))
-    return j.withColumn("fraction", F.coalesce(F.try_divide(F.col("flooded_ha"), area), F.lit(0.0)))
+    return L.assemble_panel(panel(spark, sf), rain, res).select("zone", "window_start", r4("fraction", "fraction"), "rain", r4("st", "st"))
 
 
 @query("j2_add_prior", "select p.zone, window_start, seasons_1pct as prior_seasons_1pct, round(max_fraction, 4) as prior_max_fraction from panel p left join (select 'NATION_' || zone as zone, seasons_1pct, max_fraction from victims) v using (zone)")
 def j2(spark, sf):
     v = Z.repeat_victims(season_zone(spark, sf)).withColumn("zone", F.concat(F.lit("NATION_"), F.col("zone").cast("string")))
-    return add_prior(panel(spark, sf), v, ["seasons_1pct", "max_fraction"]).select("zone", "window_start", "prior_seasons_1pct", r4("prior_max_fraction", "prior_max_fraction"))
+    return L.add_prior(panel(spark, sf), v, ["seasons_1pct", "max_fraction"]).select("zone", "window_start", "prior_seasons_1pct", r4("prior_max_fraction", "prior_max_fraction"))
 
 
 @query("j3_flooded_fraction", "select zone, window_start, round(fraction, 4) as fraction from panel")
 def j3(spark, sf):
     p = panel(spark, sf)
-    return flooded_fraction(p.select("zone", "window_start", "flooded_ha"), p.select("zone", "area_ha").distinct()).select("zone", "window_start", r4("fraction", "fraction"))
+    return L.flooded_fraction(p.select("zone", "window_start", "flooded_ha"), p.select("zone", "area_ha").distinct()).select("zone", "window_start", r4("fraction", "fraction"))
 
 
 @query(
@@ -194,10 +175,10 @@ def t4(spark, sf):
     return T.top_per_group(scenes(spark, sf), 2, "orbit", F.desc("ts"), "pixel", F.asc_nulls_last("power"), "phase", "zone").select("orbit", "pixel", "ts", "rn")
 
 
-@query("t5_nowcast_order", "select zone, round(prob, 4) as p, round(truth * 100, 4) as km2 from scores where window_start = date '2000-07-25' order by coalesce(-prob, 1), -coalesce(truth * 100, 0), zone limit 7")
+@query("t5_nowcast_order", "select window_start, row_number() over (partition by window_start order by coalesce(-prob, 1), -coalesce(truth * 100, 0), zone)::int as place, zone, round(prob, 4) as p, round(truth * 100, 4) as km2 from scores")
 def t5(spark, sf):
-    s = scores(spark, sf).where("window_start = date '2000-07-25'").selectExpr("zone", "prob as p", "truth * 100 as km2")
-    return T.nowcast_order(s).limit(7).select("zone", r4("p", "p"), r4("km2", "km2"))
+    s = scores(spark, sf).selectExpr("window_start", "zone", "prob as p", "truth * 100 as km2")
+    return T.nowcast_places(s, ["window_start"]).select("window_start", "place", "zone", r4("p", "p"), r4("km2", "km2"))
 
 
 @query("u1_union_strata", "with w as (select pixel from px_static where perm), f as (select pixel from px_static where crop and pixel not in (select pixel from w)) select pixel, 'water' as stratum from w union all select pixel, 'crop' from f union all select pixel, 'rest' from px_static where pixel not in (select pixel from w) and pixel not in (select pixel from f)")
@@ -216,9 +197,15 @@ def u3(spark, sf):
     return T.mask_sets(masks(spark, sf), "a", "b")
 
 
-@query("a26_network_totals", "select o_orderstatus as kind, count(*) as stations from orders group by 1")
+@query(
+    "a26_network_totals",
+    """with s as (select n_name as state, o_orderstatus as kind, o_orderkey % 3 = 0 as live from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey)
+    select state, kind, count(*) as stations, count(*) filter (where live) as live from s group by 1, 2 union all select state, 'Total', count(*), count(*) filter (where live) from s group by 1
+    union all select 'Total', kind, count(*), count(*) filter (where live) from s group by 2 union all select 'Total', 'Total', count(*), count(*) filter (where live) from s""",
+)
 def a26(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("stations"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return Z.network_totals(o.select(F.col("n_name").alias("state"), F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") % 3 == 0).alias("live")))
 
 
 @query(
