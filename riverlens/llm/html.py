@@ -19,6 +19,7 @@ Only url and html are read and the id is passed on, whatever other columns there
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import pickle
@@ -58,31 +59,77 @@ MARKS = frozenset(
     " form search share sharing social comment comments reply replies respond disqus discussion related recommended pagination pager toolbar complementary"
     " contentinfo skip subscription paywall".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What an end tag of an element inside of a line can't reach across.
+_STOPS = BLOCK - {"p"}
 _CLOSES_P = BLOCK - {"body", "html", "caption", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+class _Scanner:
+    """Finds where tags end, in one pass over a page however broken it is: what is known not to come
+    any more isn't looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.open_quotes: set[int] = set()  # quotes from which no tag end is reached
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`: the first outside of quotes, or if
+        there is none the first of all; -1 if there is none."""
+        if self.last[">"] < at:
+            return -1
+        i, seen = at, []
+        while (m := _SPECIAL.search(self.page, i)) is not None:
+            q, c = m.start(), m[0]
+            if c == ">":
+                return q
+            seen.append(q)
+            if q in self.open_quotes or self.last[c] <= q:
+                break
+            i = self.page.find(c, q + 1) + 1
+        self.open_quotes.update(seen)
+        return self.page.find(">", at)
+
+
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+_RAW_ENDS = {tag: _raw_end(tag) for tag in RAW}
+
+
 def tokens(page: str):
     """('text', words), ('open', tag, attributes) and ('close', tag) in page order; comments,
     declarations and the contents of raw elements are left out."""
-    at, n = 0, len(page)
+    at, n, scan = 0, len(page), _Scanner(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] or m[6]
-        if tag:
-            tag = tag.lower()
-            if m[1] or m[5]:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield "text", page[at:end], ""
+            at = end
+        elif page.startswith(("<!", "<?"), at):
+            close = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(close, at + {"-->": 4, "]]>": 9}.get(close, 2))
+            at = n if end < 0 else end + len(close)
+        elif (m := _NAME.match(page, at)) is None or (end := scan.end(m.end())) < 0:
+            yield "text", "<", ""
+            at += 1
+        else:
+            tag, closing = m[1].lower(), page[at + 1] == "/"
+            rest = page[m.end() : end]
+            at = end + 1
+            if closing:
                 yield "close", tag, ""
                 continue
-            yield "open", tag, m[3] or m[7] or ""
+            yield "open", tag, rest.removesuffix("/")
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-                at = end.start() if end else n
-        elif page[m.start()] != "<" or m.end() == m.start() + 1:
-            yield "text", page[m.start() : at], ""
+                found = _RAW_ENDS[tag].search(page, at)
+                at = found.start() if found else n
 
 
 @functools.lru_cache(20_000)
@@ -116,22 +163,27 @@ def parse(page: str) -> Element:
     in the innermost of those, block after block."""
     root = Element("")
     open_: list[tuple[str, Element]] = [("", root)]  # tag, the element that takes what comes next
+    places: dict[str, list[int]] = {}  # of each tag, where it is open
+
+    def push(tag: str, into: Element) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        open_.append((tag, into))
 
     def pop(tags, stop) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in stop:
-                return
-            if open_[i][0] in tags:
-                del open_[i:]
-                return
+        """Close the innermost of tags and all inside of it, if no tag of stop is open inside of it."""
+        i = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if i and (i == len(open_) - 1 or all(places[t][-1] <= i for t in stop if places.get(t))):
+            for t, _ in open_[i:]:
+                places[t].pop()
+            del open_[i:]
 
     links = 0
     for kind, x, rest in tokens(page):
         if kind == "text":
             open_[-1][1].items.append((x, links > 0))
         elif kind == "open":
-            if x in _CLOSES_P:
-                pop({"p"}, BLOCK - {"p"})
+            if x in _CLOSES_P and places.get("p"):
+                pop(("p",), _STOPS)
             if x in _SIBLINGS:
                 pop(*_SIBLINGS[x])
             into = open_[-1][1]
@@ -145,15 +197,15 @@ def parse(page: str) -> Element:
             elif x == "br":
                 into.items.append((" ", False))
             if x not in VOID:
-                open_.append((x, into))
+                push(x, into)
             if x == "a":
                 links = 1
         else:
             if x == "a":
                 links = 0
-            if x not in VOID and any(t == x for t, _ in open_):
-                pop({x}, frozenset() if x in BLOCK or x in DROPPED else BLOCK - {"p"})
-                if links and not any(t == "a" for t, _ in open_):
+            if x not in VOID and places.get(x):
+                pop((x,), () if x in BLOCK or x in DROPPED else _STOPS)
+                if links and not places.get("a"):
                     links = 0
     return root
 
@@ -228,22 +280,35 @@ def fold(parts: list[Part], join) -> list[Part]:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, the first in order."""
+    """Places of a longest common subsequence, the first in order. A row of the table is one number whose
+    bits say where the length grows, so that long lists of siblings take little time and memory."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
-    n, m = len(a) - low, len(b) - low
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[low + i] == b[low + j] else max(below[j], row[j + 1])
-    out, i, j = [(k, k) for k in range(low)], 0, 0
-    while i < n and j < m:
-        if a[low + i] == b[low + j]:
+    out = [(k, k) for k in range(low)]
+    a, b = a[low:], b[low:]
+    if not a or not b:
+        return out
+    # bit j of a key's number: the j-th of b, from the end, is that key
+    m, of = len(b), {}
+    for j, x in enumerate(reversed(b)):
+        of[x] = of.get(x, 0) | (1 << j)
+    full, row = (1 << m) - 1, (1 << m) - 1
+    rows = [0]  # of the suffix a[i:]: where the length grows, from the end of a on
+    for x in reversed(a):
+        hit = row & of.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row ^ full)
+    rows.reverse()
+    grown = lambda i, j: (rows[i] & ((1 << (m - j)) - 1)).bit_count()  # noqa: E731  (length for a[i:], b[j:])
+    i = j = 0
+    while i < len(a) and j < m:
+        if a[i] == b[j]:
             out.append((low + i, low + j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif (best := grown(i, j)) == 0:
+            break
+        elif grown(i + 1, j) == best:
             i += 1
         else:
             j += 1
@@ -296,20 +361,30 @@ class Reader:
     """Main texts of the pages of one host."""
 
     def __init__(self, wrapper: Part):
-        self.wrapper, self.weight = wrapper, {}
+        self.wrapper, self.weight, self.places = wrapper, {}, {}
         if not _weights(wrapper, wrapper.pages == 1, self.weight)[0]:
             _weights(wrapper, True, self.weight)
         self.known = wrapper.pages >= SEEN
 
     def _of(self, e: Element, w: Part | None) -> list[tuple[Element, Part | None]]:
-        """The elements of an element, each with its part of the wrapper."""
+        """The elements of an element, each with its part of the wrapper: the next of its key, else the
+        first."""
         if w is None:
             return [(x, None) for x in e.elements()]
+        places = self.places.get(id(w))
+        if places is None:
+            places = self.places[id(w)] = {}
+            for k, x in enumerate(w.inner):
+                places.setdefault(x.key, []).append(k)
         at, out = 0, []
         for x in e.elements():
-            found = next((k for k in [*range(at, len(w.inner)), *range(at)] if w.inner[k].key == x.key), None)
-            out.append((x, None if found is None else w.inner[found]))
-            at = at if found is None else found
+            known = places.get(x.key)
+            if known is None:
+                out.append((x, None))
+                continue
+            k = bisect.bisect_left(known, at)
+            at = known[k] if k < len(known) else known[0]
+            out.append((x, w.inner[at]))
         return out
 
     def _varying(self, e: Element, w: Part | None) -> float:

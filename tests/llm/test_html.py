@@ -1,3 +1,4 @@
+import time
 import functools
 import itertools
 import random
@@ -136,3 +137,40 @@ def test_a_very_long_page():
     assert html.main_text(f"<nav>n</nav><article><h1>t</h1>{body}</article>").count("\n") == 50_000
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     assert html.main_text(deep) == "text"
+
+
+_MB = 1_000_000
+BROKEN = {
+    "open tags": "<a " * (_MB // 3),
+    "stray ends": "<b>" * (_MB // 7) + "</i>" * (_MB // 7),
+    "ends behind blocks": "<i><div>" + "<b>" * (_MB // 8) + "</i>" * (_MB // 8),
+    "unclosed quotes": '<p title="' * (_MB // 10),
+    "quotes to the last end": '<p title="' * (_MB // 10) + ">",
+    "ends in quotes": '<a ">" ' * (_MB // 7) + "'",
+    "mixed siblings": "".join(f"<{('p', 'div class=a', 'div class=b', 'ul', 'h4', 'pre')[i * i % 13 % 6]}>x" for i in range(_MB // 20)),
+    "angles": "<" * _MB,
+    "comments": "<!--" * (_MB // 4),
+    "raw": "<script>" * (_MB // 8),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_seconds(name):
+    start = time.time()
+    html.main_text(BROKEN[name])
+    assert time.time() - start < 30
+
+
+def test_pages_of_many_unlike_siblings_align_in_seconds():
+    """Three pages of 2,000 blocks whose order differs."""
+    r = random.Random(1)
+    pages = ["<body>" + "".join(f"<{r.choice(['p', 'div class=a', 'div class=b', 'ul', 'h4', 'pre', 'section'])}>w</body>"[:-7] for _ in range(2000)) + "</body>" for _ in range(3)]
+    start = time.time()
+    html.infer(pages)
+    assert time.time() - start < 10
+
+
+def test_tags_end_outside_of_quotes():
+    assert list(html.tokens("<a href='x>y' b=\"c>d\"/>t</a>")) == [("open", "a", " href='x>y' b=\"c>d\""), ("text", "t", ""), ("close", "a", "")]
+    assert [k for k, *_ in html.tokens("<p title=\"x>y</p>")] == ["open", "text", "close"]  # no quote closes: the first end of all
+    assert list(html.tokens("a<b")) == [("text", "a", ""), ("text", "<", ""), ("text", "b", "")]
