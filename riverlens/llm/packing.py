@@ -205,7 +205,9 @@ class Shares:
 
 class Nested:
     """Shares of any number of queues: each round-robin has about `most` queues, and a queue can be
-    what a further round-robin deals out, with its part of a window as window."""
+    what a further round-robin deals out by the same weights, with its part of a window as window.
+    Until a source runs dry all have the shares that they would have in one round-robin; then its part
+    goes to those of its own round-robin."""
 
     def __init__(self, totals: list[int], targets: list[float] | None, window: int, most: int, named: set[int] | None = None):
         """named: sources that get a queue of the outermost round-robin whatever their size; those
@@ -221,8 +223,10 @@ class Nested:
         for k, i in enumerate(own):
             self.routes[i] = ((outer, k),)
         if rest:
-            beside = sum(t for i, t in enumerate(totals) if i not in named)
-            self._deal(rest, max(1, window * part // beside), ((outer, len(own)),))
+            # within the rest a source weighs what it does outside of it; without any weight there, its tokens
+            self.weights = targets if targets and any(targets[i] for i in rest) else totals
+            beside = sum(self.weights) if self.weights is targets else sum(t for i, t in enumerate(totals) if i not in named)
+            self._deal(rest, max(1, int(window * sum(self.weights[i] for i in rest) // beside)), ((outer, len(own)),))
 
     def _deal(self, ids: list[int], window: int, above: tuple) -> None:
         size = 1
@@ -230,13 +234,14 @@ class Nested:
             size *= self.most
         groups = [ids[k : k + size] for k in range(0, len(ids), size)]
         sums = [sum(self.totals[i] for i in g) for g in groups]
-        shares = Shares(sums, None, window)
+        weights = [sum(self.weights[i] for i in g) for g in groups]
+        shares = Shares(sums, weights if self.weights is not self.totals else None, window)
         for k, g in enumerate(groups):
             route = ((shares, k), *above)
             if size == 1:
                 self.routes[g[0]] = route
             else:
-                self._deal(g, max(1, window * sums[k] // sum(sums)), route)
+                self._deal(g, max(1, int(window * weights[k] // sum(weights))), route)
 
     def places(self, source: int, first: int, n: int):
         """As in Shares, in the outermost order."""

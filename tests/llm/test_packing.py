@@ -1,8 +1,10 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from riverlens.llm import packing
@@ -135,3 +137,50 @@ def test_tempered_mixture(spark):
             share[p.sequence_id // 4, source[p.doc_id]] += p.length
     want = 1024 / (1 + 8**0.5)
     assert all(abs(share[w, "b"] - want) <= 1 for w in range(10))
+
+
+def served(shares, totals, window, windows):
+    """Tokens of each source in the first windows, by where its tokens lie."""
+    out = [[0] * len(totals) for _ in range(windows)]
+    for i, t in enumerate(totals):
+        for k, place in shares.places(i, 0, t):
+            while k and place < windows * window:
+                some = min(k, window - place % window)
+                out[place // window][i] += some
+                place, k = place + some, k - some
+    return out
+
+
+@pytest.mark.parametrize("queues", [1, 2, 3, 10])
+def test_tempered_shares_hold_beyond_the_queues(queues):
+    """Whatever number of queues a round-robin has, a source's share goes with its tokens to the power."""
+    totals, window = [90_000, 80_000, 40_000, 10_000], 4096
+    weights = [t**0.5 for t in totals]
+    got = served(packing.Nested(totals, weights, window, queues, set()), totals, window, 20)
+    for w in range(20):
+        assert sum(got[w]) == window
+    for i, x in enumerate(weights):
+        assert abs(sum(g[i] for g in got) - 20 * window * x / sum(weights)) <= 8
+
+
+def test_windows_as_a_plain_round_robin():
+    """Token by token: each window gives a queue its quantum and what it kept of the last one."""
+    totals, window, weights = [5000, 3000, 900, 400], 100, [3.0, 2.0, 1.0, 0.5]
+    nested = packing.Nested(totals, weights, window, 10, set())
+    line, deficit, left = [], [Fraction(0)] * 4, list(totals)
+    while all(x > window for x in left):
+        for i in range(4):
+            deficit[i] += Fraction(window) * Fraction(weights[i]) / Fraction(sum(weights))
+            take = int(deficit[i])
+            deficit[i] -= take
+            line += [(i, totals[i] - left[i] + k) for k in range(take)]
+            left[i] -= take
+    want = {x: p for p, x in enumerate(line)}
+    got = {}
+    for i, t in enumerate(totals):
+        first = 0
+        for k, place in nested.places(i, 0, t):
+            got |= {(i, first + d): place + d for d in range(k)}
+            first += k
+    assert sorted(got.values()) == list(range(sum(totals)))
+    assert len(want) > 3000 and all(got[x] == p for x, p in want.items())
