@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of documents: toxic documents go, documents that the
 quality rules reject go, one document of each group of near copies stays, words of repeated passages
 are taken out, and what is left is packed into sequences.
+
+Defined cases: a null or empty text scores as an empty one and is rejected by the quality rules; very long
+texts are read whole in every stage; of repeated rows one stays after near-dedup; a null source or
+language is a group of its own; documents without an id are packed without one; an empty table gives
+no pieces; columns other than those of documents are kept up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riverlens.llm import minhash, packing, quality, substring, toxicity
 from riverlens.llm.common import cut
+from riverlens.llm.queries import MIXTURE
 
 #: SQL cannot express compression distances, minima or token ids; tests compare with brute force.
 ORACLE_SQL = None
@@ -37,7 +43,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """As op3: a source's share of each window goes with its tokens to the power MIXTURE."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), temper=MIXTURE)
 
 
 STAGES = [
