@@ -75,9 +75,12 @@ HIDDEN_CLASSES = (0, 1, 3, 8, 9, 10)
 
 
 def classify_water(index, scl, t_water: float = 0.1, t_dry: float = -0.1) -> Column:
-    """P10. 1 water, 0 dry, NULL uncertain; both bounds count."""
+    """P10. 1 water, 0 dry, NULL uncertain (hidden classes, a missing or NaN index, between the bounds);
+    both bounds count."""
+    if t_dry > t_water:
+        raise ValueError("the dry bound is above the water bound")
     i = _col(index)
-    return F.when(_col(scl).isin(*HIDDEN_CLASSES) | i.isNull(), F.lit(None).cast("int")).when(i >= t_water, 1).when(i <= t_dry, 0)
+    return F.when(_col(scl).isin(*HIDDEN_CLASSES) | i.isNull() | F.isnan(i), F.lit(None).cast("int")).when(i >= t_water, 1).when(i <= t_dry, 0)
 
 
 def palette_class(r, g, b, a, colour: tuple[int, int, int], tolerance: int = 10, alpha: int = 128) -> Column:
@@ -92,13 +95,19 @@ def pixel_area_m2(y, px: float, py: float | None = None) -> Column:
     return F.pow(F.cos(lat), 2) * px * (py or px)
 
 
-def to_density(c, area) -> Column:
-    """P13. Nodata counts as zero, so that totals are conserved."""
-    return F.coalesce(_col(c), F.lit(0.0)) / _col(area)
+def _finite(c) -> Column:
+    c = _col(c).cast("double")
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+
+
+def to_density(c, area, nodata: float | None = None) -> Column:
+    """P13. Nodata, missing and non-finite counts are zero, so that totals are conserved."""
+    return F.when(_col(c) == nodata, 0.0).otherwise(_finite(c)) / _col(area) if nodata is not None else _finite(c) / _col(area)
 
 
 def to_counts(d, area) -> Column:
-    return _col(d) * _col(area)
+    """P13. Back to counts; non-finite densities are zero."""
+    return _finite(d) * _col(area)
 
 
 def edge_class(c, edges) -> Column:

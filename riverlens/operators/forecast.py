@@ -88,6 +88,16 @@ def variant_features(name: str) -> tuple[str, ...]:
     return tuple(c for c in FEATURE_ORDER if c not in VARIANTS[name])
 
 
+def ablation_runs(panel: DataFrame, variants=tuple(VARIANTS), years=None, iterations: int = 300, threads: int = 3) -> DataFrame:
+    """M7. variant, zone, year, window_start, y, prob: each variant fitted on the folds of M5 by its own
+    features, and the fit-free baseline on the same rows."""
+    d = saved(panel, "panel")
+    out = [loyo_oof(d, variant_features(v), years, iterations, threads).select(F.lit(v).alias("variant"), "zone", "year", "window_start", "y", "prob") for v in variants]
+    held = d if years is None else d.where(F.col("year").isin(list(years)))
+    out.append(persistence(held).select(F.lit("persistence").alias("variant"), "zone", "year", "window_start", "y", "prob"))
+    return reduce(DataFrame.union, out)
+
+
 def persistence(df: DataFrame) -> DataFrame:
     """M7. The fit-free baseline: last window's fraction is the score."""
     return df.withColumn("prob", F.coalesce("antecedent", F.lit(0.0)))

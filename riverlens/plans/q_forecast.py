@@ -62,6 +62,14 @@ def m7(spark, sf):
     return M.persistence(scores(spark, sf).withColumnRenamed("pred", "antecedent")).select("zone", "window_start", r4("prob", "prob"))
 
 
+@query("m7_ablation_runs")
+def m7_fitted(spark, sf):
+    """Pooled metrics of all variants, fitted on all years' folds, against the full one."""
+    from riverlens.operators.evaluate import ablation_table
+
+    return ablation_table(M.ablation_runs(features(spark, sf), iterations=3))
+
+
 DAMS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 

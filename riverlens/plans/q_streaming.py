@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riverlens.streaming import monitor as R
 
-from .base import inline, px_pass, query, r4, table
+from .base import inline, px_pass, query, r4, scores, table
 from .q_scalars import px_area
 from .q_sources import scratch
 
@@ -142,3 +142,28 @@ def r9(spark, sf):
     late = R.publish_or_degrade(spark, lambda: spark.read.parquet(f"{sf}/events.parquet").select(F.to_date("ts").alias("day"), broken.cast("long").alias("n")), schema)
     reason = F.when(F.col("degraded").contains("broken while read"), "broken while read").otherwise(F.substring_index("degraded", ":", 1))
     return good.unionByName(bad).unionByName(late).withColumn("degraded", reason)
+
+
+@query(
+    "r9_locked_nowcast",
+    """with p as (select zone, prob, truth, truth * 100 as km2 from scores where window_start = date '2000-07-25'), z as (select distinct n_name as zone from nation),
+    k as (select 'core' as run, zone, prob as p, truth as f, km2 from z left join p using (zone) union all select 'early', zone, null, truth, km2 from z left join p using (zone) union all select 'broken', zone, null, null, null from z)
+    select run, (row_number() over (partition by run order by coalesce(-p, 1), -coalesce(km2, 0), zone) - 1)::int as place, zone, round(p, 4) as p_event, round(f, 4) as observed_fraction_window, round(km2, 4) as observed_km2,
+      case when run = 'broken' then 'unavailable' else 'given' end as rain, 'unavailable' as reservoirs, run = 'broken' as degraded from k""",
+)
+def r9_locked(spark, sf):
+    """The nowcast in the core season, before it, and with a source that breaks while it is read."""
+    zones = table(spark, sf, "nation").select(F.col("n_name").alias("zone"))
+    s = scores(spark, sf).where("window_start = date '2000-07-25'")
+    observed = s.select("zone", F.col("truth").alias("observed_fraction_window"), (F.col("truth") * 100).alias("observed_km2"))
+    p_event = s.select("zone", F.col("prob").alias("p_event"))
+    out = None
+    for run, core in (("core", True), ("early", False), ("broken", True)):
+        header = inline(spark, [("2000-07-26T00:00:00Z", "2000-07-25", "2000-08-04", core, "2000-07-25")], "generated_utc string, window_start string, window_end string, core_season boolean, activates string")
+        seen = observed if run != "broken" else observed.withColumn("observed_km2", F.when(F.length("zone") > 0, F.raise_error(F.lit("broken while read")).cast("double")))
+        made = R.publish_nowcast(zones, header, lambda h=header, o=seen: R.nowcast_snapshot(zones, h, {"rain": "given", "labels": "given"}, o, p_event, "as planned"))
+        out = made.withColumn("run", F.lit(run)) if out is None else out.union(made.withColumn("run", F.lit(run)))
+    form = "sources map<string, string>, notes string, districts array<struct<district: string, p_event: double, observed_fraction_window: double, observed_km2: double>>"
+    v = out.select("run", F.from_json("value", form).alias("v")).select("run", "v.sources", "v.notes", F.posexplode("v.districts").alias("place", "d"))
+    shown = [r4(f"d.{c}", c) for c in ("p_event", "observed_fraction_window", "observed_km2")]
+    return v.select("run", "place", F.col("d.district").alias("zone"), *shown, F.col("sources")["rain"].alias("rain"), F.col("sources")["reservoirs"].alias("reservoirs"), F.col("notes").startswith("DEGRADED:").alias("degraded"))

@@ -156,3 +156,33 @@ def publish_or_degrade(spark: SparkSession, make: Callable[[], DataFrame], schem
         said = next((x.strip() for x in str(e).splitlines() if x.strip()), "")
         empty = spark.createDataFrame([()], "struct<>").select(*(F.lit(None).cast(t).alias(n) for n, t in (x.strip().split(" ", 1) for x in schema.split(","))))
         return empty.withColumn("degraded", F.lit(f"{type(e).__name__}: {said}"))
+
+
+#: The sources of a nowcast.
+SOURCES = ("rain", "reservoirs", "labels")
+
+
+def nowcast_snapshot(zones: DataFrame, header: DataFrame, sources: dict[str, str], observed: DataFrame | None = None, scores: DataFrame | None = None, notes: str = "") -> DataFrame:
+    """R9. One JSON text of the locked form: generated_utc, window_start, window_end, core_season, activates,
+    sources, districts, notes. header: one row with the first five. Every zone is there with its score
+    and what was observed, NULL where either is missing, in T5's order: by score in the core season,
+    by area before. Zones are administrative units, so the array stays small."""
+    none = lambda kind: F.lit(None).cast(kind)
+    z = zones.select("zone").distinct()
+    z = z.join(observed.select("zone", "observed_fraction_window", "observed_km2"), "zone", "left") if observed is not None else z.withColumns({"observed_fraction_window": none("double"), "observed_km2": none("double")})
+    z = z.join(scores.select("zone", F.col("p_event").alias("_p")), "zone", "left") if scores is not None else z.withColumn("_p", none("double"))
+    z = z.crossJoin(F.broadcast(header.select("core_season"))).withColumn("p_event", F.when(F.col("core_season"), F.col("_p")))
+    place = F.struct(F.coalesce(-F.col("p_event"), F.lit(1.0)), -F.coalesce("observed_km2", F.lit(0.0)), F.col("zone"))
+    one = F.struct(place.alias("place"), F.struct(F.col("zone").alias("district"), "p_event", "observed_fraction_window", "observed_km2").alias("d"))
+    listed = z.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]).alias("districts"))
+    said = F.create_map(*(F.lit(x) for k in SOURCES for x in (k, sources.get(k, "unavailable"))))
+    out = header.crossJoin(F.broadcast(listed)).select("generated_utc", "window_start", "window_end", "core_season", "activates", said.alias("sources"), "districts", F.lit(notes).alias("notes"))
+    return out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def publish_nowcast(zones: DataFrame, header: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """R9. What make() gives, or if a source fails, even while it is read, the same form with every
+    zone, NULLs, all sources unavailable and a note that begins with DEGRADED."""
+    out = publish_or_degrade(zones.sparkSession, make, "value string")
+    reason = out.select("degraded").first()[0]
+    return out.select("value") if reason is None else nowcast_snapshot(zones, header, {}, notes=f"DEGRADED: {reason}")

@@ -10,7 +10,7 @@ from . import oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Model fits; the other rows-only queries take little time.
-SLOW = {"m4_train_pixel_classifier", "m5_loyo_oof", "m6_hindcast", "m8_permutation_importance", "m10_score_live"}
+SLOW = {"m4_train_pixel_classifier", "m5_loyo_oof", "m6_hindcast", "m7_ablation_runs", "m8_permutation_importance", "m10_score_live"}
 
 
 @pytest.fixture(scope="module")
