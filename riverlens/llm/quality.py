@@ -3,7 +3,9 @@
 Measures of every document go into a quantile sketch per language and source: counts in buckets of
 bounded relative width (a histogram whose buckets keep a value's leading six bits). Such sketches
 merge by adding counts, which is what Spark's partial aggregation does, and are the same however the
-rows are dealt. To each group's sketch that of its language is added with the weight of a few
+rows are dealt. A measure is a rate: finds by words, lines or characters, and a part that every text is
+given besides its own. So a group's limits follow what is found in its texts and not how long they
+are, and up to a quarter of a group may be junk without moving them. To each group's sketch that of its language is added with the weight of a few
 documents, and to a language's that of the corpus, so that small groups lean on larger ones; there is
 no other limit than the quantiles of these sketches.
 
@@ -25,10 +27,12 @@ SPACE = r"[\\x20\\x09-\\x0D]"
 PRIOR, PARTS = 50, 1000
 #: A value may lie so many distances between the quartiles past the nearer quartile, by their ratio.
 FENCE = 3
-#: Words and lines that every document is given besides its own, with one find, so that documents
-#: without any finds differ by their length and quantiles do not collapse at zero.
-SMOOTH, SMOOTH_LINES = 100, 10
-MEASURES = ("symbols", "repeats", "dup_lines", "capitals", "length")
+#: Rates in millionths that every text is given besides its own, so that texts without finds compare.
+GIVEN = {"symbols": 50_000, "repeats": 50_000, "dup_lines": 50_000, "capitals": 5_000, "length": 0}
+#: Finds come in clumps (a repeated line, a table of figures), so where few texts of a group have any,
+#: one may still reach so many times the upper quartile.
+CLUMP = {"symbols": 8, "repeats": 8, "dup_lines": 8, "capitals": 1, "length": 1}
+MEASURES = tuple(GIVEN)
 
 #: Words in 3-word windows found twice or more, of a word array w: sort the windows by a hash and their
 #: words, keep those equal to a neighbour, add up what each covers before the next one starts. Arrays
@@ -44,14 +48,10 @@ case when size(w) < 4 then 0L else
             n + case when size(p) = 0 then 0L else cast(least(3, coalesce(get(p, i + 1) - get(p, i), 3)) as bigint) end) as bigint))[0])[0]
 end"""
 
-#: Values that limits are set for, in millionths: finds (and one) for words, lines or characters.
-_VALUES = {
-    "symbols": f"(n_symbols + 1) * 1000000 div (n_words + {SMOOTH})",
-    "repeats": f"(n_repeat_words + 1) * 1000000 div (n_words + {SMOOTH})",
-    "dup_lines": f"(n_dup_lines + 1) * 1000000 div (n_lines + {SMOOTH_LINES})",
-    "capitals": f"(n_capitals + 1) * 1000000 div (word_chars + {SMOOTH})",
-    "length": "(word_chars + 1) * 1000000 div (n_words + 1)",
-}
+#: Finds and what they are counted by.
+_RATES = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "capitals": ("n_capitals", "word_chars"), "length": ("word_chars", "n_words")}
+#: Values that limits are set for, in millionths.
+_VALUES = {m: f"{finds} * 1000000 div greatest({by}, 1) + {GIVEN[m]}" for m, (finds, by) in _RATES.items()}
 
 
 def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -98,8 +98,8 @@ def _leaning(own: DataFrame, wider: DataFrame, keys: list[str], up: list[str]) -
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source and lo_/hi_ of each measure: FENCE ratios of the quartiles beyond the quartiles,
-    which are the outer ends of the buckets that hold them."""
+    """lang, source and lo_/hi_ of each measure: FENCE ratios of the quartiles (CLUMP times at least, above)
+    beyond the quartiles, which are the outer ends of the buckets that hold them."""
     by_lang = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     whole = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
     keys = ["lang", "source"]
@@ -110,7 +110,8 @@ def limits(sketch: DataFrame) -> DataFrame:
     q = {p: F.min(F.when(F.col("upto") * 4 >= F.col("total") * p, end)).cast("double") for p, end in ends.items()}
     q = run.groupBy(*keys, "measure").agg(q[1].alias("q1"), q[3].alias("q3"))
     room = "q3 / q1" + " * q3 / q1" * (FENCE - 1)
-    q = q.select(*keys, "measure", F.expr(f"q1 / ({room})").alias("lo"), F.expr(f"q3 * ({room})").alias("hi"))
+    clump = F.create_map(*(F.lit(x) for m in MEASURES for x in (m, float(CLUMP[m]))))[F.col("measure")]
+    q = q.select(*keys, "measure", F.expr(f"q1 / ({room})").alias("lo"), (F.col("q3") * F.greatest(F.expr(room), clump)).alias("hi"))
     pick = [F.max(F.when(F.col("measure") == x, F.col(side))).alias(f"{side}_{x}") for x in MEASURES for side in ("lo", "hi")]
     return q.groupBy(*keys).agg(*pick)
 
@@ -191,7 +192,7 @@ from q left join p on p.lang is not distinct from q.lang and p.source is not dis
 def _oracle() -> str:
     parts = {
         "VALUES": ",\n    ".join(f"{e.replace(' div ', ' // ')} as {m}" for m, e in _VALUES.items()),
-        "HIGHS": ", ".join(f"max(q3 * (q3 / q1 * q3 / q1 * q3 / q1)) filter (measure = '{m}') as hi_{m}" for m in MEASURES),
+        "HIGHS": ", ".join(f"max(q3 * greatest(q3 / q1 * q3 / q1 * q3 / q1, {CLUMP[m]}::double)) filter (measure = '{m}') as hi_{m}" for m in MEASURES),
         "FITS": " and ".join(f"{m} <= hi_{m}" for m in MEASURES),
         "PRIOR": str(PRIOR),
         "PARTS": str(PARTS),

@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from riverlens.llm import quality
 
@@ -102,3 +103,49 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame(rows(20, 4), SCHEMA)
     for df in (quality.verdicts(d), quality.keep_good(d)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=5)) + str(k) for k in range(n)]
+
+
+def planted(measure, rng, n_lines, finds):
+    """A text of n_lines lines of ten words, with finds of just one measure."""
+    lines = [words(rng, 10) for _ in range(n_lines)]
+    for k in range(finds):
+        line = lines[k % n_lines]
+        if measure == "symbols":
+            line[k // n_lines] += "#"
+        elif measure == "capitals":
+            line[k // n_lines] = line[k // n_lines].capitalize()
+        elif measure == "length":
+            line[k // n_lines] += "x" * 20
+        elif measure == "repeats":  # the same words in lines that differ otherwise
+            lines[k % n_lines] = ["one", "two", "three", "four", *line[4:]]
+        else:
+            lines[k % n_lines] = ["equal"]
+    return "\n".join(" ".join(x) for x in lines)
+
+
+@pytest.mark.parametrize("measure", quality.MEASURES)
+def test_limits_come_from_finds_of_their_measure(spark, measure):
+    """Two groups of equal lengths, in half of whose texts as many finds as in none of the others."""
+    rng = random.Random(3)
+    few, many = (2, 9) if measure in ("repeats", "dup_lines") else (6, 60)
+    data = [(i, planted(measure, rng, 20, 0 if i % 3 == 0 else few if i % 2 else many), "en", "ab"[i % 2 == 0], None) for i in range(240)]
+    data += [(1000 + i, planted(measure, rng, 20, 0), "fr", "c", None) for i in range(200)]
+    lim = {r.source: r for r in quality.limits(quality.sketches(quality.measure(spark.createDataFrame(data, SCHEMA)))).collect()}
+    assert lim["b"][f"hi_{measure}"] > 1.1 * lim["a"][f"hi_{measure}"]
+    for m in set(quality.MEASURES) - {measure, "length", "capitals"} - ({"repeats"} if measure == "dup_lines" else set()):
+        assert lim["b"][f"hi_{m}"] == lim["a"][f"hi_{m}"] == lim["c"][f"hi_{m}"], m
+
+
+@pytest.mark.parametrize("measure", quality.MEASURES)
+def test_limits_do_not_follow_lengths(spark, measure):
+    """Texts four times as long with finds at the same rate; and without any."""
+    rng = random.Random(4)
+    for rate in (1, 0):
+        data = [(i, planted(measure, rng, 12 * (1 + 3 * (i % 2)), 3 * rate * (1 + 3 * (i % 2)) if measure not in ("repeats", "dup_lines") else 0), "en", "ab"[i % 2], None) for i in range(160)]
+        lim = {r.source: r for r in quality.limits(quality.sketches(quality.measure(spark.createDataFrame(data, SCHEMA)))).collect()}
+        for m in quality.MEASURES:
+            assert lim["a"][f"hi_{m}"] == pytest.approx(lim["b"][f"hi_{m}"], rel=0.12), m
