@@ -199,7 +199,7 @@ def num(c) -> Column:
 
 def pct_of_capacity(df: DataFrame, capacity: DataFrame) -> DataFrame:
     """P20. df(dam, storage) joined with capacity(dam, capacity); an unknown dam is an error."""
-    j = df.join(F.broadcast(capacity), "dam", "left")
+    j = df.join(capacity, "dam", "left")
     cap = F.when(F.col("capacity").isNull(), F.raise_error(F.concat(F.lit("unknown dam: "), "dam")).cast("double")).otherwise(F.col("capacity"))
     return j.withColumn("pct_capacity", 100 * F.col("storage") / cap)
 

@@ -47,8 +47,8 @@ def score_event(model: PipelineModel, df: DataFrame) -> DataFrame:
     return p.withColumn("prob", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction", *(c for c in p.columns if c.endswith("_filled")))
 
 
-def loyo_oof(panel: DataFrame, features, years=None, iterations: int = 300, threads: int = 3) -> DataFrame:
-    """M5. Out-of-fold event probability and fraction for each held-out year. The folds are fitted in
+def loyo_oof(panel: DataFrame, features, years=None, iterations: int = 300, threads: int = 3, fraction: bool = True) -> DataFrame:
+    """M5. Out-of-fold event probability and (unless left out) fraction for each held-out year. The folds are fitted in
     a small thread pool; each fit is a distributed job over the panel, which is written once, and
     each fold's scores are written when it is done."""
     d = saved(typed(panel, features), "panel")
@@ -57,9 +57,10 @@ def loyo_oof(panel: DataFrame, features, years=None, iterations: int = 300, thre
     def fold(year: int) -> DataFrame:
         train, test = d.where(F.col("year") != year), d.where(F.col("year") == year)
         event = estimator(features, "y", "event", iterations).fit(train)
-        size = estimator(features, "truth", "fraction", iterations).fit(train)
-        out = size.transform(score_event(event, test))
-        return saved(out.select("zone", "year", "window_start", "y", "prob", "truth", F.col("prediction").alias("pred")), "fold")
+        out, pred = score_event(event, test), F.lit(None).cast("double")
+        if fraction:
+            out, pred = estimator(features, "truth", "fraction", iterations).fit(train).transform(out), F.col("prediction")
+        return saved(out.select("zone", "year", "window_start", "y", "prob", "truth", pred.alias("pred")), "fold")
 
     with ThreadPoolExecutor(threads) as pool:
         return reduce(DataFrame.union, pool.map(fold, years))
@@ -92,7 +93,7 @@ def ablation_runs(panel: DataFrame, variants=tuple(VARIANTS), years=None, iterat
     """M7. variant, zone, year, window_start, y, prob: each variant fitted on the folds of M5 by its own
     features, and the fit-free baseline on the same rows."""
     d = saved(panel, "panel")
-    out = [loyo_oof(d, variant_features(v), years, iterations, threads).select(F.lit(v).alias("variant"), "zone", "year", "window_start", "y", "prob") for v in variants]
+    out = [loyo_oof(d, variant_features(v), years, iterations, threads, fraction=False).select(F.lit(v).alias("variant"), "zone", "year", "window_start", "y", "prob") for v in variants]
     held = d if years is None else d.where(F.col("year").isin(list(years)))
     out.append(persistence(held).select(F.lit("persistence").alias("variant"), "zone", "year", "window_start", "y", "prob"))
     return reduce(DataFrame.union, out)

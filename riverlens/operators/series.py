@@ -41,7 +41,7 @@ def reservoir_windows(daily: DataFrame, windows: DataFrame, dams: DataFrame) ->
     per = have.join(F.broadcast(w), "d").groupBy("window_start", "dam").agg(
         F.avg("storage").alias("mean_storage"), (F.max_by("storage", "d") - F.min_by("storage", "d")).alias("delta_storage")
     )
-    full = windows.select("window_start").crossJoin(F.broadcast(dams.select("dam").distinct()))
+    full = dams.select("dam").distinct().crossJoin(F.broadcast(windows.select("window_start")))  # windows are a calendar
     return full.join(per, ["window_start", "dam"], "left")
 
 
