@@ -50,6 +50,7 @@ def label_pixels(px: DataFrame, edges: DataFrame) -> DataFrame:
     x1, y1, x2, y2) are those of closed rings. A pixel meets the edges of its own cell only: it is
     inside a zone if an odd number of edges is crossed to its right. Of several zones the least label
     stands. The edge rule is half-open, so shared borders count once."""
+    edges = saved(edges.select("label", "x1", "y1", "x2", "y2"), "edges")  # read four times below
     size = cell_size(edges)
     p = px.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     zones = edge_cells(edges, p.select("cx", "cy").distinct(), size)
