@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlens import config as C
-from riverlens.session import scratch
+from riverlens.session import saved, scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -55,34 +55,53 @@ def run_monitor(batch: DataFrame, static: DataFrame, templates: DataFrame, floor
     from riverlens.operators.zonal import coverage, zone_area
     from riverlens.sources.tables import publish_snapshot
 
-    u = union_masks(batch).join(static, "pixel")
-    wet = sieve(u.where("wet").select("pixel", "row", "col"), 3).select("pixel", F.lit(True).alias("kept"))
+    seen = saved(union_masks(batch.select("pixel", "wet")), "seen")  # read twice below
+    wet = sieve(seen.where("wet").join(static, "pixel").select("pixel", "row", "col"), 3).select("pixel", F.lit(True).alias("kept"))
     px = static.join(wet, "pixel", "left").withColumn("wet", F.coalesce("kept", F.lit(False)))
-    rows = zone_rows(zone_area(px), floor).join(coverage(batch.select("pixel"), static), "zone", "left")
+    rows = zone_rows(zone_area(px), floor).join(coverage(seen, static), "zone", "left")
     flagged = rows.where("flagged").select("zone", "km2")
     header = batch.agg(F.max("day").cast("string").alias("latest"), F.countDistinct("day").alias("passes"))
     return publish_snapshot(header, rows.select(F.col("zone").cast("string").alias("zone"), "km2", "coverage"), render_alerts(flagged, templates), floor)
 
 
-def monitor_step(batch: DataFrame, number: int, static: DataFrame, templates: DataFrame, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
-    """R4 and R6, one batch of arrivals (event_id, pixel, day, wet). What arrived is kept by batch and day.
-    The snapshot and the look-backs are worked out from all that is known, once for each event, so
-    that late scenes change what holds their day and repeated ones change nothing. All is
-    written under the batch's number or in place of what it replaces: a batch that is run again, after
-    it was written but before it was noted as done, leaves the same."""
-    spark = batch.sparkSession
-    batch.select("event_id", "pixel", "day", "wet").write.mode("overwrite").partitionBy("day").parquet(f"{path}/arrivals/batch={number}")
+def arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """Events that monitor_step has kept, by batch and day."""
     schema = "event_id long, pixel long, wet boolean, batch long, day date"
-    known = spark.read.schema(schema).option("basePath", f"{path}/arrivals").parquet(f"{path}/arrivals").where(F.col("batch") <= number)
+    return spark.read.schema(schema).option("basePath", f"{path}/arrivals").parquet(f"{path}/arrivals")
+
+
+def keep_arrivals(batch: DataFrame, number: int, path: str, days: int) -> bool:
+    """Keep what a batch brings that is not known yet, by batch and day; True if it has a day. Ids are
+    compared here, once for each arrival, so that readers need not: of events with one id less than
+    `days` days outside of the batch's days the first stands."""
+    first, last = batch.agg(F.min("day"), F.max("day")).first()
+    new = batch.select("event_id", "pixel", "day", "wet").dropDuplicates(["event_id"])
+    if number:
+        near = F.col("day").between(F.date_sub(F.lit(first), days - 1), F.date_add(F.lit(last), days - 1))
+        known = arrivals(batch.sparkSession, path).where((F.col("batch") < number) & near).select(F.col("event_id").alias("_id"))
+        new = new.join(known, F.col("event_id").eqNullSafe(F.col("_id")), "left_anti")
+    new.write.mode("overwrite").partitionBy("day").parquet(f"{path}/arrivals/batch={number}")
+    return last is not None
+
+
+def monitor_step(batch: DataFrame, number: int, static: DataFrame | None, templates: DataFrame | None, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
+    """R4 and R6, one batch of arrivals (event_id, pixel, day, wet). What arrived is kept by batch and day,
+    each event once. The snapshot (where there are static layers) and the look-backs are worked out
+    from all that is known, so that late scenes change what holds their day and repeated ones change nothing.
+    All is written under the batch's number or in place of what it replaces: a batch that is run again,
+    after it was written but before it was noted as done, leaves the same."""
+    if not keep_arrivals(batch, number, path, days):
+        return
+    known = arrivals(batch.sparkSession, path).where(F.col("batch") <= number)
+    if static is not None:
+        last = known.agg(F.max("day")).first()[0]
+        recent = known.where(F.col("day") > F.date_sub(F.lit(last), days))
+        run_monitor(recent.select("pixel", "day", "wet"), static, templates, floor).write.mode("overwrite").text(f"{path}/snapshots/batch={number}")
+    # look-backs that hold a day of the batch start at most days - 1 before it
     own = known.where(F.col("batch") == number).agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
     if own.last is None:
         return
-    last = known.agg(F.max("day")).first()[0]
-    recent = known.where(F.col("day") > F.date_sub(F.lit(last), days)).dropDuplicates(["event_id"])
-    run_monitor(recent.select("pixel", "day", "wet"), static, templates, floor).write.mode("overwrite").text(f"{path}/snapshots/batch={number}")
-    # look-backs that hold a day of the batch start at most days - 1 before it
-    lo, hi = F.date_sub(F.lit(own.first), days - 1), F.lit(own.last)
-    near = known.where((F.col("day") >= lo) & (F.col("day") < F.date_add(hi, days))).dropDuplicates(["event_id"])
+    near = known.where(F.col("day").between(F.date_sub(F.lit(own.first), days - 1), F.date_add(F.lit(own.last), days - 1)))
     changed = known.where(F.col("batch") == number).select("day").distinct().select(F.explode(F.sequence(F.date_sub("day", days - 1), "day")).alias("start")).distinct()
     per = near.groupBy("day").agg(F.count("*").alias("n"), F.count_if("wet").alias("wet"))
     back = per.select(F.explode(F.sequence(F.date_sub("day", days - 1), "day")).alias("start"), "n", "wet").join(changed, "start", "left_semi")
@@ -90,9 +109,9 @@ def monitor_step(batch: DataFrame, number: int, static: DataFrame, templates: Da
     back.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("start").parquet(f"{path}/lookback")
 
 
-def run_batches(stream: DataFrame, static: DataFrame, templates: DataFrame, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
+def run_batches(stream: DataFrame, static: DataFrame | None, templates: DataFrame | None, path: str, floor: float = C.ALERT_KM2, days: int = C.WINDOW_DAYS) -> None:
     """All that has arrived since the last call, batch after batch; restarts go on from the checkpoint
-    beside the tables."""
+    beside the tables. Without static layers only look-backs are kept up to date."""
     drain(stream, f"{path}/checkpoint", lambda df, i: monitor_step(df, i, static, templates, path, floor, days))
 
 

@@ -69,6 +69,19 @@ def test_four_drops(spark, world):
     assert state(spark, world[3]) == answer(spark, world)
 
 
+def test_arrivals_hold_an_event_once(spark, world):
+    """What repeats is left out when it comes, so snapshots and look-backs compare no ids; look-backs
+    need no static layers."""
+    _, _, events, base = world
+    for drop in parts(events):
+        arrive(spark, drop + drop[:7], base)
+        monitor.run_batches(spark.readStream.schema(SCHEMA).parquet(f"{base}/in"), None, None, f"{base}/out")
+    kept = monitor.arrivals(spark, f"{base}/out")
+    assert sorted(r.event_id for r in kept.select("event_id").collect()) == [e[0] for e in events]
+    rows = spark.read.schema("n long, wet long, start date").parquet(f"{base}/out/lookback").collect()
+    assert {r.start: [r.n, r.wet] for r in rows} == answer(spark, world)[1]
+
+
 @pytest.mark.parametrize("where", ["publish", "lookback"])
 def test_crash_between_write_and_commit(spark, world, monkeypatch, where):
     """The third batch fails after it has written, and is run again from the checkpoint."""
