@@ -1,5 +1,5 @@
 """Substring dedup: a count-min sketch finds the windows that may be repeated, a second pass groups
-exactly those.
+exactly those. Words are compared by the first 128 bits of their SHA-256.
 
 A window is 35 consecutive words. Windows with one word sequence have one minimizer (the word 8-gram
 with the least hash, the leftmost of equals) at one place in them, so the sketch counts each window
@@ -18,11 +18,12 @@ their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, gram_hashes, hashes_of, mix, odd_constants, ship
@@ -36,6 +37,9 @@ DEPTH, WIDTH_BITS, SPARE = 2, 26, 8
 CHARS = 60
 #: Ranges of cells that the arrays are merged by, and groups of tasks that are merged first.
 RANGES, GROUPS = 64, 16
+#: Bytes of a SHA-256 that runs and windows are compared by, and bits at most, as a power of two, of the
+#: sets of keys that go to all tasks (32 MB).
+DIGEST, SET_BITS = 16, 28
 
 _COEFF = odd_constants(512, 21)
 _CACHE = WordHashes()
@@ -149,7 +153,7 @@ def maybe_repeated(minimizers: np.ndarray, bits: int, heavy: np.ndarray) -> np.n
 
 
 def _runs(shared, bits, window, gram):
-    """Runs whose minimizer may be repeated, with the SHA-256 of their words and of the minimizer's place."""
+    """Runs whose minimizer may be repeated, with the digest of their words and of the minimizer's place."""
 
     def run(batches):
         heavy = np.frombuffer(shared.value, np.uint8)
@@ -162,7 +166,7 @@ def _runs(shared, bits, window, gram):
                     continue
                 keep = maybe_repeated(r[0], bits, heavy)
                 for m, at, first, n in zip(*(x[keep].tolist() for x in r), strict=True):
-                    digest = hashlib.sha256(b"%d " % (at - first) + b" ".join(words[first : first + n + window - 1])).digest()
+                    digest = hashlib.sha256(b"%d " % (at - first) + b" ".join(words[first : first + n + window - 1])).digest()[:DIGEST]
                     for x, v in zip(out, (row, m, digest, first, n), strict=True):
                         x.append(v)
             cols = [pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).astype(np.int64)), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())]
@@ -172,7 +176,7 @@ def _runs(shared, bits, window, gram):
 
 
 def _windows(window):
-    """The windows of given runs, each with the SHA-256 of its words."""
+    """The windows of given runs, each with the digest of its words."""
 
     def run(batches):
         for b in batches:
@@ -181,7 +185,7 @@ def _windows(window):
                 words = words_of(text)
                 for r in runs:
                     for i in range(r["start"], r["start"] + r["windows"]):
-                        for x, v in zip(out, (row, hashlib.sha256(b" ".join(words[i : i + window])).digest(), i, r["single"]), strict=True):
+                        for x, v in zip(out, (row, hashlib.sha256(b" ".join(words[i : i + window])).digest()[:DIGEST], i, r["single"]), strict=True):
                             x.append(v)
                 if len(out[0]) > 100_000:
                     yield _batch(out)
@@ -195,6 +199,28 @@ def _batch(cols):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], ["row", "w", "start", "single"])
 
 
+def among(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
+    """A test for columns of longs: true for all that `key` gives in a written table, and for few others.
+    A bit for each cell of the keys goes to all tasks, so rows that meet nothing stay out of a
+    shuffle; a set with more keys than its bits are made for lets more rows pass, and loses none."""
+    spark = keys.sparkSession
+    bits = min(SET_BITS, max(15, (8 * keys.count()).bit_length()))
+    at = F.pmod(key, F.lit(1 << bits)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    cell = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        cell[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
+    shared = spark.sparkContext.broadcast(cell.tobytes())
+
+    @F.arrow_udf("boolean")
+    def test(x: pa.Array) -> pa.Array:
+        c = x.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        return pa.array((np.frombuffer(shared.value, np.uint8)[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test
+
+
 def _mask(n: int, spans, window: int) -> np.ndarray:
     """True for the words that a repeated window covers."""
     gone = np.zeros(n + 1, np.int64)
@@ -220,6 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        minimizer, are compared window by window with one copy of each other run. Counts are summed
        before their shuffles, so a passage in a third of all documents costs a row a task; the joins
        that bring counts back are between written tables, which Spark splits where a key is hot.
+       Texts and windows that meet nothing in such a join are left out of its shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -232,11 +259,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = cut(maybe.groupBy("m", "d").agg(F.count("*").alias("n"), F.min(place).alias("one")), "same")
     unsure = same.groupBy("m").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("m")
     look = same.join(unsure, "m", "left_semi").select("one.*", (F.col("n") == 1).alias("single"))
-    look = look.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "single")).alias("runs"))
-    wins = d.dropDuplicates(["row"]).join(look, "row").select("row", "text", "runs").mapInArrow(_windows(window), "row long, w binary, start int, single boolean")
+    look = cut(look.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "single")).alias("runs")), "look")
+    wins = d.where(among(look, F.col("row"))("row")).dropDuplicates(["row"]).join(look, "row").select("row", "text", "runs").mapInArrow(_windows(window), "row long, w binary, start int, single boolean")
     wins = cut(wins, "windows")
     twice = cut(wins.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "twice")
-    by_window = wins.where("single").join(twice, "w", "left_semi").select("row", "start", F.lit(1).alias("windows"))
+    by_window = wins.where("single").where(among(twice, F.xxhash64("w"))(F.xxhash64("w"))).join(twice, "w", "left_semi").select("row", "start", F.lit(1).alias("windows"))
     by_run = maybe.join(same.where("n > 1").select("d"), "d", "left_semi").select("row", "start", "windows")
     return by_run.union(by_window).groupBy("row").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
@@ -259,7 +286,10 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return d.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    loses = among(spans, F.col("row"))("row")
+    whole = d.where(~loses).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    both = d.where(loses).join(spans, "row", "left").select("doc_id", "text", "spans").union(whole)
+    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -267,8 +297,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the others the words left are joined by one space. All rows and other columns stay."""
     spans = cut(repeated_spans(docs, id_col, text_col, window, gram), "spans")
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
-    own = docs.select(whole, F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("row"))
-    joined = own.join(spans, "row", "left").select("doc", "spans")
+    row = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    loses = among(spans, F.col("row"))(row)
+    joined = docs.where(loses).select(whole, row.alias("row")).join(spans, "row", "left").select("doc", "spans")
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
@@ -283,4 +314,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).union(docs.where(~loses))

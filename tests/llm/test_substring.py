@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from riverlens.llm import substring
 
@@ -89,3 +90,32 @@ def test_clashing_ids_and_names(spark):
     out = substring.remove_repeats(odd)
     assert out.columns == odd.columns and sorted(len((r.text or "").split()) for r in out.collect()) == [0, 0, 0, 0, 60, 30000]
     assert substring.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_sets_of_keys_lose_none(spark, monkeypatch):
+    keys, all_ = [k * 7919 - 10**12 for k in range(3000)], spark.range(20000).selectExpr("id * 7919 - 1000000000000 as k")
+    table = spark.createDataFrame([(k,) for k in keys], "k long")
+    found = {r.k for r in all_.where(substring.among(table, F.col("k"))("k")).collect()}
+    assert found >= set(keys) and len(found) < 3000 + 0.2 * 17000
+    assert all_.where(substring.among(table.limit(0), F.col("k"))("k")).count() == 0
+    monkeypatch.setattr(substring, "SET_BITS", 15)  # far too few
+    many = all_.where("k % 2 = 0")
+    assert {r.k for r in all_.where(substring.among(many, F.col("k"))("k")).collect()} >= {r.k for r in many.collect()}
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    """Two texts that share a passage among many large ones: the shuffles hold a part of the texts' bytes."""
+    rng = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(50))
+    rows = [(i, " ".join([shared] * (i < 2) + [f"{rng.randrange(16**12):x}" for _ in range(6000)]), "x") for i in range(60)]
+    docs, sc = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint(), spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before, got = written(), sorted(map(tuple, substring.removal(docs).collect()))
+    assert got == sorted(brute_removal(rows)) and [r[2] for r in got[:3]] == [50, 50, 0]
+    assert written() - before < 0.5 * sum(len(t) for _, t, _ in rows)
+    cleaned = {r.doc_id: len(r.text.split()) for r in substring.remove_repeats(docs).collect()}
+    assert cleaned == {i: 6000 for i in range(60)}
