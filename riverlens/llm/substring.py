@@ -40,6 +40,9 @@ RANGES, GROUPS = 64, 16
 #: Bytes of a SHA-256 that runs and windows are compared by, and bits at most, as a power of two, of the
 #: sets of keys that go to all tasks (32 MB).
 DIGEST, SET_BITS = 16, 28
+#: Rows of a batch that a task unpacks at once, minimizers that it counts at once, and rows of its own
+#: that it gives on at once.
+PIECE, COUNTED, GIVEN = 256, 250_000, 20_000
 
 _COEFF = odd_constants(512, 21)
 _CACHE = WordHashes()
@@ -50,6 +53,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def pieces(batches):
+    """Slices of batches: lists of Python's take several times the room of a batch, and workers keep
+    what they once took."""
+    for b in batches:
+        for i in range(0, b.num_rows, PIECE):
+            yield b.slice(i, PIECE)
+
+
 def runs_of(words: list[bytes], window: int, gram: int):
     """For each run of windows: minimizer, its place, first window, windows."""
     n = len(words) - window + 1
@@ -84,13 +95,13 @@ def _sketch_of_task(bits, window, gram):
         from pyspark import TaskContext
 
         sketch, found, size = np.zeros((DEPTH, 1 << bits), np.uint8), [], 0
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0).to_pylist():
                 r = runs_of(words_of(text), window, gram)
                 if r:
                     found.append(r[0])
                     size += len(r[0])
-                if size > 1_000_000:
+                if size > COUNTED:
                     count(sketch, np.concatenate(found))
                     found, size = [], 0
         if found:
@@ -157,7 +168,7 @@ def _runs(shared, bits, window, gram):
 
     def run(batches):
         heavy = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
+        for b in pieces(batches):
             out = ([], [], [], [], [])
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
@@ -169,17 +180,24 @@ def _runs(shared, bits, window, gram):
                     digest = hashlib.sha256(b"%d " % (at - first) + b" ".join(words[first : first + n + window - 1])).digest()[:DIGEST]
                     for x, v in zip(out, (row, m, digest, first, n), strict=True):
                         x.append(v)
-            cols = [pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).astype(np.int64)), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "m", "d", "start", "windows"])
+                if len(out[0]) > GIVEN:
+                    yield _run_batch(out)
+                    out = ([], [], [], [], [])
+            yield _run_batch(out)
 
     return run
 
 
+def _run_batch(out):
+    cols = [pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).astype(np.int64)), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, ["row", "m", "d", "start", "windows"])
+
+
 def _windows(window):
     """The windows of given runs, each with the digest of its words."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = ([], [], [], [])
             for row, text, runs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of(text)
@@ -187,7 +205,7 @@ def _windows(window):
                     for i in range(r["start"], r["start"] + r["windows"]):
                         for x, v in zip(out, (row, hashlib.sha256(b" ".join(words[i : i + window])).digest()[:DIGEST], i, r["single"]), strict=True):
                             x.append(v)
-                if len(out[0]) > 100_000:
+                if len(out[0]) > GIVEN:
                     yield _batch(out)
                     out = ([], [], [], [])
             yield _batch(out)
@@ -199,8 +217,8 @@ def _batch(cols):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], ["row", "w", "start", "single"])
 
 
-def among(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
-    """A test for columns of longs: true for all that `key` gives in a written table, and for few others.
+def holds(keys: DataFrame, key: Column) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for arrays of longs inside of tasks: true for all that `key` gives in a written table, and for few others.
     A bit for each cell of the keys goes to all tasks, so rows that meet nothing stay out of a
     shuffle; a set with more keys than its bits are made for lets more rows pass, and loses none."""
     spark = keys.sparkSession
@@ -213,14 +231,28 @@ def among(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
         cell[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
     shared = spark.sparkContext.broadcast(cell.tobytes())
 
+    def held(x: np.ndarray) -> np.ndarray:
+        c = x & ((1 << bits) - 1)
+        return (np.frombuffer(shared.value, np.uint8)[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+
+    return held
+
+
+def tested(held: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """What holds() gives, for columns. A stage that has a Python step already calls held() in it: each
+    step more is a worker more for each core, which stays."""
+
     @F.arrow_udf("boolean")
     def test(x: pa.Array) -> pa.Array:
-        c = x.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
-        return pa.array((np.frombuffer(shared.value, np.uint8)[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool))
+        return pa.array(held(x.to_numpy(zero_copy_only=False)))
 
     return test
 
 
+def among(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
+    return tested(holds(keys, key))
+
+
 def _mask(n: int, spans, window: int) -> np.ndarray:
     """True for the words that a repeated window covers."""
     gone = np.zeros(n + 1, np.int64)
@@ -246,7 +278,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        minimizer, are compared window by window with one copy of each other run. Counts are summed
        before their shuffles, so a passage in a third of all documents costs a row a task; the joins
        that bring counts back are between written tables, which Spark splits where a key is hot.
-       Texts and windows that meet nothing in such a join are left out of its shuffle.
+       Texts and windows that meet nothing in such a join are left out of its shuffle. A stage has one
+       Python step, which unpacks its batches piece by piece.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -273,8 +306,10 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     spans = cut(repeated_spans(docs, id_col, text_col, window, gram), "spans")
     d = _numbered(docs, id_col, text_col)
 
+    held = holds(spans, F.col("row"))
+
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             n, gone, sha = [], [], []
             for text, sp in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
@@ -284,12 +319,17 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     words = [words[i] for i in np.flatnonzero(~mask)]
                 gone.append(n[-1] - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    def whole(batches):
+        for b in pieces(batches):
+            b = b.filter(pa.array(~held(b.column(2).to_numpy(zero_copy_only=False))))
+            yield from run([pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows)], ["doc_id", "text", "spans"])])
 
-    loses = among(spans, F.col("row"))("row")
-    whole = d.where(~loses).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    both = d.where(loses).join(spans, "row", "left").select("doc_id", "text", "spans").union(whole)
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    # a merge join, so that a shuffle stands between the two Python steps
+    lose = d.where(tested(held)("row")).join(spans.hint("merge"), "row", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return lose.union(d.select("doc_id", "text", "row").mapInArrow(whole, schema))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -299,11 +339,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
     row = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     loses = among(spans, F.col("row"))(row)
-    joined = docs.where(loses).select(whole, row.alias("row")).join(spans, "row", "left").select("doc", "spans")
+    joined = docs.where(loses).select(whole, row.alias("row")).join(spans.hint("merge"), "row", "left").select("doc", "spans")
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             cols = b.column(0).flatten()
             texts = []
             for text, sp in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -3,8 +3,12 @@
 import collections
 import hashlib
 import random
+import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from riverlens.llm import substring
@@ -119,3 +123,38 @@ def test_texts_without_repeats_are_not_shuffled(spark):
     assert written() - before < 0.5 * sum(len(t) for _, t, _ in rows)
     cleaned = {r.doc_id: len(r.text.split()) for r in substring.remove_repeats(docs).collect()}
     assert cleaned == {i: 6000 for i in range(60)}
+
+
+def test_a_stage_has_one_python_step(spark):
+    """Between two Python steps stands a shuffle, else an executor has two workers for each core."""
+    docs = spark.createDataFrame(corpus(60, 6), SCHEMA).repartition(4).localCheckpoint()
+    for out in (substring.removal(docs), substring.remove_repeats(docs)):
+        above, steps = [], 0
+        for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
+            if m := re.search(r"[A-Z]\w+", line):
+                above = [x for x in above if x[0] < m.start()] + [(m.start(), m.group())]
+                names = [x for _, x in above]
+                if re.search("Python|InArrow", names[-1]):
+                    steps += 1
+                    below = max((i for i, x in enumerate(names) if x.endswith("Exchange")), default=-1)
+                    assert not [x for x in names[below + 1 : -1] if re.search("Python|InArrow", x)], names
+        assert steps >= 3
+
+
+def test_memory_of_a_task_does_not_grow_with_its_batch():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(4000)]
+    spans, all_ = [{"start": 0, "windows": 5, "single": True}] * 20, SimpleNamespace(value=b"\xff" * 2048)
+
+    def peak(step, n, *more):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts[:n]), *(pa.array([x] * n) for x in more)], ["a", "b", "c"][: 2 + len(more)])
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in step([batch]))
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, size
+
+    for step, more in ((substring._runs(all_, 13, 35, 8), ()), (substring._windows(35), (spans,))):
+        peak(step, 500, *more)  # the cache of words fills
+        (few, small), (many, large) = peak(step, 500, *more), peak(step, 4000, *more)
+        assert many > 7 * few and large < 1.5 * small
